@@ -84,13 +84,15 @@ def report(matrix: DataFrame, n_labels: int, beta: float = 1.0) -> DataFrame:
         names = ("mean_precision", "mean_recall", "macro_f1")
     one = pl.agg(F.sum("tp").alias("correct"), F.sum("n_true").alias("total"), p.alias("p"), r.alias("r"))
     hundred = F.lit(100.0)
+    def row(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
     rows = F.array(
-        F.struct(F.lit("acc").alias("metric"), (F.try_divide(F.col("correct").cast("double"), F.col("total")) * hundred).alias("value")),
-        F.struct(F.lit("correct"), F.col("correct").cast("double")),
-        F.struct(F.lit("total"), F.col("total").cast("double")),
-        F.struct(F.lit(names[0]), F.col("p") * hundred),
-        F.struct(F.lit(names[1]), F.col("r") * hundred),
-        F.struct(F.lit(names[2]), f_beta(F.col("p"), F.col("r"), beta) * hundred),
+        row("acc", F.try_divide(F.col("correct").cast("double"), F.col("total")) * hundred),
+        row("correct", F.col("correct")),
+        row("total", F.col("total")),
+        row(names[0], F.col("p") * hundred),
+        row(names[1], F.col("r") * hundred),
+        row(names[2], f_beta(F.col("p"), F.col("r"), beta) * hundred),
     )
     return one.select(F.inline(rows))
 
