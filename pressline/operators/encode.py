@@ -8,6 +8,7 @@ by ``regexp_extract_all`` inside the JVM.
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -65,10 +66,10 @@ def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = DEFAULT_VOC
     return reserved.unionByName(ranked)
 
 
-_INDEX_CACHE: dict[int, pd.Index] = {}
+_INDEX_CACHE: dict[str, pd.Index] = {}
 
 
-def _ids_udf(tokens_bc):
+def _ids_udf(tokens_bc, key: str):
     """Pandas UDF: array<string> -> array<int> through a broadcast token list.
 
     The lookup is vectorised per Arrow batch (one hash-index probe for all
@@ -76,10 +77,10 @@ def _ids_udf(tokens_bc):
     """
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(col: pd.Series) -> pd.Series:
-        index = _INDEX_CACHE.get(tokens_bc.id)
+        index = _INDEX_CACHE.get(key)
         if index is None:
             index = pd.Index(tokens_bc.value)
-            _INDEX_CACHE[tokens_bc.id] = index
+            _INDEX_CACHE[key] = index
         arr = pa.array(col, type=pa.list_(pa.string()))
         flat = arr.flatten().to_numpy(zero_copy_only=False)
         codes = index.get_indexer(flat)
@@ -100,7 +101,7 @@ def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
     if [r["token_id"] for r in rows] != list(range(len(tokens))):
         raise ValueError("token ids must be 0..n-1")
     bc = vocab.sparkSession.sparkContext.broadcast(tokens)
-    udf = _ids_udf(bc)
+    udf = _ids_udf(bc, uuid.uuid4().hex)
     return lambda tokens_col: udf(tokens_col)
 
 
@@ -199,7 +200,7 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     first_b = F.floor(F.col("_start") / B)
     last_b = F.floor((F.least(F.col("_start") + F.col("_len"), F.lit(usable)) - 1) / B)
     pieces = placed.select(toks.alias("_t"), "_start", "_len",
-                           F.explode(F.sequence(first_b, last_b)).cast("bigint").alias("block_id"))
+                           F.explode(F.sequence(first_b, last_b)).alias("block_id"))
     lo = F.greatest(F.col("_start"), F.col("block_id") * B)
     hi = F.least(F.col("_start") + F.col("_len"), (F.col("block_id") + 1) * B)
     pieces = pieces.select("block_id", lo.alias("_lo"),

@@ -12,7 +12,8 @@ CELL = ["source_id", "query_date"]
 
 
 def newest_per_cell(listings: DataFrame, limit: int = C.LISTING_PAGE_SIZE,
-                    ts_col: str = "published_at", tie_col: str = "url") -> DataFrame:
+                    ts_col: str = "published_at", tie_col: str = "url",
+                    rank_col: str | None = None) -> DataFrame:
     """The ``limit`` newest listings per (publisher, date), newest first.
 
     ``row_number() <= k`` is planned with a partial group limit before the
@@ -20,8 +21,9 @@ def newest_per_cell(listings: DataFrame, limit: int = C.LISTING_PAGE_SIZE,
     pull all its rows into one task.
     """
     w = Window.partitionBy(*CELL).orderBy(F.col(ts_col).desc(), F.col(tie_col))
-    return (listings.withColumn("_rn", F.row_number().over(w))
-                    .where(F.col("_rn") <= limit).drop("_rn"))
+    rn = rank_col or "_rn"
+    out = listings.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= limit)
+    return out if rank_col else out.drop(rn)
 
 
 def as_ingested(listings: DataFrame) -> DataFrame:

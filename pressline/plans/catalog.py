@@ -31,4 +31,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from pressline.plans import queries_metrics, queries_profile, queries_text  # noqa: F401
+    from pressline.plans import (queries_encode, queries_ingest, queries_metrics,  # noqa: F401
+                                 queries_profile, queries_text)
