@@ -92,8 +92,11 @@ def write_partitioned(df: DataFrame, path: str) -> None:
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """The partitioned article table; filters on the keys prune directories."""
-    return spark.read.parquet(path)
+    """The partitioned article table; filters on the keys prune directories.
+    Partition values are read back as text (``YYYY-MM-DD`` stays a string)."""
+    df = spark.read.parquet(path)
+    return df.withColumn("query_date", F.col("query_date").cast("string")) \
+             .withColumn("source_id", F.col("source_id").cast("string"))
 
 
 def present_partitions(articles: DataFrame) -> DataFrame:

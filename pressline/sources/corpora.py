@@ -29,8 +29,8 @@ def read_topic_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_labelled_dirs(spark: SparkSession, root: str) -> DataFrame:
     """``ROOT/<label>/<file>`` -> ``(doc_id, path, text, label)``: one row per
     whole file, label = parent directory name."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .text(root)
+    df = (spark.read.option("recursiveFileLookup", True)
+          .text(root, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     return df.select(F.xxhash64("path").alias("doc_id"), "path", "text",
                      F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("label"))
