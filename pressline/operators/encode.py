@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions.text import HEADLINE_BODY_MARKERS, PY_WHITESPACE_CLASS, ColumnOrName, _col
+from pressline.operators.columns import with_columns_once
 from pressline.plans.stage import checked_broadcast, stage
 
 TOKEN_PATTERN = f"<[A-Z_]+/?>|[A-Za-z0-9]+|[^A-Za-z0-9{PY_WHITESPACE_CLASS}]"
@@ -170,10 +171,9 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     ``order_col`` into ranges of about ``rows_per_bucket`` rows (approximate
     quantiles); range totals (a small, broadcast table) give exclusive prefix
     offsets; one shuffle by range plus a window inside each range gives every
-    row its global start; each row is then tokenised and sliced into the pieces
-    of the blocks it touches. Pieces that fill a block are emitted as they are;
-    only pieces at row boundaries are grouped by block, at most ``block_size``
-    pieces per block.
+    row its global start; each row is then tokenised once and sliced into the
+    pieces of the blocks it touches, and pieces are grouped by block (a block
+    gathers at most ``block_size`` pieces, one per row it spans).
     """
     B = block_size
     slim = df.select(order_col, (F.regexp_count(F.col(text_col), F.lit(TOKEN_PATTERN)) + 1)
@@ -196,18 +196,17 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
                              (F.col("_boff") + F.coalesce(F.sum("_len").over(inside), F.lit(0))).alias("_start"))
                      .where(F.col("_start") < usable))
     placed = starts.join(df.select(order_col, text_col), order_col)
-    toks = F.concat(tokenize(text_col), F.array(F.lit(SEPARATOR)))
+    # tokenise once per row, then cut each row into the pieces of the blocks it touches
+    placed = with_columns_once(placed, {"_t": F.concat(tokenize(text_col), F.array(F.lit(SEPARATOR)))})
     first_b = F.floor(F.col("_start") / B)
     last_b = F.floor((F.least(F.col("_start") + F.col("_len"), F.lit(usable)) - 1) / B)
-    pieces = placed.select(toks.alias("_t"), "_start", "_len",
-                           F.explode(F.sequence(first_b, last_b)).alias("block_id"))
+    pieces = placed.select("_t", "_start", "_len", F.explode(F.sequence(first_b, last_b)).alias("block_id"))
     lo = F.greatest(F.col("_start"), F.col("block_id") * B)
     hi = F.least(F.col("_start") + F.col("_len"), (F.col("block_id") + 1) * B)
-    pieces = pieces.select("block_id", lo.alias("_lo"),
-                           F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
-    whole = pieces.where(F.size("_piece") == B).select("block_id", F.col("_piece").alias("tokens"))
-    partial = (pieces.where(F.size("_piece") < B)
-                     .groupBy("block_id")
-                     .agg(F.sort_array(F.collect_list(F.struct("_lo", "_piece"))).alias("_ps"))
-                     .select("block_id", F.flatten(F.transform("_ps", lambda p: p["_piece"])).alias("tokens")))
-    return whole.unionByName(partial)
+    pieces = pieces.select("block_id", F.struct(
+        lo.alias("lo"), F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+        .alias("_p"))
+    # a block gathers at most ``block_size`` pieces (one per row it spans)
+    return (pieces.groupBy("block_id")
+                  .agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
+                  .select("block_id", F.flatten(F.transform("_ps", lambda p: p["piece"])).alias("tokens")))

@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from pressline import constants as C
 from pressline.functions import text as tx
+from pressline.operators.columns import in_range, with_columns_once
 from pressline.operators.sampling import sample_exact
 from pressline.plans.stage import checked_broadcast, stage
 
 
+def _marked_and_counted(keep: DataFrame, markup, source: DataFrame, min_words: int,
+                        max_words: int) -> DataFrame:
+    """``keep``'s columns + ``training_content`` + ``word_count``, inside the
+    word range. Markup and count run once per row (see ``with_columns_once``)."""
+    marked = with_columns_once(source, {"training_content": markup})
+    counted = with_columns_once(marked, {"word_count": tx.word_count("training_content")})
+    cols = [c for c in keep.columns if c not in ("training_content", "word_count")]
+    return (counted.where(in_range(F.col("word_count"), min_words, max_words))
+                   .select(*cols, "training_content", "word_count"))
+
+
 def keep_large_groups(df: DataFrame, group_col: str, min_rows: int,
                       max_broadcast_rows: int = C.MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows whose ``group_col`` group has at least ``min_rows`` rows; NULL groups drop.
@@ -48,11 +60,11 @@ def publisher_training_set(articles: DataFrame,
     instead of re-running the text pipeline.
     """
     body = tx.remove_captions(F.col("scraped_content"))
-    formatted = (articles.where(F.col("scraped"))
-                 .select("doc_id", "source_id", "source_name", "title", "published_at", "query_date",
-                         tx.format_headline_body(body, F.col("title")).alias("training_content"))
-                 .withColumn("word_count", tx.word_count("training_content"))
-                 .where(F.col("word_count").between(min_words, max_words)))
+    scraped = articles.where(F.col("scraped")).select(
+        "doc_id", "source_id", "source_name", "title", "published_at", "query_date", "scraped_content")
+    formatted = _marked_and_counted(scraped.drop("scraped_content"),
+                                    tx.format_headline_body(body, F.col("title")), scraped,
+                                    min_words, max_words)
     if materialize:
         formatted = stage(formatted, "publisher-formatted")
     kept = keep_large_groups(formatted, "source_name", min_docs)
@@ -68,9 +80,7 @@ def topic_training_set(rows: DataFrame, min_words: int = 0, max_words: int = C.D
                        id_col: str = "doc_id") -> DataFrame:
     """(label, headline, text) rows -> headline/body markup -> word range ->
     optional sample -> label as text."""
-    out = (rows.withColumn("training_content", tx.format_headline_body("text", "headline"))
-               .withColumn("word_count", tx.word_count("training_content"))
-               .where(F.col("word_count").between(min_words, max_words)))
+    out = _marked_and_counted(rows, tx.format_headline_body("text", "headline"), rows, min_words, max_words)
     if num_samples is not None:
         out = sample_exact(out, num_samples, id_col, seed)
     return out.withColumn("label", F.col("label").cast("string"))
@@ -80,9 +90,7 @@ def sentiment_training_set(rows: DataFrame, min_words: int = 0, max_words: int =
                            num_samples: int | None = None, seed: str = C.DEFAULT_SEED,
                            id_col: str = "doc_id") -> DataFrame:
     """(text, label) rows -> body-only markup -> word range -> optional sample."""
-    out = (rows.withColumn("training_content", tx.format_body_only("text"))
-               .withColumn("word_count", tx.word_count("training_content"))
-               .where(F.col("word_count").between(min_words, max_words)))
+    out = _marked_and_counted(rows, tx.format_body_only("text"), rows, min_words, max_words)
     if num_samples is not None:
         out = sample_exact(out, num_samples, id_col, seed)
     return out

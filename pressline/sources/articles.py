@@ -149,8 +149,21 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+# Tables whose rows carry long text: per-row work (regexes, tokenising) dominates.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all task slots when it has fewer splits than the
+    cluster's parallelism (a single-row-group file is one split). On a large
+    input the scan already has many more splits than slots and nothing changes."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def load_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
