@@ -56,6 +56,9 @@ def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = DEFAULT_VOC
     spark = df.sparkSession
     counts = (df.select(F.explode(tokenize(text_col)).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    # the two consumers below filter on the grouping key, which Catalyst would
+    # push under the aggregate (two tokenising passes); stage the counts once
+    counts = stage(counts, "token-counts")
     top = (counts.where(~F.col("token").isin(RESERVED))
                  .orderBy(F.col("freq").desc(), F.col("token")).limit(room))
     ranked = top.select((F.row_number().over(Window.orderBy(F.col("freq").desc(), F.col("token")))
@@ -94,10 +97,10 @@ def _ids_udf(tokens_bc, key: str):
 def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
     """Broadcast the token list (id order) after checking its size; return a
     ``Column -> Column`` mapping a token array to an id array."""
-    n = vocab.count()
-    if n > max_rows:
-        raise ValueError(f"vocabulary of {n} rows exceeds the broadcast bound {max_rows}")
-    rows = vocab.select("token_id", "token").orderBy("token_id").collect()
+    rows = vocab.select("token_id", "token").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"vocabulary exceeds the broadcast bound of {max_rows} rows")
+    rows.sort(key=lambda r: r["token_id"])
     tokens = [r["token"] for r in rows]
     if [r["token_id"] for r in rows] != list(range(len(tokens))):
         raise ValueError("token ids must be 0..n-1")

@@ -21,7 +21,7 @@ def topic_rows(spark, sf_dir):
     headline = first line, text = the whole document."""
     d = load_table(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("lang").alias("label"),
-                    F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"), "text")
+                    F.substring_index("text", "\n", 1).alias("headline"), "text")
 
 
 @register("topic_training_set", f"""

@@ -137,7 +137,7 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         F.concat(F.lit("Pub"), (F.substring("source", 4, 1 << 20).cast("int") % 10).cast("string"))
          .alias("source_name"),
         F.when(doc_id % 13 == 0, F.lit(None).cast("string"))
-         .otherwise(F.split_part(text, F.lit("\n"), F.lit(1))).alias("title"),
+         .otherwise(F.substring_index(text, "\n", 1)).alias("title"),
         published.alias("published_at"),
         day_of(published).alias("query_date"),
         F.concat(F.lit(URL_PREFIX), doc_id.cast("string")).alias("url"),

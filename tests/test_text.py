@@ -116,3 +116,11 @@ def test_title_search_null_and_case(spark):
 def test_marker_vocabulary():
     assert tx.HEADLINE_BODY_MARKERS == ["<PARAGRAH>", "<NEW_LINE>", "<HEADLINE>", "<HEADLINE/>", "<BODY>", "<BODY/>"]
     assert tx.BODY_ONLY_MARKERS == [" <PARAGRAH> ", " <NEW_LINE> "]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["FILE - ", ".", " ", "a", "b", "\n", "F", "é"]), max_size=40))
+def test_caption_anchoring_is_equivalent(spark, parts):
+    s = "".join(parts)
+    r = spark.createDataFrame([(s,)], "t string").select(tx.remove_captions("t").alias("o")).collect()[0]
+    assert r.o == re.sub(r"([^.]*?FILE - [^.]*\.)", "", s)
