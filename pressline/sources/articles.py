@@ -157,8 +157,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan over all task slots when it has fewer splits than the
     cluster's parallelism (a single-row-group file is one split). On a large
     input the scan already has many more splits than slots and nothing changes."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as it is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
