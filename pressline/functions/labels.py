@@ -91,3 +91,13 @@ def round_score(x: ColumnOrName, digits: int = 6) -> Column:
 def display_metric(x: ColumnOrName) -> Column:
     """Metric shown with two decimals."""
     return F.format_number(_col(x), 2)
+
+
+def label_dimension(spark, labels) -> DataFrame:
+    """``(label_idx, label)`` from a list of names or an ``{index: name}`` map
+    (indices 0..n-1), ordered by index."""
+    if isinstance(labels, dict):
+        names = [labels[i] for i in range(len(labels))]
+    else:
+        names = list(labels)
+    return spark.createDataFrame(list(enumerate(names)), "label_idx int, label string")

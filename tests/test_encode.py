@@ -59,3 +59,9 @@ def test_softmax_argmax_pad(spark):
     assert r.a == 1
     assert abs(sum(r.p) - 1.0) < 1e-12
     assert r.i == [5, 6] and r.m == [1, 1]
+
+
+def test_label_dimension_from_map_or_list(spark):
+    a = [tuple(r) for r in lb.label_dimension(spark, {1: "b", 0: "a"}).orderBy("label_idx").collect()]
+    b = [tuple(r) for r in lb.label_dimension(spark, ["a", "b"]).orderBy("label_idx").collect()]
+    assert a == b == [(0, "a"), (1, "b")]
