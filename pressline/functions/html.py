@@ -10,7 +10,7 @@ with NULL html, no ``<article>`` or an empty body is an extraction error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressline.functions.text import ColumnOrName, _col
@@ -63,3 +63,15 @@ def extract_page(html: ColumnOrName) -> Column:
     return F.struct(F.when(~error, extract_title(h)).alias("title"),
                     F.when(~error, body).alias("content_text"),
                     error.alias("error"))
+
+
+def extract_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Adds ``title``, ``content_text`` and ``error`` (see :func:`extract_page`),
+    running the body extraction once per page."""
+    from pressline.operators.columns import with_columns_once
+    h = F.col(html_col)
+    bodied = with_columns_once(df, {"_body": extract_body(h)})
+    error = h.isNull() | (F.coalesce(F.col("_body"), F.lit("")) == "")
+    return with_columns_once(bodied, {"error": error}).select(
+        *[c for c in df.columns], F.when(~F.col("error"), extract_title(h)).alias("title"),
+        F.when(~F.col("error"), F.col("_body")).alias("content_text"), "error")

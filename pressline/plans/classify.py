@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions import text as tx
-from pressline.functions.html import extract_page
+from pressline.functions.html import extract_pages
 from pressline.operators import metrics as M
 from pressline.operators.encode import TOKEN_PATTERN
 from pressline.operators.sampling import split_exact
@@ -108,7 +108,7 @@ def classify_pages(model: PipelineModel, pages: DataFrame, remove_paragraphs: in
     0 = keep all) -> one scoring pass -> top label, score and distribution.
     Pages that fail extraction yield a row with ``error`` and no label."""
     r = None if remove_paragraphs == 0 else remove_paragraphs
-    ex = pages.select("page_id", extract_page("html").alias("x")).select("page_id", "x.*")
+    ex = extract_pages(pages.select("page_id", "html")).drop("html")
     ok = ex.where(~F.col("error")).withColumn(
         "training_content", tx.format_headline_body("content_text", "title", r))
     scored = score(model, ok, ["page_id", "title"])

@@ -91,16 +91,15 @@ SELECT page_id, url, CASE WHEN error THEN NULL ELSE title0 END AS title,
 FROM extracted
 """)
 def q_page_extraction(spark, sf_dir):
-    p = load_table(spark, sf_dir, "pages")
-    return p.select("page_id", "url", H.extract_page("html").alias("x")) \
-            .select("page_id", "url", "x.title", "x.content_text", "x.error")
+    p = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return H.extract_pages(p).select("page_id", "url", "title", "content_text", "error")
 
 
 def page_store(spark, sf_dir):
     """Stored pages keyed by the article url they were fetched for."""
-    p = load_table(spark, sf_dir, "pages")
-    return p.select(F.concat(F.lit(URL_PREFIX), F.col("page_id").cast("string")).alias("url"),
-                    H.extract_page("html").alias("x")).select("url", "x.content_text", "x.error")
+    p = load_table(spark, sf_dir, "pages").select(
+        F.concat(F.lit(URL_PREFIX), F.col("page_id").cast("string")).alias("url"), "html")
+    return H.extract_pages(p).select("url", "content_text", "error")
 
 
 SCRAPE_SQL = f"""
