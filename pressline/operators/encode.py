@@ -10,8 +10,8 @@ from __future__ import annotations
 import math
 import uuid
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions.text import HEADLINE_BODY_MARKERS, PY_WHITESPACE_CLASS, ColumnOrName, _col
 from pressline.operators.columns import with_columns_once
-from pressline.plans.stage import checked_broadcast, stage
+from pressline.plans.stage import stage
 
 TOKEN_PATTERN = f"<[A-Z_]+/?>|[A-Za-z0-9]+|[^A-Za-z0-9{PY_WHITESPACE_CLASS}]"
 
@@ -70,33 +70,34 @@ def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = DEFAULT_VOC
     return reserved.unionByName(ranked)
 
 
-_INDEX_CACHE: dict[str, pd.Index] = {}
+_VOCAB_CACHE: dict[str, pa.Array] = {}
 
 
-def _ids_udf(tokens_bc, key: str):
-    """Pandas UDF: array<string> -> array<int> through a broadcast token list.
+def _lookup_batches(tokens_bc, key: str, tokens_col: str, out_col: str):
+    """``mapInArrow`` body: append ``out_col`` = ids of ``tokens_col``.
 
-    The lookup is vectorised per Arrow batch (one hash-index probe for all
-    tokens of the batch); the vocabulary is broadcast once per executor.
+    Per Arrow batch, all tokens are looked up at once with ``index_in``
+    (a vectorised hash probe, no Python objects per token); unknown tokens get
+    the unknown id. The token list is broadcast once per executor.
     """
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(col: pd.Series) -> pd.Series:
-        index = _INDEX_CACHE.get(key)
-        if index is None:
-            index = pd.Index(tokens_bc.value)
-            _INDEX_CACHE[key] = index
-        arr = pa.array(col, type=pa.list_(pa.string()))
-        flat = arr.flatten().to_numpy(zero_copy_only=False)
-        codes = index.get_indexer(flat)
-        codes[codes < 0] = UNK_ID
-        out = pa.ListArray.from_arrays(arr.offsets, pa.array(codes.astype("int32")), mask=arr.is_null())
-        return out.to_pandas()
-    return ids
+    def run(batches):
+        vocab = _VOCAB_CACHE.get(key)
+        if vocab is None:
+            vocab = pa.array(tokens_bc.value, type=pa.string())
+            _VOCAB_CACHE[key] = vocab
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(tokens_col))
+            flat = col.flatten()
+            codes = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=vocab), UNK_ID).cast(pa.int32())
+            offsets = pc.subtract(col.offsets, col.offsets[0]).cast(pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, codes, mask=col.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
+    return run
 
 
 def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
-    """Broadcast the token list (id order) after checking its size; return a
-    ``Column -> Column`` mapping a token array to an id array."""
+    """Broadcast the token list (id order) after checking its size; return
+    ``(df, tokens_col, out_col) -> df`` adding an id array per row."""
     rows = vocab.select("token_id", "token").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"vocabulary exceeds the broadcast bound of {max_rows} rows")
@@ -105,17 +106,25 @@ def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
     if [r["token_id"] for r in rows] != list(range(len(tokens))):
         raise ValueError("token ids must be 0..n-1")
     bc = vocab.sparkSession.sparkContext.broadcast(tokens)
-    udf = _ids_udf(bc, uuid.uuid4().hex)
-    return lambda tokens_col: udf(tokens_col)
+    key = uuid.uuid4().hex
+
+    def apply(df: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+        return df.mapInArrow(_lookup_batches(bc, key, tokens_col, out_col), schema)
+    return apply
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame,
            max_length: int = C.DEFAULT_ENCODE_LENGTH) -> DataFrame:
-    """Adds ``n_tokens``, ``input_ids`` and ``attention_mask`` (both exactly
-    ``max_length`` long, padded with the end-of-text id)."""
-    to_ids = vocabulary_lookup(vocab)
-    ids = to_ids(tokenize(text_col))
-    out = df.withColumn("_ids", ids)
+    """Replaces ``text_col`` by ``n_tokens``, ``input_ids`` and ``attention_mask``
+    (both exactly ``max_length`` long, padded with the end-of-text id).
+
+    The text is tokenised in the JVM and dropped before the id lookup, so only
+    the other columns and the token arrays cross into Python (Arrow batches).
+    """
+    lookup = vocabulary_lookup(vocab)
+    tokens = with_columns_once(df, {"_tokens": tokenize(text_col)}).drop(text_col)
+    out = lookup(tokens, "_tokens", "_ids").drop("_tokens")
     input_ids, mask = lb.pad_truncate("_ids", max_length, PAD_ID)
     return (out.withColumn("n_tokens", F.size("_ids"))
                .withColumn("input_ids", input_ids)
@@ -148,59 +157,64 @@ def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFr
 # Token-block packing
 # ---------------------------------------------------------------------------
 
+MAX_RANGES = 100_000
+
+
 def _range_buckets(df: DataFrame, order_col: str, rows_per_bucket: int) -> tuple[DataFrame, int]:
-    """Adds ``_bucket``: contiguous ranges of ``order_col`` of about equal row counts
-    (approximate quantiles as split points, binary search in the JVM)."""
+    """Adds ``_bucket``: contiguous ranges of ``order_col`` with about equal row
+    counts (approximate quantiles as split points, binary search in the JVM).
+    Returns the frame and the number of ranges (at most ``MAX_RANGES``)."""
     total = df.count()
-    nb = max(1, math.ceil(total / rows_per_bucket))
+    nb = max(1, min(MAX_RANGES, math.ceil(total / rows_per_bucket)))
     if nb == 1:
-        return df.withColumn("_bucket", F.lit(0.0)), total
+        return df.withColumn("_bucket", F.lit(0.0)), 1
     probs = [i / nb for i in range(1, nb)]
     cuts = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * nb))))
     splits = [-float("inf")] + [float(c) + 0.5 for c in cuts] + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_order_d", outputCol="_bucket")
     out = b.transform(df.withColumn("_order_d", F.col(order_col).cast("double"))).drop("_order_d")
-    return out, total
+    return out, len(splits) - 1
 
 
 def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
-                block_size: int = C.DEFAULT_BLOCK_SIZE, rows_per_bucket: int = 50_000) -> DataFrame:
+                block_size: int = C.DEFAULT_BLOCK_SIZE, rows_per_bucket: int = 200_000) -> DataFrame:
     """Concatenate the tokens of every row in ``order_col`` order with one
     separator token between rows, cut into non-overlapping blocks of
     ``block_size`` tokens, and drop the incomplete tail. Returns
     ``(block_id, tokens)``.
 
-    Plan: a slim pass counts tokens per row (``regexp_count``) and cuts
-    ``order_col`` into ranges of about ``rows_per_bucket`` rows (approximate
-    quantiles); range totals (a small, broadcast table) give exclusive prefix
-    offsets; one shuffle by range plus a window inside each range gives every
-    row its global start; each row is then tokenised once and sliced into the
-    pieces of the blocks it touches, and pieces are grouped by block (a block
-    gathers at most ``block_size`` pieces, one per row it spans).
+    Plan: every row is tokenised once into a staged table ``(key, length,
+    tokens)``. Planning passes read only ``(key, length)``: ranges of about
+    ``rows_per_bucket`` keys (approximate quantiles), range totals (at most
+    ``MAX_RANGES`` rows, collected) give exclusive prefix offsets, and a window
+    inside each range gives every row its global start. Rows are then joined
+    to their tokens, sliced into the pieces of the blocks they touch, and
+    pieces are grouped by block (a block gathers at most ``block_size`` pieces,
+    one per row it spans).
     """
     B = block_size
-    slim = df.select(order_col, (F.regexp_count(F.col(text_col), F.lit(TOKEN_PATTERN)) + 1)
-                     .cast("bigint").alias("_len"))
-    # One regex pass: the (key, length) table is staged and every planning pass
-    # below (count, quantiles, totals, starts) reads only it.
-    slim_b, _ = _range_buckets(stage(slim, "pack-lengths"), order_col, rows_per_bucket)
-    totals = slim_b.groupBy("_bucket").agg(F.sum("_len").alias("_blen"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = checked_broadcast(totals.select(
-        "_bucket", F.coalesce(F.sum("_blen").over(before), F.lit(0)).alias("_boff"), "_blen"))
-    grand = offsets.agg(F.sum("_blen").alias("s")).collect()[0]["s"] or 0
-    usable = ((grand - 1) // B) * B if grand > 0 else 0   # positions before the trailing separator
+    spark = df.sparkSession
+    toks = with_columns_once(df.select(order_col, text_col),
+                             {"_t": F.concat(tokenize(text_col), F.array(F.lit(SEPARATOR)))})
+    staged = stage(toks.select(order_col, "_t", F.size("_t").cast("bigint").alias("_len")), "pack-tokens")
+    lens, nb = _range_buckets(staged.select(order_col, "_len"), order_col, rows_per_bucket)
+    totals = sorted((r["_bucket"], r["_blen"]) for r in
+                    lens.groupBy("_bucket").agg(F.sum("_len").alias("_blen")).collect())  # <= MAX_RANGES rows
+    offsets, run = [], 0
+    for bucket, n in totals:
+        offsets.append((float(bucket), run))
+        run += n
+    usable = ((run - 1) // B) * B if run > 0 else 0     # positions before the trailing separator
     if usable == 0:
-        return df.sparkSession.createDataFrame([], "block_id bigint, tokens array<string>")
-    cuts_df = slim_b.select(order_col, "_bucket", "_len")
+        return spark.createDataFrame([], "block_id bigint, tokens array<string>")
     inside = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (cuts_df.join(offsets.select("_bucket", "_boff"), "_bucket")
-                     .select(order_col, "_len",
-                             (F.col("_boff") + F.coalesce(F.sum("_len").over(inside), F.lit(0))).alias("_start"))
-                     .where(F.col("_start") < usable))
-    placed = starts.join(df.select(order_col, text_col), order_col)
-    # tokenise once per row, then cut each row into the pieces of the blocks it touches
-    placed = with_columns_once(placed, {"_t": F.concat(tokenize(text_col), F.array(F.lit(SEPARATOR)))})
+    before = F.coalesce(F.sum("_len").over(inside), F.lit(0))
+    if nb == 1:
+        starts = lens.select(order_col, "_len", before.alias("_start"))
+    else:
+        off = F.broadcast(spark.createDataFrame(offsets, "_bucket double, _boff bigint"))
+        starts = lens.join(off, "_bucket").select(order_col, "_len", (F.col("_boff") + before).alias("_start"))
+    placed = starts.where(F.col("_start") < usable).join(staged.select(order_col, "_t"), order_col)
     first_b = F.floor(F.col("_start") / B)
     last_b = F.floor((F.least(F.col("_start") + F.col("_len"), F.lit(usable)) - 1) / B)
     pieces = placed.select("_t", "_start", "_len", F.explode(F.sequence(first_b, last_b)).alias("block_id"))
@@ -209,7 +223,6 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     pieces = pieces.select("block_id", F.struct(
         lo.alias("lo"), F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
         .alias("_p"))
-    # a block gathers at most ``block_size`` pieces (one per row it spans)
     return (pieces.groupBy("block_id")
                   .agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
                   .select("block_id", F.flatten(F.transform("_ps", lambda p: p["piece"])).alias("tokens")))
