@@ -69,7 +69,7 @@ def hour_histogram(articles: DataFrame, keys: Sequence[str] = ("source_id",),
     keys = list(keys)
     counts = (articles.groupBy(*keys, hour_of(ts_col).alias("hour"))
                       .agg(F.count(F.lit(1)).alias("n")))
-    groups = articles.select(*keys).distinct()
+    groups = counts.select(*keys).distinct()     # from the small aggregate: one scan
     bins = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     return (bins.join(counts, [*keys, "hour"], "left")
                 .select(*keys, "hour", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
