@@ -109,16 +109,16 @@ def classify_pages(model: PipelineModel, pages: DataFrame, remove_paragraphs: in
     Pages that fail extraction yield a row with ``error`` and no label."""
     r = None if remove_paragraphs == 0 else remove_paragraphs
     ex = extract_pages(pages.select("page_id", "html")).drop("html")
-    ok = ex.where(~F.col("error")).withColumn(
-        "training_content", tx.format_headline_body("content_text", "title", r))
-    scored = score(model, ok, ["page_id", "title"])
-    good = scored.select("page_id", "title", F.col("label_name").alias("label"), "score", "scores",
-                         F.lit(False).alias("error"))
-    bad = ex.where(F.col("error")).select("page_id", "title", F.lit(None).cast("string").alias("label"),
-                                          F.lit(None).cast("double").alias("score"),
-                                          F.lit(None).cast("array<double>").alias("scores"),
-                                          F.lit(True).alias("error"))
-    return good.unionByName(bad)
+    # one pass: failed pages are scored on empty text and their outputs blanked
+    marked = ex.withColumn("training_content", F.when(F.col("error"), F.lit(""))
+                           .otherwise(tx.format_headline_body("content_text", "title", r)))
+    scored = score(model, marked, ["page_id", "title", "error"])
+    ok = ~F.col("error")
+    return scored.select("page_id", "title",
+                         F.when(ok, F.col("label_name")).alias("label"),
+                         F.when(ok, F.col("score")).alias("score"),
+                         F.when(ok, F.col("scores")).alias("scores"),
+                         "error")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
