@@ -41,20 +41,24 @@ def tokenize(text: ColumnOrName) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
+def build_vocabulary(df: DataFrame, text_col: str | None, vocab_size: int = DEFAULT_VOCAB_SIZE,
+                     tokens_col: str | None = None) -> DataFrame:
     """``(token_id, token, freq)``: reserved tokens first, then the most frequent
     ``vocab_size - len(RESERVED)`` tokens by (freq desc, token).
 
-    Counting is an exploded hash aggregate (map-side combined: a very frequent
-    token is one counter per task). The id assignment only touches the bounded
-    top list (TakeOrderedAndProject), never all distinct tokens. Tokens past the
-    cap map to the unknown id when encoding.
+    Tokens come from ``tokens_col`` when given (an already tokenised, staged
+    column), else from tokenising ``text_col``. Counting is an exploded hash
+    aggregate (map-side combined: a very frequent token is one counter per
+    task). The id assignment only touches the bounded top list
+    (TakeOrderedAndProject), never all distinct tokens. Tokens past the cap map
+    to the unknown id when encoding.
     """
     room = vocab_size - len(RESERVED)
     if room < 0:
         raise ValueError("vocab_size smaller than the reserved tokens")
     spark = df.sparkSession
-    counts = (df.select(F.explode(tokenize(text_col)).alias("token"))
+    toks = F.col(tokens_col) if tokens_col else tokenize(text_col)
+    counts = (df.select(F.explode(toks).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     # the two consumers below filter on the grouping key, which Catalyst would
     # push under the aggregate (two tokenising passes); stage the counts once
@@ -70,6 +74,15 @@ def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = DEFAULT_VOC
     return reserved.unionByName(ranked)
 
 
+def stage_tokens(df: DataFrame, text_col: str, tokens_col: str = "_tokens") -> DataFrame:
+    """Tokenise ``text_col`` once into ``tokens_col`` (replacing the text) and
+    write the result to the shared folder. Jobs that both count and encode
+    tokens read it twice instead of running the markup and the tokeniser twice;
+    the write also cuts the lineage."""
+    return stage(df.select(*[c for c in df.columns if c != text_col], tokenize(text_col).alias(tokens_col)),
+                 "doc-tokens")
+
+
 _VOCAB_CACHE: dict[str, pa.Array] = {}
 
 
@@ -114,16 +127,20 @@ def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
     return apply
 
 
-def encode(df: DataFrame, text_col: str, vocab: DataFrame,
-           max_length: int = C.DEFAULT_ENCODE_LENGTH) -> DataFrame:
-    """Replaces ``text_col`` by ``n_tokens``, ``input_ids`` and ``attention_mask``
-    (both exactly ``max_length`` long, padded with the end-of-text id).
+def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
+           max_length: int = C.DEFAULT_ENCODE_LENGTH, tokens_col: str | None = None) -> DataFrame:
+    """Replaces ``text_col`` (or the token array ``tokens_col``) by
+    ``n_tokens``, ``input_ids`` and ``attention_mask`` (both exactly
+    ``max_length`` long, padded with the end-of-text id).
 
-    The text is tokenised in the JVM and dropped before the id lookup, so only
-    the other columns and the token arrays cross into Python (Arrow batches).
+    Text is tokenised in the JVM and dropped before the id lookup, so only the
+    other columns and the token arrays cross into Python (Arrow batches).
     """
     lookup = vocabulary_lookup(vocab)
-    tokens = with_columns_once(df, {"_tokens": tokenize(text_col)}).drop(text_col)
+    if tokens_col:
+        tokens = df.withColumnRenamed(tokens_col, "_tokens") if tokens_col != "_tokens" else df
+    else:
+        tokens = with_columns_once(df, {"_tokens": tokenize(text_col)}).drop(text_col)
     out = lookup(tokens, "_tokens", "_ids").drop("_tokens")
     input_ids, mask = lb.pad_truncate("_ids", max_length, PAD_ID)
     return (out.withColumn("n_tokens", F.size("_ids"))

@@ -158,9 +158,9 @@ SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens,
 FROM padded
 """)
 def q_encode_documents(spark, sf_dir):
-    corpus = _markup_corpus(spark, sf_dir)
-    vocab = en.build_vocabulary(corpus, "training_content")
-    enc = en.encode(corpus, "training_content", vocab, ENCODE_LENGTH)
+    toks = en.stage_tokens(_markup_corpus(spark, sf_dir), "training_content")
+    vocab = en.build_vocabulary(toks, None, tokens_col="_tokens")
+    enc = en.encode(toks, None, vocab, ENCODE_LENGTH, tokens_col="_tokens")
     return enc.select("doc_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention"))
 

@@ -44,6 +44,17 @@ def test_encode_pads_and_maps_unknown(spark):
     assert out[2].input_ids == [0] * 5 and out[2].n_tokens == 0
 
 
+def test_staged_tokens_path_equals_text_path(spark):
+    df = spark.createDataFrame([(1, "a b zz a."), (2, ""), (3, "<BODY> b\nc")], "doc_id long, t string")
+    by_text = en.build_vocabulary(df, "t", vocab_size=12)
+    toks = en.stage_tokens(df, "t")
+    by_tokens = en.build_vocabulary(toks, None, vocab_size=12, tokens_col="_tokens")
+    assert sorted(by_text.collect()) == sorted(by_tokens.collect())
+    a = {r.doc_id: r for r in en.encode(df, "t", by_text, max_length=6).collect()}
+    b = {r.doc_id: r for r in en.encode(toks, None, by_tokens, max_length=6, tokens_col="_tokens").collect()}
+    assert a == b
+
+
 def test_one_hot_multi_label(spark):
     df = spark.createDataFrame([(1, "a|b"), (2, ""), (3, None), (4, "b")], "id int, label string")
     out, labels = en.encode_labels(df, "label")
