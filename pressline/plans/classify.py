@@ -26,6 +26,7 @@ from pressline.functions.html import extract_pages
 from pressline.operators import metrics as M
 from pressline.operators.encode import TOKEN_PATTERN
 from pressline.operators.sampling import split_exact
+from pressline.plans.stage import stage
 
 NUM_FEATURES = 1 << 18
 
@@ -99,7 +100,10 @@ def train_classifier(training_set: DataFrame, label_col: str = "source_id",
     model = classifier_pipeline(text_col, "label", max_iter).fit(split.where(F.col("phase") == "train"))
     labels = label_order(model)
     pred = score(model, split, [id_col, "phase", "label", "label_idx"])
-    pred = pred.withColumn("truth", F.col("label_idx").cast("int"))
+    # the history reads the predictions three times (totals and one matrix per
+    # phase): score once into the shared folder instead of re-running the model
+    pred = stage(pred.withColumn("truth", F.col("label_idx").cast("int")), "predictions")
+    split.unpersist()
     return TrainResult(model, labels, pred, evaluate(pred, len(labels)))
 
 
