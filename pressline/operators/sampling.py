@@ -45,11 +45,17 @@ def _histogram(df: DataFrame, prefix: str, digits: int) -> list[tuple[str, int]]
     return sorted((r["d"], r["n"]) for r in rows)
 
 
-def kth_key(df: DataFrame, k: int, limit: int = C.TOP_N_SAMPLE_LIMIT) -> str:
-    """Exact k-th smallest value (1-based) of column ``KEY`` (32 hex chars)."""
+def kth_key(df: DataFrame, k: int, limit: int = C.TOP_N_SAMPLE_LIMIT,
+            first_hist: list[tuple[str, int]] | None = None) -> str:
+    """Exact k-th smallest value (1-based) of column ``KEY`` (32 hex chars).
+
+    ``first_hist`` is the whole-table histogram when the caller already has it."""
     prefix, need = "", k
     while True:
-        hist = _histogram(df, prefix, HEX_STEP)
+        if first_hist is not None and not prefix:
+            hist = first_hist
+        else:
+            hist = _histogram(df, prefix, HEX_STEP)
         before = 0
         for digit, n in hist:
             if before + n >= need:
@@ -96,14 +102,17 @@ def split_exact(df: DataFrame, train_share: float, id_col: str = "doc_id",
     if train_share > 1:
         raise ValueError("train share cannot be > 1")
     keyed = df.withColumn(KEY, hash_key(id_col, seed))
-    total = df.count()
+    # the whole-table histogram gives the row count and the first search step
+    # in one aggregate pass (no separate count)
+    hist = _histogram(keyed, "", HEX_STEP)
+    total = sum(n for _, n in hist)
     k = int(train_share * total)
     if k <= 0:
         is_train = F.lit(False)
     elif k >= total:
         is_train = F.lit(True)
     else:
-        is_train = F.col(KEY) <= F.lit(kth_key(keyed, k))
+        is_train = F.col(KEY) <= F.lit(kth_key(keyed, k, first_hist=hist))
     return keyed.withColumn(side_col, F.when(is_train, "train").otherwise("validation")).drop(KEY)
 
 
