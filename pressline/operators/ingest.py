@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,26 @@ def capped_work(cells: DataFrame, max_cells: int | None) -> DataFrame:
     return cells.orderBy("query_date", "source_id").limit(max_cells)
 
 
-def apply_scrape(articles: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+def apply_scrape(articles: DataFrame, pages: DataFrame, key: str = "url",
+                 extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One scrape pass: unscraped articles are joined to extracted pages on url.
 
     Success sets the body, ``scraped`` and ``error=false``; a failed or missing
     page sets ``error=true`` and leaves ``scraped`` false (retried next pass).
     Already scraped rows pass through untouched and never enter the join.
     Adds ``newly_scraped``.
+
+    ``pages`` holds ``key``, ``content_text`` and ``error``, or raw pages when
+    ``extract`` is given (a function adding those two columns). The page store
+    only grows while a pass only needs the pages of unscraped rows, so raw
+    pages are first semi-joined on the key and only those are extracted: the
+    regex work follows the size of the pass, not of the store.
     """
     done = articles.where(F.coalesce(F.col("scraped"), F.lit(False))) \
                    .withColumn("newly_scraped", F.lit(False))
     todo = articles.where(~F.coalesce(F.col("scraped"), F.lit(False)))
+    if extract is not None:
+        pages = extract(pages.join(todo.select(key), key, "left_semi"))
     fetched = pages.select(F.col(key).alias("_k"), F.col("content_text").alias("_body"),
                            F.col("error").alias("_err"))
     joined = todo.join(fetched, todo[key] == fetched["_k"], "left")

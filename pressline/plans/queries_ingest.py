@@ -96,10 +96,13 @@ def q_page_extraction(spark, sf_dir):
 
 
 def page_store(spark, sf_dir):
-    """Stored pages keyed by the article url they were fetched for."""
-    p = load_table(spark, sf_dir, "pages").select(
+    """Stored raw pages keyed by the article url they were fetched for."""
+    return load_table(spark, sf_dir, "pages").select(
         F.concat(F.lit(URL_PREFIX), F.col("page_id").cast("string")).alias("url"), "html")
-    return H.extract_pages(p).select("url", "content_text", "error")
+
+
+def extract_stored(pages):
+    return H.extract_pages(pages).select("url", "content_text", "error")
 
 
 SCRAPE_SQL = f"""
@@ -120,7 +123,7 @@ upd AS (
 
 
 def _scrape_pass(spark, sf_dir):
-    return ig.apply_scrape(load_articles(spark, sf_dir), page_store(spark, sf_dir))
+    return ig.apply_scrape(load_articles(spark, sf_dir), page_store(spark, sf_dir), extract=extract_stored)
 
 
 @register("scrape_status_update", SCRAPE_SQL + """

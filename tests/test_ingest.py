@@ -62,6 +62,24 @@ def test_scrape_pass(spark):
     assert (out[4].scraped, out[4].error) == (False, True)
 
 
+def test_scrape_pass_extracts_only_needed_pages(spark):
+    arts = spark.createDataFrame([(1, "u1", True, "old", False), (2, "u2", False, None, None)],
+                                 "doc_id int, url string, scraped boolean, scraped_content string, error boolean")
+    raw = spark.createDataFrame([("u1", "<article><p>again</p></article>"),
+                                 ("u2", "<article><p>fresh text</p></article>"),
+                                 ("u9", "<article><p>unused</p></article>")], "url string, html string")
+    seen = []
+
+    def extract(p):
+        seen.append(sorted(r.url for r in p.collect()))
+        return H.extract_pages(p).select("url", "content_text", "error")
+
+    out = {r.doc_id: r for r in ig.apply_scrape(arts, raw, extract=extract).collect()}
+    assert seen == [["u2"]]           # scraped and unknown pages are never extracted
+    assert (out[1].scraped_content, out[1].newly_scraped) == ("old", False)
+    assert (out[2].scraped, out[2].scraped_content, out[2].newly_scraped) == (True, "fresh text", True)
+
+
 def test_html_failures_give_error_rows(spark):
     pages = spark.createDataFrame([
         (1, "<html><title>T</title><body><p>no article</p></body></html>"),
