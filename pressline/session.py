@@ -22,12 +22,38 @@ BASE_CONF = {
 }
 
 
+# Extra settings for a large cluster (100 TB of text, ~1000 executors). Sizes are
+# in bytes, so a task's share stays the same as the data grows: scans split at
+# 256 MiB, the shuffle starts with many partitions and adaptive execution
+# coalesces them to ~256 MiB and splits skewed join partitions. Lost executors
+# are retried; decommissioning executors hand their shuffle blocks over.
+# Checkpoints and staged tables go to the cluster's shared spark.checkpoint.dir.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "pressline", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "pressline", extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
