@@ -61,6 +61,8 @@ LOSS_REPORT_EVERY = 200
 
 # Largest small side (rows) that a join may broadcast after its size was checked.
 MAX_BROADCAST_ROWS = 200_000
+# ... and its largest size (bytes of its rows as JSON text, an upper estimate).
+MAX_BROADCAST_BYTES = 64 << 20
 # Up to this many rows an exact sample is taken with a single top-n; beyond it a
 # hash-histogram threshold keeps the work spread over all tasks.
 TOP_N_SAMPLE_LIMIT = 100_000

@@ -27,13 +27,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = C.MAX_BROADCAST_ROWS,
-                      materialize: bool = True) -> DataFrame:
-    """``broadcast(small)`` if it has at most ``max_rows`` rows, else ``small``.
+                      materialize: bool = True, max_bytes: int = C.MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(small)`` if it has at most ``max_rows`` rows and at most
+    ``max_bytes`` bytes, else ``small``.
 
+    Both bounds are measured, not estimated: the rows are counted (stopping
+    past ``max_rows``), and only a side within the row bound has its rows'
+    JSON text length summed (a cheap pass over at most ``max_rows`` rows).
     With ``materialize`` the side is checkpointed first (reliable checkpoint in
-    the shared folder), so counting it and joining with it do not run its
-    upstream plan twice.
+    the shared folder), so measuring it and joining with it do not run its
+    upstream plan again.
     """
     side = small.checkpoint(eager=True) if materialize else small
     n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+    if n > max_rows:
+        return side
+    size = side.select(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in side.columns]))))).first()[0]
+    return F.broadcast(side) if (size or 0) <= max_bytes else side

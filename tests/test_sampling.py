@@ -67,3 +67,16 @@ def test_global_rank_many_buckets(spark, monkeypatch):
 def test_sample_count_accounting(spark):
     r = spark.range(1).select(sm.sample_count_accounting(F.lit(10), 4).alias("n")).collect()[0]
     assert r.n == 12
+
+
+def test_checked_broadcast_bounds_rows_and_bytes(spark):
+    from pressline.plans.stage import checked_broadcast
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    d = spark.range(1000).selectExpr("id", "repeat('x', 100) AS pad")
+    assert hinted(checked_broadcast(d))
+    assert not hinted(checked_broadcast(d, max_rows=999))          # row bound
+    assert not hinted(checked_broadcast(d, max_bytes=10_000))      # byte bound
+    assert checked_broadcast(d, max_bytes=10_000).count() == 1000  # same rows either way
