@@ -111,9 +111,12 @@ def _lookup_batches(tokens_bc, key: str, tokens_col: str, out_col: str):
 def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
     """Broadcast the token list (id order) after checking its size; return
     ``(df, tokens_col, out_col) -> df`` adding an id array per row."""
-    rows = vocab.select("token_id", "token").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"vocabulary exceeds the broadcast bound of {max_rows} rows")
+    head = vocab.select("token_id", "token").limit(max_rows + 1)
+    n, size = head.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    if n > max_rows or (size or 0) > C.MAX_BROADCAST_BYTES:
+        raise ValueError(f"vocabulary exceeds the broadcast bound ({max_rows} rows, "
+                         f"{C.MAX_BROADCAST_BYTES} bytes): {n} rows, {size} bytes")
+    rows = head.collect()
     rows.sort(key=lambda r: r["token_id"])
     tokens = [r["token"] for r in rows]
     if [r["token_id"] for r in rows] != list(range(len(tokens))):
