@@ -14,15 +14,23 @@ def label_parts(label: ColumnOrName, sep: str = "|") -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def label_order(df: DataFrame, label_col: str, sep: str = "|") -> DataFrame:
+def label_order(df: DataFrame, label_col: str, sep: str = "|",
+                max_labels: int | None = None) -> DataFrame:
     """Sorted distinct non-empty label parts as ``(label_idx, label)``.
 
     Label order is by code point (Spark's binary string order), 0-based. The
-    distinct is a hash aggregate; only the (small) set of distinct labels is
-    ranked.
+    distinct is a hash aggregate (map-side combined). The label set is a
+    dimension: it is counted first (stopping past ``max_labels``) and only a
+    set within the bound is ranked, by one window over at most ``max_labels``
+    rows. A larger set raises instead of landing in one task.
     """
     from pyspark.sql import Window
+
+    from pressline.constants import MAX_LABELS
+    bound = MAX_LABELS if max_labels is None else max_labels
     labels = df.select(F.explode(label_parts(label_col, sep)).alias("label")).distinct()
+    if labels.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} distinct labels")
     return labels.select((F.row_number().over(Window.orderBy("label")) - 1).alias("label_idx"), "label")
 
 

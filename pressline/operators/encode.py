@@ -152,7 +152,7 @@ def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
                .drop("_ids"))
 
 
-MAX_LABELS = 10_000
+MAX_LABELS = C.MAX_LABELS
 
 
 def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFrame, list[str]]:
@@ -162,10 +162,7 @@ def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFr
     indexer it is collected to the driver, after its size was checked, and
     enters the plan as one literal array.
     """
-    order = lb.label_order(df, label_col, sep)
-    n = order.limit(MAX_LABELS + 1).count()
-    if n > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels")
+    order = lb.label_order(df, label_col, sep, MAX_LABELS)      # raises past the bound
     labels = [r["label"] for r in order.orderBy("label_idx").collect()]
     arr = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
     out = (df.withColumn("one_hot", lb.one_hot(label_col, arr, sep))

@@ -76,3 +76,13 @@ def test_label_dimension_from_map_or_list(spark):
     a = [tuple(r) for r in lb.label_dimension(spark, {1: "b", 0: "a"}).orderBy("label_idx").collect()]
     b = [tuple(r) for r in lb.label_dimension(spark, ["a", "b"]).orderBy("label_idx").collect()]
     assert a == b == [(0, "a"), (1, "b")]
+
+
+def test_label_order_bound(spark):
+    import pytest
+
+    from pressline.functions import labels as lb
+    df = spark.createDataFrame([("b|a",), ("c",), (None,)], "label string")
+    assert [(r.label_idx, r.label) for r in lb.label_order(df, "label").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    with pytest.raises(ValueError):
+        lb.label_order(df, "label", max_labels=2)
