@@ -19,13 +19,30 @@ from pressline import constants as C
 from pressline.session import checkpoint_root
 
 
+STAGE_DIR = "pressline-stage"
+
+
+def _stage_root(spark) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{STAGE_DIR}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/pressline-stage/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_staged(spark) -> bool:
+    """Delete every staged table of this checkpoint folder (through the Hadoop
+    file system of the shared folder). Call it after the results that read
+    them were written; DataFrames built on staged tables fail afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def checked_broadcast(small: DataFrame, max_rows: int = C.MAX_BROADCAST_ROWS,
                       materialize: bool = True, max_bytes: int = C.MAX_BROADCAST_BYTES) -> DataFrame:
     """``broadcast(small)`` if it has at most ``max_rows`` rows and at most

@@ -80,3 +80,16 @@ def test_checked_broadcast_bounds_rows_and_bytes(spark):
     assert not hinted(checked_broadcast(d, max_rows=999))          # row bound
     assert not hinted(checked_broadcast(d, max_bytes=10_000))      # byte bound
     assert checked_broadcast(d, max_bytes=10_000).count() == 1000  # same rows either way
+
+
+def test_stage_and_drop_staged(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    from pressline.plans.stage import drop_staged, stage
+    st = stage(spark.range(5), "unit")
+    assert st.count() == 5
+    assert drop_staged(spark)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        st.collect()
