@@ -89,6 +89,22 @@ def evaluate(pred: DataFrame, n_labels: int) -> DataFrame:
     return base.join(rep, "phase", "left")
 
 
+def _fit_partitions(df: DataFrame) -> DataFrame:
+    """At most one partition per task slot for the iterative fit.
+
+    Every optimizer iteration aggregates one dense gradient (features x labels)
+    per partition, so the traffic per iteration follows the partition count.
+    Coalescing (no shuffle) to the cluster's parallelism bounds it by the
+    cluster size instead of the data size; each task then reads its rows
+    blockwise from the persisted split.
+    """
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        return df.coalesce(slots) if df.rdd.getNumPartitions() > slots else df
+    except Exception:  # noqa: BLE001 - Spark Connect: keep the server's layout
+        return df
+
+
 def train_classifier(training_set: DataFrame, label_col: str = "source_id",
                      text_col: str = "training_content", id_col: str = "doc_id",
                      train_share: float = C.DEFAULT_TRAIN_SHARE, max_iter: int = 10,
@@ -97,7 +113,7 @@ def train_classifier(training_set: DataFrame, label_col: str = "source_id",
     data = training_set.select(id_col, text_col, F.col(label_col).cast("string").alias("label"))
     split = split_exact(data, train_share, id_col, seed, side_col="phase")
     split = split.persist()
-    model = classifier_pipeline(text_col, "label", max_iter).fit(split.where(F.col("phase") == "train"))
+    model = classifier_pipeline(text_col, "label", max_iter).fit(_fit_partitions(split.where(F.col("phase") == "train")))
     labels = label_order(model)
     pred = score(model, split, [id_col, "phase", "label", "label_idx"])
     # the history reads the predictions three times (totals and one matrix per
