@@ -65,14 +65,20 @@ def present_cells(grid: DataFrame, articles: DataFrame) -> DataFrame:
 
 def hour_histogram(articles: DataFrame, keys: Sequence[str] = ("source_id",),
                    ts_col: str = "published_at") -> DataFrame:
-    """24 hourly bins per key group, empty bins included."""
+    """24 hourly bins per key group, empty bins included.
+
+    One scan: the (group, hour) counts are a partial/final aggregate; each
+    group's at most 24 counts are gathered into a map and spread over the 24
+    bins with a generator (0 where the map has no entry). No join, and no
+    second pass to list the groups.
+    """
     keys = list(keys)
     counts = (articles.groupBy(*keys, hour_of(ts_col).alias("hour"))
                       .agg(F.count(F.lit(1)).alias("n")))
-    groups = counts.select(*keys).distinct()     # from the small aggregate: one scan
-    bins = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    return (bins.join(counts, [*keys, "hour"], "left")
-                .select(*keys, "hour", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    per_group = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("_m"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(23)),
+                       lambda h: F.coalesce(F.try_element_at(F.col("_m"), h), F.lit(0)).cast("bigint"))
+    return per_group.select(*keys, F.posexplode(bins).alias("hour", "n"))
 
 
 def non_null_counts(df: DataFrame, keys: Sequence, columns: Sequence[str]) -> DataFrame:
