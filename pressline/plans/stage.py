@@ -59,5 +59,5 @@ def checked_broadcast(small: DataFrame, max_rows: int = C.MAX_BROADCAST_ROWS,
     n = side.limit(max_rows + 1).count()
     if n > max_rows:
         return side
-    size = side.select(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in side.columns]))))).first()[0]
+    size = side.select(F.sum(F.length(F.to_json(F.struct(*[side[c] for c in side.columns]))))).first()[0]
     return F.broadcast(side) if (size or 0) <= max_bytes else side
