@@ -83,9 +83,10 @@ def sample_exact(df: DataFrame, n: int, id_col: str = "doc_id", seed: str = C.DE
         raise ValueError("n must be >= 0")
     keyed = df.withColumn(KEY, hash_key(id_col, seed))
     if strict:
-        total = df.count()
-        if n > total:
-            raise ValueError(f"cannot take a sample of {n} from {total} rows")
+        # each task reads at most n rows of its split: no full scan for the check
+        have = df.limit(n).count()
+        if have < n:
+            raise ValueError(f"cannot take a sample of {n} from {have} rows")
     if n <= limit:
         return keyed.orderBy(KEY, id_col).limit(n).drop(KEY)
     t = kth_key(keyed, n, limit)
