@@ -75,7 +75,9 @@ def hour_histogram(articles: DataFrame, keys: Sequence[str] = ("source_id",),
     keys = list(keys)
     counts = (articles.groupBy(*keys, hour_of(ts_col).alias("hour"))
                       .agg(F.count(F.lit(1)).alias("n")))
-    per_group = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("_m"))
+    # rows without a timestamp keep their group (all-zero bins) but no map entry
+    entry = F.when(F.col("hour").isNotNull(), F.struct("hour", "n"))
+    per_group = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     bins = F.transform(F.sequence(F.lit(0), F.lit(23)),
                        lambda h: F.coalesce(F.try_element_at(F.col("_m"), h), F.lit(0)).cast("bigint"))
     return per_group.select(*keys, F.posexplode(bins).alias("hour", "n"))

@@ -43,3 +43,15 @@ def test_training_lookup(spark):
     # selection is by publication day: doc 3 was published on 2020-05-01 too
     got = sorted(r.doc_id for r in db.training_lookup(_articles(spark), "s1", "2020-05-01").collect())
     assert got == [1, 2, 3]
+
+
+def test_hour_histogram_bins_and_null_timestamps(spark):
+    from pressline.operators.profile import hour_histogram
+    rows = [("a", dt.datetime(2020, 5, 1, 3)), ("a", dt.datetime(2020, 5, 2, 3)), ("a", None),
+            ("b", None), (None, dt.datetime(2020, 5, 1, 23))]
+    df = spark.createDataFrame(rows, "source_id string, published_at timestamp")
+    got = {(r.source_id, r.hour): r.n for r in hour_histogram(df).collect()}
+    assert len(got) == 3 * 24                       # every group, 24 bins each
+    assert got[("a", 3)] == 2 and sum(v for (k, _), v in got.items() if k == "a") == 2
+    assert all(got[("b", h)] == 0 for h in range(24))
+    assert got[(None, 23)] == 1
