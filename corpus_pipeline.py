@@ -1,13 +1,77 @@
-"""Corpus pipeline: stages are added as their operators arrive."""
+"""Corpus pipeline: five stages over ``documents``, each written and read again as the next one's input.
+
+quality -> near duplicates -> decontamination -> mixing -> token shards. Every stage but the last returns the columns
+of documents. ORACLE_SQL is None, since the trained classifier and the tokens have no SQL; the tests hold each stage against its operator
+and brute force.
+
+Edge cases follow the operators. Rows without doc_id pass the near-duplicate stage (they have no component), and a
+document id that occurs in several rows of one text keeps one of them.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressline.llm import decontaminate, jaccard, mixing, quality, token_shards
+from pressline.llm.common import read_table, small_side, stage
 
-STAGES = []
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (low quality or toxic) go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    found = jaccard.jaccard_components(docs)
+    drop = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-duplicates")
+    kept = docs.join(small_side(drop), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    # rows that repeat an id, few if any, are reduced to one
+    again = stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "pipeline-repeats")
+    if again.isEmpty():
+        return kept
+    single = kept.join(small_side(again), F.col("doc_id") == F.col("again_id"), "left_anti")
+    repeated = kept.join(small_side(again), F.col("doc_id") == F.col("again_id"), "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    drop = stage(found.where("contaminated").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-contaminated")
+    return docs.join(small_side(drop), F.col("doc_id") == F.col("drop_id"), "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: once for each epoch that reaches it. A document that the cut takes in part
+    stays whole; one that no epoch reaches goes."""
+    mixed = mixing.mix(docs)
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    # documents that the mix takes just once need no mark; empty texts, which have no words to take, stay
+    other = stage(mixed.where((F.col("size") > 0) & (times != 1)).groupBy("doc_id").agg(F.max(times).alias("times"))
+                  .select(F.col("doc_id").alias("mix_id"), "times"), "pipeline-mix")
+    joined = docs.join(small_side(other), F.col("doc_id").eqNullSafe(F.col("mix_id")), "left")
+    repeated = joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1)))))
+    return repeated.select(*[docs[c] for c in docs.columns])
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token shards in training order."""
+    return token_shards.token_shards(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_shards", token_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
