@@ -17,6 +17,17 @@ from pressline.llm.common import read_table, small_side, stage
 ORACLE_SQL = None
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column, so that no column of theirs clashes with those of a stage."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (one column, staged)."""
+    side = small_side(ids.toDF("other_id"))
+    return packed(docs).join(side, F.col("row.doc_id") == F.col("other_id"), how).select("row.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (low quality or toxic) go."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
@@ -26,21 +37,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest id stays."""
     found = jaccard.jaccard_components(docs)
     drop = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-duplicates")
-    kept = docs.join(small_side(drop), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    kept = matching(docs, drop, "left_anti")
     # rows that repeat an id, few if any, are reduced to one
     again = stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "pipeline-repeats")
     if again.isEmpty():
         return kept
-    single = kept.join(small_side(again), F.col("doc_id") == F.col("again_id"), "left_anti")
-    repeated = kept.join(small_side(again), F.col("doc_id") == F.col("again_id"), "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return matching(kept, again, "left_anti").unionByName(matching(kept, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     drop = stage(found.where("contaminated").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-contaminated")
-    return docs.join(small_side(drop), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    return matching(docs, drop, "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +60,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # documents that the mix takes just once need no mark; empty texts, which have no words to take, stay
     other = stage(mixed.where((F.col("size") > 0) & (times != 1)).groupBy("doc_id").agg(F.max(times).alias("times"))
                   .select(F.col("doc_id").alias("mix_id"), "times"), "pipeline-mix")
-    joined = docs.join(small_side(other), F.col("doc_id").eqNullSafe(F.col("mix_id")), "left")
-    repeated = joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1)))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    joined = packed(docs).join(small_side(other), F.col("row.doc_id").eqNullSafe(F.col("mix_id")), "left")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1))))).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
