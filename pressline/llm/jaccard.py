@@ -41,7 +41,7 @@ from pressline.llm.shingles import set_digest, shingle_sets
 WORDS = 5
 THRESHOLD = 80       # in hundredths
 #: A 1 / SCREEN part of a set's shingles must be shared within the screened prefix.
-SCREEN = 16
+SCREEN = 8
 BLOCK = 512
 #: Columns of the 0/1 matrices that a unit holds at a time.
 COLUMNS = 2048
