@@ -54,14 +54,18 @@ def json_string(text):
 
 def depths(calls: DataFrame) -> DataFrame:
     """call_id, depth (null on a cycle) by pointer doubling. ``calls``: call_id, after (both unique or null)."""
+    # rows without a link skip the joins, where they would all meet in one task
+    root = (F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("steps"))
     known = calls.select(F.col("call_id").alias("known_id"))
-    now = stage(calls.select("call_id", "after").join(known, F.col("after") == F.col("known_id"), "left")
-                .select("call_id", F.col("known_id").alias("up"), F.when(F.col("known_id").isNull(), 0).otherwise(1).cast("long").alias("steps")), "chat-depth")
+    waiting = calls.where("after IS NOT NULL").join(known, F.col("after") == F.col("known_id"), "left")
+    now = stage(calls.where("after IS NULL").select("call_id", *root).union(
+        waiting.select("call_id", "known_id", F.when(F.col("known_id").isNull(), 0).otherwise(1).cast("long"))), "chat-depth")
     n, covered = now.count(), 1
     while covered <= n and not now.where("up IS NOT NULL").isEmpty():
         above = now.select(F.col("call_id").alias("a_id"), F.col("up").alias("a_up"), F.col("steps").alias("a_steps"))
-        now = stage(now.join(above, F.col("up") == F.col("a_id"), "left").select(
-            "call_id", F.col("a_up").alias("up"), (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps")), "chat-depth")
+        further = now.where("up IS NOT NULL").join(above, F.col("up") == F.col("a_id"))
+        now = stage(now.where("up IS NULL").select("call_id", "up", "steps").union(
+            further.select("call_id", "a_up", F.col("steps") + F.col("a_steps"))), "chat-depth")
         covered *= 2
     return now.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
 
