@@ -65,7 +65,4 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 # Largest label set (a dimension: every encoded row carries a vector this long).
 MAX_LABELS = 10_000
-# Up to this many rows an exact sample is taken with a single top-n; beyond it a
-# hash-histogram threshold keeps the work spread over all tasks.
-TOP_N_SAMPLE_LIMIT = 100_000
 DEFAULT_SEED = "pressline"

@@ -6,14 +6,16 @@ depends on ``rand()`` or on partition layout.
 
 Scale notes
 -----------
-* Small ``n``: ``orderBy(key).limit(n)`` plans as a TakeOrderedAndProject (each
-  task keeps its best ``n``; one merge of ``tasks * n`` rows).
-* Large ``n`` / splits: the exact n-th key is found from hash-prefix histograms.
-  md5 is uniform, so prefix buckets are balanced; each histogram is at most
-  65,536 rows (a fixed bound) and the final selection is a plain filter that
-  runs in every task.
+* Samples and splits of every size find the exact n-th key from hash-prefix
+  histograms. md5 is uniform, so prefix buckets are balanced; each histogram is
+  at most 65,536 rows (a fixed bound), reads only the id column, and the final
+  selection is a filter that runs in every task.
+* Rows that share the n-th key (a repeated or NULL id) are told apart by a hash
+  of the whole row, then by row number; only those rows are staged for it. Rows
+  that are alike in every column are interchangeable.
 * Global ranks (batch shuffling) use per-prefix-bucket counts as offsets plus a
-  row number inside each bucket, never one window over all rows.
+  row number inside each bucket, never one window over all rows. The number of
+  buckets follows the number of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressline import constants as C
+from pressline.plans.stage import stage
 
 KEY = "_sample_key"
 HEX_STEP = 4            # hex digits added per histogram pass (65,536 buckets)
@@ -45,17 +48,17 @@ def _histogram(df: DataFrame, prefix: str, digits: int) -> list[tuple[str, int]]
     return sorted((r["d"], r["n"]) for r in rows)
 
 
-def kth_key(df: DataFrame, k: int, limit: int = C.TOP_N_SAMPLE_LIMIT,
-            first_hist: list[tuple[str, int]] | None = None) -> str:
-    """Exact k-th smallest value (1-based) of column ``KEY`` (32 hex chars).
+def kth_key(df: DataFrame, k: int, first_hist: list[tuple[str, int]] | None = None,
+            key_digits: int = 32) -> tuple[str, int, int]:
+    """Exact k-th smallest value (1-based) of the hex column ``KEY`` as ``(key,
+    rows needed at this key, rows at this key)``.
 
-    ``first_hist`` is the whole-table histogram when the caller already has it."""
+    Each pass adds ``HEX_STEP`` digits. A prefix that holds one row is enough to
+    read the key itself. ``first_hist`` is the whole-table histogram when the
+    caller already has it."""
     prefix, need = "", k
     while True:
-        if first_hist is not None and not prefix:
-            hist = first_hist
-        else:
-            hist = _histogram(df, prefix, HEX_STEP)
+        hist = first_hist if first_hist is not None and not prefix else _histogram(df, prefix, HEX_STEP)
         before = 0
         for digit, n in hist:
             if before + n >= need:
@@ -65,71 +68,83 @@ def kth_key(df: DataFrame, k: int, limit: int = C.TOP_N_SAMPLE_LIMIT,
             raise ValueError(f"k={k} exceeds the number of rows")
         prefix += digit
         need -= before
-        if n <= limit or len(prefix) >= 32:
-            row = (df.where(F.substring(KEY, 1, len(prefix)) == prefix)
-                     .select(KEY).orderBy(KEY).limit(need)
-                     .agg(F.max(KEY).alias("k")).collect()[0])
-            return row["k"]
+        if len(prefix) >= key_digits:
+            return prefix, need, n
+        if n == 1:
+            return df.where(F.substring(KEY, 1, len(prefix)) == prefix).select(KEY).first()[0], 1, 1
+
+
+def _mark_first(df: DataFrame, k: int, id_col: str, seed: str, total: int | None = None,
+                hist: list[tuple[str, int]] | None = None) -> DataFrame:
+    """``df`` with boolean ``_first``: true on exactly the ``k`` rows that come
+    first in the seeded hash order (0 <= k <= rows)."""
+    keyed = df.withColumn(KEY, hash_key(id_col, seed))
+    if k <= 0:
+        return df.withColumn("_first", F.lit(False))
+    if k >= total:
+        return df.withColumn("_first", F.lit(True))
+    t, need, at = kth_key(keyed, k, hist)
+    if need == at:
+        return keyed.withColumn("_first", F.col(KEY) <= t).drop(KEY)
+    # several rows share the k-th key: order just those by content, then by row number
+    content = F.md5(F.to_json(F.struct(*[df[c] for c in df.columns]), {"ignoreNullFields": "false"}))
+    number = F.md5(F.monotonically_increasing_id().cast("string"))
+    ties = stage(keyed.where(F.col(KEY) == t).withColumn(KEY, F.concat(content, number)), "sample-ties")
+    last, _, _ = kth_key(ties, need, key_digits=64)
+    return (keyed.where(F.col(KEY) != t).withColumn("_first", F.col(KEY) < t)
+                 .unionByName(ties.withColumn("_first", F.col(KEY) <= last)).drop(KEY))
+
+
+def _first_histogram(df: DataFrame, id_col: str, seed: str) -> tuple[list[tuple[str, int]], int]:
+    hist = _histogram(df.select(hash_key(id_col, seed).alias(KEY)), "", HEX_STEP)
+    return hist, sum(n for _, n in hist)
 
 
 def sample_exact(df: DataFrame, n: int, id_col: str = "doc_id", seed: str = C.DEFAULT_SEED,
-                 strict: bool = True, limit: int = C.TOP_N_SAMPLE_LIMIT) -> DataFrame:
+                 strict: bool = True) -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by the seeded hash order.
 
     ``strict`` raises when ``n`` exceeds the number of rows (as the original
-    sampler does).
+    sampler does); otherwise all rows are taken. Repeated ids count as the rows
+    they are.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    keyed = df.withColumn(KEY, hash_key(id_col, seed))
-    if strict:
-        # each task reads at most n rows of its split: no full scan for the check
-        have = df.limit(n).count()
-        if have < n:
-            raise ValueError(f"cannot take a sample of {n} from {have} rows")
-    if n <= limit:
-        return keyed.orderBy(KEY, id_col).limit(n).drop(KEY)
-    t = kth_key(keyed, n, limit)
-    return keyed.where(F.col(KEY) <= t).drop(KEY)
+    hist, total = _first_histogram(df, id_col, seed)
+    if strict and total < n:
+        raise ValueError(f"cannot take a sample of {n} from {total} rows")
+    return _mark_first(df, n, id_col, seed, total, hist).where("_first").drop("_first")
 
 
 def split_exact(df: DataFrame, train_share: float, id_col: str = "doc_id",
                 seed: str = C.DEFAULT_SEED, side_col: str = "side") -> DataFrame:
     """Tag ``int(train_share * n)`` rows ``train`` and the rest ``validation``.
 
-    One DataFrame with a side column: the validation side is the complement
-    (negated predicate), so the two never overlap and no anti join is needed.
+    One DataFrame with a side column: the validation side is the complement, so
+    the two never overlap and no anti join is needed.
     """
     if train_share > 1:
         raise ValueError("train share cannot be > 1")
-    keyed = df.withColumn(KEY, hash_key(id_col, seed))
     # the whole-table histogram gives the row count and the first search step
-    # in one aggregate pass (no separate count)
-    hist = _histogram(keyed, "", HEX_STEP)
-    total = sum(n for _, n in hist)
-    k = int(train_share * total)
-    if k <= 0:
-        is_train = F.lit(False)
-    elif k >= total:
-        is_train = F.lit(True)
-    else:
-        is_train = F.col(KEY) <= F.lit(kth_key(keyed, k, first_hist=hist))
-    return keyed.withColumn(side_col, F.when(is_train, "train").otherwise("validation")).drop(KEY)
+    hist, total = _first_histogram(df, id_col, seed)
+    marked = _mark_first(df, int(train_share * total), id_col, seed, total, hist)
+    return marked.withColumn(side_col, F.when(F.col("_first"), "train").otherwise("validation")).drop("_first")
 
 
 def _prefix_digits(total: int, rows_per_bucket: int = 200_000) -> int:
     if total <= rows_per_bucket:
         return 1
-    return max(1, min(4, math.ceil(math.log(total / rows_per_bucket, 16))))
+    return max(1, math.ceil(math.log(total / rows_per_bucket, 16)))
 
 
 def global_rank(df: DataFrame, key: Column, id_col: str, partition_cols: list[str] | None = None,
                 rank_col: str = "rank") -> DataFrame:
     """1-based rank of each row by a uniform hex hash ``key`` (ties by id).
 
-    Offsets per (partition, hash-prefix bucket) come from a bounded count table
-    (<= groups * 16**digits rows, broadcast); inside each bucket a row number
-    finishes the rank. Work per task is ~ rows / 16**digits.
+    Offsets per (partition, hash-prefix bucket) come from a count table
+    (<= groups * 16**digits rows; the planner broadcasts it when it is small);
+    inside each bucket a row number finishes the rank. Work per task is
+    ~ rows / 16**digits.
     """
     parts = partition_cols or []
     keyed = df.withColumn(KEY, key)
@@ -141,9 +156,6 @@ def global_rank(df: DataFrame, key: Column, id_col: str, partition_cols: list[st
     w_off = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, "_bucket",
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_offset"))
-    n_groups = 16 ** digits
-    from pressline.plans.stage import checked_broadcast
-    offsets = checked_broadcast(offsets, max_rows=max(C.MAX_BROADCAST_ROWS, n_groups))
     w_in = Window.partitionBy(*parts, "_bucket").orderBy(KEY, id_col)
     ranked = (keyed.join(offsets, [*parts, "_bucket"])
                    .withColumn(rank_col, F.col("_offset") + F.row_number().over(w_in)))
@@ -158,7 +170,11 @@ def shuffle_batches(df: DataFrame, batch_size: int, epochs: int = 1, id_col: str
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
-    per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if epochs < 0:
+        raise ValueError("epochs must be >= 0")
+    # no epochs, no rows (a sequence from 0 to -1 would count down)
+    numbers = F.sequence(F.lit(0), F.lit(epochs - 1)) if epochs else F.array().cast("array<int>")
+    per_epoch = df.withColumn("epoch", F.explode(numbers))
     key = hash_key(id_col, seed, F.col("epoch"))
     ranked = global_rank(per_epoch, key, id_col, ["epoch"], rank_col="position")
     return ranked.withColumn("batch_id", F.floor((F.col("position") - 1) / batch_size).cast("bigint"))

@@ -21,12 +21,42 @@ def test_sample_exact_top_n(ids):
     assert sorted(got) == sorted(md5_rank(range(1000))[:20])
 
 
-def test_sample_exact_threshold_path_equals_top_n(ids):
-    # limit=5 forces the hash-histogram path (several refinement passes).
-    got = {r.doc_id for r in sm.sample_exact(ids, 300, limit=5).collect()}
+def test_sample_exact_large_n(ids):
+    got = {r.doc_id for r in sm.sample_exact(ids, 300).collect()}
     assert got == set(md5_rank(range(1000))[:300])
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_sample_of_repeated_and_null_ids_is_exact(spark, n):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in sm.sample_exact(df, n).collect()]
+    assert len(got) == n and all(got.count(r) <= rows.count(r) for r in got)
+    again = [tuple(r) for r in sm.sample_exact(df.repartition(3), n).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)     # the layout changes nothing
+
+
+def test_split_of_one_repeated_id(spark):
+    df = spark.createDataFrame([(7, i) for i in range(4)], "doc_id long, v int")
+    sides = [r.side for r in sm.split_exact(df, 0.5).collect()]
+    assert sorted(sides) == ["train", "train", "validation", "validation"]
+
+
+def test_no_wide_top_n_in_the_sample_plan(ids):
+    plan = sm.sample_exact(ids, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Exchange" not in plan
+
+
+def test_lenient_sample_takes_all(ids):
+    assert sm.sample_exact(ids, 1001, strict=False).count() == 1000
+
+
+def test_no_epochs_no_batches(ids):
+    assert sm.shuffle_batches(ids, 4, epochs=0).count() == 0
+    with pytest.raises(ValueError):
+        sm.shuffle_batches(ids, 4, epochs=-1)
+
+
 def test_sample_larger_than_rows_raises(ids):
     with pytest.raises(ValueError):
         sm.sample_exact(ids, 1001)
