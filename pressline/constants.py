@@ -63,6 +63,4 @@ LOSS_REPORT_EVERY = 200
 MAX_BROADCAST_ROWS = 200_000
 # ... and its largest size (bytes of its rows as JSON text, an upper estimate).
 MAX_BROADCAST_BYTES = 64 << 20
-# Largest label set (a dimension: every encoded row carries a vector this long).
-MAX_LABELS = 10_000
 DEFAULT_SEED = "pressline"

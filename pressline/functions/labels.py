@@ -14,24 +14,18 @@ def label_parts(label: ColumnOrName, sep: str = "|") -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def label_order(df: DataFrame, label_col: str, sep: str = "|",
-                max_labels: int | None = None) -> DataFrame:
+def label_order(df: DataFrame, label_col: str, sep: str = "|") -> DataFrame:
     """Sorted distinct non-empty label parts as ``(label_idx, label)``.
 
     Label order is by code point (Spark's binary string order), 0-based. The
-    distinct is a hash aggregate (map-side combined). The label set is a
-    dimension: it is counted first (stopping past ``max_labels``) and only a
-    set within the bound is ranked, by one window over at most ``max_labels``
-    rows. A larger set raises instead of landing in one task.
+    distinct is a hash aggregate (map-side combined); the ranks are prefix sums
+    over ranges of the labels, so their number has no bound.
     """
-    from pyspark.sql import Window
-
-    from pressline.constants import MAX_LABELS
-    bound = MAX_LABELS if max_labels is None else max_labels
-    labels = df.select(F.explode(label_parts(label_col, sep)).alias("label")).distinct()
-    if labels.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} distinct labels")
-    return labels.select((F.row_number().over(Window.orderBy("label")) - 1).alias("label_idx"), "label")
+    from pressline.operators.ranges import prefix_sums
+    from pressline.plans.stage import stage
+    labels = stage(df.select(F.explode(label_parts(label_col, sep)).alias("label")).distinct(), "labels")
+    return (prefix_sums(labels, [F.col("label")], F.lit(1), "_rank")
+            .select(F.col("_rank").cast("int").alias("label_idx"), "label"))
 
 
 def one_hot(label: ColumnOrName, order: Column, sep: str = "|") -> Column:
@@ -81,6 +75,20 @@ def truth_rank(scores: ColumnOrName, truth_idx: ColumnOrName) -> Column:
     return F.size(better) + 1
 
 
+def topk_labels(df: DataFrame, scores_col: str, k: int, names: Column) -> DataFrame:
+    """``df`` without its scores, one row for each of its ``k`` best labels:
+    ``rank`` (from 1), ``label_idx``, ``label`` and ``score``; ties go to the
+    lower index, and NULL scores come last."""
+    s = _col(scores_col)
+    # a map-side sort of one row's scores: highest first, then lowest index
+    ranked = F.transform(s, lambda x, i: F.struct(F.coalesce(-x, F.lit(float("inf"))).alias("d"), i.alias("i"), x.alias("x")))
+    best = F.slice(F.array_sort(ranked), 1, k)
+    out = df.select(*[c for c in df.columns if c != scores_col], F.posexplode(best).alias("_pos", "_best"))
+    return out.select(*[c for c in df.columns if c != scores_col], (F.col("_pos") + 1).cast("int").alias("rank"),
+                      F.col("_best.i").cast("int").alias("label_idx"),
+                      F.element_at(names, F.col("_best.i") + 1).alias("label"), F.col("_best.x").alias("score"))
+
+
 def pad_truncate(ids: ColumnOrName, max_length: int, pad_id: int) -> tuple[Column, Column]:
     """``(input_ids, attention_mask)`` of exactly ``max_length`` ints."""
     ids = _col(ids)

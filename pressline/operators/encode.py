@@ -7,13 +7,11 @@ by ``regexp_extract_all`` inside the JVM.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +19,7 @@ from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions.text import HEADLINE_BODY_MARKERS, PY_WHITESPACE_CLASS, ColumnOrName, _col
 from pressline.operators.columns import with_columns_once
+from pressline.operators.ranges import ROWS_PER_RANGE, prefix_sums
 from pressline.plans.stage import stage
 
 TOKEN_PATTERN = f"<[A-Z_]+/?>|[A-Za-z0-9]+|[^A-Za-z0-9{PY_WHITESPACE_CLASS}]"
@@ -33,7 +32,12 @@ UNK_TOKEN = "<unk>"
 RESERVED = [PAD_TOKEN, CLS_TOKEN, UNK_TOKEN] + HEADLINE_BODY_MARKERS
 PAD_ID, CLS_ID, UNK_ID = 0, 1, 2
 SEPARATOR = "\n"
-DEFAULT_VOCAB_SIZE = 50_000
+
+# Tokens looked up from a broadcast list: the most frequent ids, and only tokens
+# of at most so many bytes, so the list never exceeds 13 MB. All other tokens
+# are joined; being rarer than every listed one, none of them is a hot key.
+HEAD_TOKENS = 50_000
+HEAD_TOKEN_BYTES = 256
 
 
 def tokenize(text: ColumnOrName) -> Column:
@@ -41,20 +45,18 @@ def tokenize(text: ColumnOrName) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def build_vocabulary(df: DataFrame, text_col: str | None, vocab_size: int = DEFAULT_VOCAB_SIZE,
-                     tokens_col: str | None = None) -> DataFrame:
-    """``(token_id, token, freq)``: reserved tokens first, then the most frequent
-    ``vocab_size - len(RESERVED)`` tokens by (freq desc, token).
+def build_vocabulary(df: DataFrame, text_col: str | None, vocab_size: int | None = None,
+                     tokens_col: str | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``(token_id, token, freq)``: reserved tokens first, then every other token
+    by (freq desc, token). ``vocab_size`` keeps only that many ids; by default
+    every distinct token has one.
 
     Tokens come from ``tokens_col`` when given (an already tokenised, staged
     column), else from tokenising ``text_col``. Counting is an exploded hash
     aggregate (map-side combined: a very frequent token is one counter per
-    task). The id assignment only touches the bounded top list
-    (TakeOrderedAndProject), never all distinct tokens. Tokens past the cap map
-    to the unknown id when encoding.
+    task). Ids are ranks over ranges of the counts, so no task sees all tokens.
     """
-    room = vocab_size - len(RESERVED)
-    if room < 0:
+    if vocab_size is not None and vocab_size < len(RESERVED):
         raise ValueError("vocab_size smaller than the reserved tokens")
     spark = df.sparkSession
     toks = F.col(tokens_col) if tokens_col else tokenize(text_col)
@@ -63,10 +65,11 @@ def build_vocabulary(df: DataFrame, text_col: str | None, vocab_size: int = DEFA
     # the two consumers below filter on the grouping key, which Catalyst would
     # push under the aggregate (two tokenising passes); stage the counts once
     counts = stage(counts, "token-counts")
-    top = (counts.where(~F.col("token").isin(RESERVED))
-                 .orderBy(F.col("freq").desc(), F.col("token")).limit(room))
-    ranked = top.select((F.row_number().over(Window.orderBy(F.col("freq").desc(), F.col("token")))
-                         + F.lit(len(RESERVED) - 1)).cast("int").alias("token_id"), "token", "freq")
+    ranked = prefix_sums(counts.where(~F.col("token").isin(RESERVED)),
+                         [F.col("freq").desc(), F.col("token")], F.lit(1), "_rank", rows_per_range)
+    ranked = ranked.select((F.col("_rank") + len(RESERVED)).cast("int").alias("token_id"), "token", "freq")
+    if vocab_size is not None:
+        ranked = ranked.where(F.col("token_id") < vocab_size)
     reserved_freq = counts.where(F.col("token").isin(RESERVED))
     reserved = (spark.createDataFrame([(i, t) for i, t in enumerate(RESERVED)], "token_id int, token string")
                      .join(reserved_freq, "token", "left")
@@ -83,163 +86,173 @@ def stage_tokens(df: DataFrame, text_col: str, tokens_col: str = "_tokens") -> D
                  "doc-tokens")
 
 
-_VOCAB_CACHE: dict[str, pa.Array] = {}
+_VOCAB_CACHE: dict[str, tuple[pa.Array, pa.Array]] = {}
 
 
-def _lookup_batches(tokens_bc, key: str, tokens_col: str, out_col: str):
-    """``mapInArrow`` body: append ``out_col`` = ids of ``tokens_col``.
+def _lookup_batches(head_bc, key: str, tokens_col: str, out_col: str):
+    """``mapInArrow`` body: append ``out_col`` = ids of ``tokens_col``, NULL for
+    tokens outside the broadcast list.
 
     Per Arrow batch, all tokens are looked up at once with ``index_in``
-    (a vectorised hash probe, no Python objects per token); unknown tokens get
-    the unknown id. The token list is broadcast once per executor.
+    (a vectorised hash probe, no Python objects per token).
     """
     def run(batches):
-        vocab = _VOCAB_CACHE.get(key)
-        if vocab is None:
-            vocab = pa.array(tokens_bc.value, type=pa.string())
-            _VOCAB_CACHE[key] = vocab
+        head = _VOCAB_CACHE.get(key)
+        if head is None:
+            tokens, ids = head_bc.value
+            head = pa.array(tokens, type=pa.string()), pa.array(ids, type=pa.int32())
+            _VOCAB_CACHE.clear()      # a reused Python worker keeps one list
+            _VOCAB_CACHE[key] = head
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(tokens_col))
-            flat = col.flatten()
-            codes = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=vocab), UNK_ID).cast(pa.int32())
+            codes = head[1].take(pc.index_in(col.flatten().cast(pa.string()), value_set=head[0]))
             offsets = pc.subtract(col.offsets, col.offsets[0]).cast(pa.int32())
             ids = pa.ListArray.from_arrays(offsets, codes, mask=col.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
     return run
 
 
-def vocabulary_lookup(vocab: DataFrame, max_rows: int = 2 * DEFAULT_VOCAB_SIZE):
-    """Broadcast the token list (id order) after checking its size; return
-    ``(df, tokens_col, out_col) -> df`` adding an id array per row."""
-    head = vocab.select("token_id", "token").limit(max_rows + 1)
-    n, size = head.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
-    if n > max_rows or (size or 0) > C.MAX_BROADCAST_BYTES:
-        raise ValueError(f"vocabulary exceeds the broadcast bound ({max_rows} rows, "
-                         f"{C.MAX_BROADCAST_BYTES} bytes): {n} rows, {size} bytes")
-    rows = head.collect()
-    rows.sort(key=lambda r: r["token_id"])
-    tokens = [r["token"] for r in rows]
-    if [r["token_id"] for r in rows] != list(range(len(tokens))):
-        raise ValueError("token ids must be 0..n-1")
-    bc = vocab.sparkSession.sparkContext.broadcast(tokens)
-    key = uuid.uuid4().hex
-
-    def apply(df: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
-        schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-        return df.mapInArrow(_lookup_batches(bc, key, tokens_col, out_col), schema)
-    return apply
+def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
+               head_tokens: int = HEAD_TOKENS) -> DataFrame:
+    """``df`` with ``out_col`` = the vocabulary ids of ``tokens_col`` (tokens
+    that the vocabulary lacks get the unknown id; a NULL array stays NULL).
+
+    The frequent tokens are looked up per Arrow batch from a broadcast list of
+    bounded size. Rows with other tokens are joined: the distinct (row, token)
+    pairs meet the rest of the vocabulary by a shuffle join, and each row gets
+    its few pairs back as a map.
+    """
+    spark = df.sparkSession
+    is_head = (F.col("token_id") < head_tokens) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    rows = vocab.where(is_head).select("token", "token_id").collect()     # <= head_tokens rows of <= 256 bytes
+    head_bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    schema = T.StructType([*df.schema.fields, T.StructField("_head", T.ArrayType(T.IntegerType()))])
+    looked = df.mapInArrow(_lookup_batches(head_bc, uuid.uuid4().hex, tokens_col, "_head"), schema)
+    # written once, so that the row number means the same row in both readings
+    looked = stage(looked.withColumn("_row", F.monotonically_increasing_id()), "token-ids")
+    has_rest = F.exists("_head", lambda i: i.isNull())
+    missing = F.filter(F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_head").alias("i")), lambda z: z["i"].isNull())
+    pairs = (looked.where(has_rest)
+                   .select("_row", F.explode(F.array_distinct(F.transform(missing, lambda z: z["t"]))).alias("token"))
+                   .join(vocab.where(~is_head).select("token", "token_id"), "token"))
+    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_rest"))
+    # rows without such tokens skip the join
+    plain = looked.where(~F.coalesce(has_rest, F.lit(False))).withColumn(out_col, F.col("_head"))
+    zipped = F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_head").alias("i"))
+    joined = (looked.where(has_rest).join(maps, "_row", "left")
+                    .withColumn(out_col, F.transform(zipped, lambda z: F.coalesce(
+                        z["i"], F.try_element_at(F.col("_rest"), z["t"]), F.lit(UNK_ID)))))
+    columns = [*df.columns, out_col]
+    return plain.select(*columns).unionByName(joined.select(*columns))
 
 
 def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
-           max_length: int = C.DEFAULT_ENCODE_LENGTH, tokens_col: str | None = None) -> DataFrame:
+           max_length: int = C.DEFAULT_SEQUENCE_LENGTH, tokens_col: str | None = None,
+           all_windows: bool = False) -> DataFrame:
     """Replaces ``text_col`` (or the token array ``tokens_col``) by
     ``n_tokens``, ``input_ids`` and ``attention_mask`` (both exactly
     ``max_length`` long, padded with the end-of-text id).
 
+    A text keeps its first ``max_length`` tokens, as in the original encoder;
+    with ``all_windows`` it gives one row for each run of ``max_length`` tokens,
+    numbered by ``window_idx`` (a text without tokens gives one padded row).
     Text is tokenised in the JVM and dropped before the id lookup, so only the
     other columns and the token arrays cross into Python (Arrow batches).
     """
-    lookup = vocabulary_lookup(vocab)
+    if max_length <= 0:
+        raise ValueError("max_length must be > 0")
     if tokens_col:
         tokens = df.withColumnRenamed(tokens_col, "_tokens") if tokens_col != "_tokens" else df
     else:
         tokens = with_columns_once(df, {"_tokens": tokenize(text_col)}).drop(text_col)
-    out = lookup(tokens, "_tokens", "_ids").drop("_tokens")
+    tokens = tokens.withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>")))
+    out = lookup_ids(tokens, "_tokens", vocab, "_ids").drop("_tokens").withColumn("n_tokens", F.size("_ids"))
+    if all_windows:
+        last = F.greatest(F.ceil(F.col("n_tokens") / max_length) - 1, F.lit(0)).cast("int")
+        out = out.withColumn("window_idx", F.explode(F.sequence(F.lit(0), last)))
+        out = out.withColumn("_ids", F.slice("_ids", F.col("window_idx") * max_length + 1, F.lit(max_length)))
     input_ids, mask = lb.pad_truncate("_ids", max_length, PAD_ID)
-    return (out.withColumn("n_tokens", F.size("_ids"))
-               .withColumn("input_ids", input_ids)
+    return (out.withColumn("input_ids", input_ids)
                .withColumn("attention_mask", mask)
                .drop("_ids"))
 
 
-MAX_LABELS = C.MAX_LABELS
+def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """One-hot label vectors in sorted label order; returns (frame, label order
+    as ``(label_idx, label)``).
 
-
-def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFrame, list[str]]:
-    """One-hot label vectors in sorted label order; returns (frame, label order).
-
-    The label order is the sorted distinct set of label parts. Like a string
-    indexer it is collected to the driver, after its size was checked, and
-    enters the plan as one literal array.
+    The order is one array of names (every one-hot vector is as long, so it fits
+    where one row fits); it reaches the rows as a scalar subquery, whatever its
+    length.
     """
-    order = lb.label_order(df, label_col, sep, MAX_LABELS)      # raises past the bound
-    labels = [r["label"] for r in order.orderBy("label_idx").collect()]
-    arr = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-    out = (df.withColumn("one_hot", lb.one_hot(label_col, arr, sep))
-             .withColumn("label_idx", lb.label_index("one_hot")))
-    return out, labels
+    order = stage(lb.label_order(df, label_col, sep), "label-order")
+    names = order.agg(F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label"))), lambda r: r["label"]))
+    # a subquery may not stand inside a higher-order function: it gets a column of its own first
+    out = (df.withColumn("_names", F.coalesce(names.scalar(), F.array().cast("array<string>")))
+             .withColumn("one_hot", lb.one_hot(label_col, F.col("_names"), sep))
+             .withColumn("label_idx", lb.label_index("one_hot")).drop("_names"))
+    return out, order
 
 
 # ---------------------------------------------------------------------------
 # Token-block packing
 # ---------------------------------------------------------------------------
 
-MAX_RANGES = 100_000
-
+def with_separator(tokens: ColumnOrName) -> Column:
+    """The tokens of a row and the separator that follows them (NULL: none)."""
+    return F.concat(F.coalesce(_col(tokens), F.array().cast("array<string>")), F.array(F.lit(SEPARATOR)))
 
-def _range_buckets(df: DataFrame, order_col: str, rows_per_bucket: int) -> tuple[DataFrame, int]:
-    """Adds ``_bucket``: contiguous ranges of ``order_col`` with about equal row
-    counts (approximate quantiles as split points, binary search in the JVM).
-    Returns the frame and the number of ranges (at most ``MAX_RANGES``)."""
-    total = df.count()
-    nb = max(1, min(MAX_RANGES, math.ceil(total / rows_per_bucket)))
-    if nb == 1:
-        return df.withColumn("_bucket", F.lit(0.0)), 1
-    probs = [i / nb for i in range(1, nb)]
-    cuts = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * nb))))
-    splits = [-float("inf")] + [float(c) + 0.5 for c in cuts] + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_order_d", outputCol="_bucket")
-    out = b.transform(df.withColumn("_order_d", F.col(order_col).cast("double"))).drop("_order_d")
-    return out, len(splits) - 1
 
+def pack_arrays(df: DataFrame, items_col: str, order_col: str, block_size: int, out_col: str = "tokens",
+                rows_per_range: int = ROWS_PER_RANGE, keep_tail: bool = False) -> DataFrame:
+    """Concatenate the arrays of every row in ``order_col`` order, leave out the
+    very last item (the separator behind the last row) and cut the rest into
+    blocks of ``block_size``. Returns ``(block_id, out_col)``. The incomplete
+    tail is dropped as in the original job unless ``keep_tail`` is set.
 
-def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
-                block_size: int = C.DEFAULT_BLOCK_SIZE, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Concatenate the tokens of every row in ``order_col`` order with one
-    separator token between rows, cut into non-overlapping blocks of
-    ``block_size`` tokens, and drop the incomplete tail. Returns
-    ``(block_id, tokens)``.
-
-    Plan: every row is tokenised once into a staged table ``(key, length,
-    tokens)``. Planning passes read only ``(key, length)``: ranges of about
-    ``rows_per_bucket`` keys (approximate quantiles), range totals (at most
-    ``MAX_RANGES`` rows, collected) give exclusive prefix offsets, and a window
-    inside each range gives every row its global start. Rows are then joined
-    to their tokens, sliced into the pieces of the blocks they touch, and
-    pieces are grouped by block (a block gathers at most ``block_size`` pieces,
-    one per row it spans).
+    ``order_col`` may be of any sortable type; rows with equal keys are ordered
+    by content. Plan: prefix sums run over ``(key, length)`` only. Starts are
+    joined to the arrays by row number (the one shuffle of the arrays). Blocks
+    that lie wholly inside a row are emitted where they are; only the first and
+    last piece of a row are grouped (a block has at most ``block_size`` pieces).
     """
+    if block_size <= 0:
+        raise ValueError("block_size must be > 0")
     B = block_size
-    spark = df.sparkSession
-    toks = with_columns_once(df.select(order_col, text_col),
-                             {"_t": F.concat(tokenize(text_col), F.array(F.lit(SEPARATOR)))})
-    staged = stage(toks.select(order_col, "_t", F.size("_t").cast("bigint").alias("_len")), "pack-tokens")
-    lens, nb = _range_buckets(staged.select(order_col, "_len"), order_col, rows_per_bucket)
-    totals = sorted((r["_bucket"], r["_blen"]) for r in
-                    lens.groupBy("_bucket").agg(F.sum("_len").alias("_blen")).collect())  # <= MAX_RANGES rows
-    offsets, run = [], 0
-    for bucket, n in totals:
-        offsets.append((float(bucket), run))
-        run += n
-    usable = ((run - 1) // B) * B if run > 0 else 0     # positions before the trailing separator
-    if usable == 0:
-        return spark.createDataFrame([], "block_id bigint, tokens array<string>")
-    inside = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_len").over(inside), F.lit(0))
-    if nb == 1:
-        starts = lens.select(order_col, "_len", before.alias("_start"))
-    else:
-        off = F.broadcast(spark.createDataFrame(offsets, "_bucket double, _boff bigint"))
-        starts = lens.join(off, "_bucket").select(order_col, "_len", (F.col("_boff") + before).alias("_start"))
-    placed = starts.where(F.col("_start") < usable).join(staged.select(order_col, "_t"), order_col)
-    first_b = F.floor(F.col("_start") / B)
-    last_b = F.floor((F.least(F.col("_start") + F.col("_len"), F.lit(usable)) - 1) / B)
-    pieces = placed.select("_t", "_start", "_len", F.explode(F.sequence(first_b, last_b)).alias("block_id"))
+    staged = stage(df.select(F.col(order_col).alias("_key"), F.col(items_col).alias("_t"),
+                             F.monotonically_increasing_id().alias("_row")).where(F.size("_t") > 0), "pack-items")
+    lens = staged.select("_key", F.size("_t").cast("bigint").alias("_len"), F.xxhash64("_t").alias("_hash"), "_row")
+    starts = prefix_sums(lens, [F.col("_key"), F.col("_hash"), F.col("_row")], F.col("_len"), "_start", rows_per_range)
+    total = lens.agg(F.sum("_len")).first()[0] or 0
+    usable = max(total - 1, 0)
+    if not keep_tail:
+        usable = usable // B * B
+    placed = (starts.where(F.col("_start") < usable)
+                    .select("_row", "_start", F.least(F.col("_start") + F.col("_len"), F.lit(usable)).alias("_end"))
+                    .join(staged.select("_row", "_t"), "_row"))
+    blocks = F.sequence(F.floor(F.col("_start") / B), F.floor((F.col("_end") - 1) / B))
+    pieces = placed.select("_t", "_start", "_end", F.explode(blocks).alias("block_id"))
     lo = F.greatest(F.col("_start"), F.col("block_id") * B)
-    hi = F.least(F.col("_start") + F.col("_len"), (F.col("block_id") + 1) * B)
-    pieces = pieces.select("block_id", F.struct(
-        lo.alias("lo"), F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-        .alias("_p"))
-    return (pieces.groupBy("block_id")
-                  .agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
-                  .select("block_id", F.flatten(F.transform("_ps", lambda p: p["piece"])).alias("tokens")))
+    hi = F.least(F.col("_end"), (F.col("block_id") + 1) * B)
+    pieces = pieces.select("block_id", lo.alias("_lo"), hi.alias("_hi"),
+                           F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias(out_col))
+    whole = F.col("_hi") - F.col("_lo") == F.least(F.lit(B), F.lit(usable) - F.col("block_id") * B)
+    shared = (pieces.where(~whole).groupBy("block_id")
+                    .agg(F.sort_array(F.collect_list(F.struct("_lo", out_col))).alias("_ps"))
+                    .select("block_id", F.flatten(F.transform("_ps", lambda p: p[out_col])).alias(out_col)))
+    return pieces.where(whole).select("block_id", out_col).unionByName(shared)
+
+
+def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
+                block_size: int = C.DEFAULT_BLOCK_SIZE, rows_per_range: int = ROWS_PER_RANGE,
+                ids: bool = False, keep_tail: bool = False) -> DataFrame:
+    """Token blocks of all texts in ``order_col`` order, one separator token
+    between rows: ``(block_id, tokens)``, or ``(block_id, input_ids)`` with the
+    ids of the corpus's own vocabulary when ``ids`` is set."""
+    toks = with_columns_once(df.select(order_col, text_col), {"_tokens": with_separator(tokenize(text_col))})
+    toks = toks.select(F.col(order_col), "_tokens")
+    if not ids:
+        return pack_arrays(toks, "_tokens", order_col, block_size, "tokens", rows_per_range, keep_tail)
+    toks = stage(toks, "doc-tokens")
+    found = lookup_ids(toks, "_tokens", build_vocabulary(toks, None, tokens_col="_tokens"), "_ids")
+    return pack_arrays(found, "_ids", order_col, block_size, "input_ids", rows_per_range, keep_tail)

@@ -25,10 +25,15 @@ def confusion_matrix(scored: DataFrame, n_labels: int, truth: str = "truth",
                      guess: str = "guess") -> DataFrame:
     """``(truth, guess, n)`` for every cell of the label grid (absent cells 0).
 
-    One entry per scored row, rows = truth, columns = guess.
+    One entry per scored row, rows = truth, columns = guess. A label outside
+    ``0..n_labels-1`` or NULL fails the job, as it has no cell.
     """
-    counts = (scored.groupBy(F.col(truth).cast("int").alias("truth"),
-                             F.col(guess).cast("int").alias("guess"))
+    def inside(c: str) -> Column:
+        label = F.col(c).cast("int")
+        return F.when(label.between(0, n_labels - 1), label).otherwise(
+            F.raise_error(F.concat(F.lit(f"{c} outside 0..{n_labels - 1}: "), F.coalesce(label.cast("string"), F.lit("NULL")))))
+
+    counts = (scored.groupBy(inside(truth).alias("truth"), inside(guess).alias("guess"))
                     .agg(F.count(F.lit(1)).alias("n")))
     grid = label_grid(scored.sparkSession, n_labels)
     return (grid.join(counts, ["truth", "guess"], "left")

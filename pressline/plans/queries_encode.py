@@ -19,7 +19,7 @@ SAMPLE_N = 50
 SPLIT_SHARE = C.DEFAULT_TRAIN_SHARE
 BATCH_SIZE, EPOCHS = 4, 2
 BLOCK = C.DEFAULT_BLOCK_SIZE
-ENCODE_LENGTH = C.DEFAULT_ENCODE_LENGTH
+ENCODE_LENGTH = C.DEFAULT_SEQUENCE_LENGTH
 
 
 @register("sample_exact", _with_articles(f"""
@@ -107,78 +107,89 @@ def q_label_one_hot(spark, sf_dir):
 
 
 def _markup_corpus(spark, sf_dir):
-    a = load_articles(spark, sf_dir).where("scraped")
-    return a.select("doc_id", tx.format_headline_body(tx.remove_captions("scraped_content"), "title")
-                    .alias("training_content"))
+    """Marked-up text of every article (the excerpt where no body was scraped) and its label text."""
+    a = load_articles(spark, sf_dir)
+    body = F.coalesce("scraped_content", "content")
+    return a.select("doc_id", F.concat_ws("|", "source_name", "source_id").alias("label"),
+                    tx.format_headline_body(tx.remove_captions(body), "title").alias("training_content"))
 
 
 def _reserved_values() -> str:
     return ", ".join(f"({i}, {S.q(t)})" for i, t in enumerate(en.RESERVED))
 
 
-def _vocab_sql(corpus_sql: str, vocab_size: int = en.DEFAULT_VOCAB_SIZE) -> str:
-    room = vocab_size - len(en.RESERVED)
+def _vocab_sql(tokens_sql: str) -> str:
+    """``counts`` and ``vocab`` over ``toks (doc_id, t)``."""
     reserved_list = ", ".join(S.q(t) for t in en.RESERVED)
     return f"""
-corpus AS ({corpus_sql}),
-counts AS (SELECT tok AS token, count(*) AS freq
-           FROM (SELECT unnest(regexp_extract_all(training_content, {S.q(en.TOKEN_PATTERN)})) AS tok FROM corpus)
-           GROUP BY tok),
+toks AS ({tokens_sql}),
+counts AS (SELECT tok AS token, count(*) AS freq FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok),
 reserved AS (SELECT * FROM (VALUES {_reserved_values()}) AS r(token_id, token)),
 ranked AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, token) + {len(en.RESERVED) - 1} AS INTEGER) AS token_id,
                   token, CAST(freq AS BIGINT) AS freq
-           FROM counts WHERE token NOT IN ({reserved_list})
-           ORDER BY freq DESC, token LIMIT {room}),
+           FROM counts WHERE token NOT IN ({reserved_list})),
 vocab AS (SELECT CAST(r.token_id AS INTEGER) AS token_id, r.token, CAST(coalesce(c.freq, 0) AS BIGINT) AS freq
           FROM reserved r LEFT JOIN counts c ON r.token = c.token
           UNION ALL SELECT token_id, token, freq FROM ranked)
 """
 
 
-MARKUP_CORPUS_SQL = (f"SELECT doc_id, {S.format_headline_body(S.remove_captions('scraped_content'), 'title')} "
-                     f"AS training_content FROM articles WHERE scraped")
+BODY_SQL = "coalesce(scraped_content, content)"
+MARKUP_TOKENS_SQL = (f"SELECT doc_id, regexp_extract_all("
+                     f"{S.format_headline_body(S.remove_captions(BODY_SQL), 'title')}, {S.q(en.TOKEN_PATTERN)}) AS t "
+                     f"FROM articles")
 
 
-@register("vocabulary", f"WITH articles AS ({ARTICLES_SQL}),\n" + _vocab_sql(MARKUP_CORPUS_SQL)
+@register("vocabulary", f"WITH articles AS ({ARTICLES_SQL}),\n" + _vocab_sql(MARKUP_TOKENS_SQL)
           + "SELECT token_id, token, freq FROM vocab")
 def q_vocabulary(spark, sf_dir):
+    """Every distinct token of the marked-up articles, with its id."""
     return en.build_vocabulary(_markup_corpus(spark, sf_dir), "training_content")
 
 
-@register("encode_documents", f"WITH articles AS ({ARTICLES_SQL}),\n" + _vocab_sql(MARKUP_CORPUS_SQL) + f"""
-, toks AS (SELECT doc_id, regexp_extract_all(training_content, {S.q(en.TOKEN_PATTERN)}) AS t FROM corpus),
-flat AS (SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS pos FROM toks),
-ids AS (SELECT f.doc_id, list(coalesce(v.token_id, {en.UNK_ID}) ORDER BY f.pos) AS ids
-        FROM flat f LEFT JOIN vocab v ON f.tok = v.token GROUP BY f.doc_id),
+@register("encode_documents", f"WITH articles AS ({ARTICLES_SQL}),\n" + _vocab_sql(MARKUP_TOKENS_SQL) + f"""
+, flat AS (SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS pos FROM toks),
+ids AS (SELECT f.doc_id, list(v.token_id ORDER BY f.pos) AS ids
+        FROM flat f JOIN vocab v ON f.tok = v.token GROUP BY f.doc_id),
 enc AS (SELECT toks.doc_id, coalesce(ids.ids, []) AS ids FROM toks LEFT JOIN ids ON toks.doc_id = ids.doc_id),
-padded AS (SELECT doc_id, len(ids) AS n_tokens, ids[1:{ENCODE_LENGTH}] AS kept FROM enc)
-SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens,
+win AS (SELECT doc_id, len(ids) AS n_tokens, CAST(w AS INTEGER) AS window_idx,
+               ids[w * {ENCODE_LENGTH} + 1 : (w + 1) * {ENCODE_LENGTH}] AS kept
+        FROM (SELECT *, unnest(range(greatest(CAST(ceil(len(ids) / {ENCODE_LENGTH}) AS BIGINT), 1))) AS w FROM enc)),
+lab AS (SELECT doc_id, list_filter([source_name, source_id], lambda p: p <> '') AS parts FROM articles),
+ord AS (SELECT list(l ORDER BY l) AS names FROM (SELECT DISTINCT unnest(parts) AS l FROM lab)),
+oh AS (SELECT doc_id, list_transform(names, lambda x: CAST(list_contains(parts, x) AS INTEGER)) AS one_hot,
+              array_to_string(names, ',') AS label_order FROM lab, ord)
+SELECT win.doc_id, window_idx, CAST(n_tokens AS INTEGER) AS n_tokens,
        array_to_string(list_concat(kept, list_transform(range({ENCODE_LENGTH} - len(kept)), lambda x: {en.PAD_ID})), ' ') AS input_ids,
-       CAST(len(kept) AS INTEGER) AS attention
-FROM padded
+       repeat('1', len(kept)) || repeat('0', {ENCODE_LENGTH} - len(kept)) AS attention_mask,
+       array_to_string(one_hot, '') AS one_hot, label_order,
+       CAST(CASE WHEN list_position(one_hot, 1) > 0 THEN list_position(one_hot, 1) - 1 ELSE 0 END AS INTEGER) AS label_idx
+FROM win JOIN oh ON win.doc_id = oh.doc_id
 """)
 def q_encode_documents(spark, sf_dir):
+    """The encoded training set: every window of ids with its mask, the one-hot label row and the label order."""
     toks = en.stage_tokens(_markup_corpus(spark, sf_dir), "training_content")
     vocab = en.build_vocabulary(toks, None, tokens_col="_tokens")
-    enc = en.encode(toks, None, vocab, ENCODE_LENGTH, tokens_col="_tokens")
-    return enc.select("doc_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
-                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention"))
-
-
-@register("token_blocks", f"""
-WITH t AS (SELECT doc_id, list_append(regexp_extract_all(text, {S.q(en.TOKEN_PATTERN)}), chr(10)) AS toks FROM documents),
-u AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM t),
-g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM u),
+    labelled, order = en.encode_labels(toks, "label")
+    enc = en.encode(labelled, None, vocab, ENCODE_LENGTH, tokens_col="_tokens", all_windows=True)
+    names = order.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label"))),
+                                               lambda r: r["label"]), ","))
+    return enc.select("doc_id", "window_idx", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("attention_mask", "").alias("attention_mask"),
+                      F.array_join("one_hot", "").alias("one_hot"), names.scalar().alias("label_order"), "label_idx")
+
+
+@register("token_blocks", "WITH " + _vocab_sql(
+    f"SELECT doc_id, list_append(regexp_extract_all(text, {S.q(en.TOKEN_PATTERN)}), chr(10)) AS t FROM documents") + f"""
+, u AS (SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM toks),
+g AS (SELECT v.token_id, row_number() OVER (ORDER BY u.doc_id, u.i) - 1 AS pos FROM u JOIN vocab v ON u.tok = v.token),
 tot AS (SELECT count(*) - 1 AS usable FROM g),
-b AS (SELECT CAST(pos // {BLOCK} AS BIGINT) AS block_id, list(tok ORDER BY pos) AS tokens
+b AS (SELECT CAST(pos // {BLOCK} AS BIGINT) AS block_id, list(token_id ORDER BY pos) AS ids
       FROM g, tot WHERE pos < (usable // {BLOCK}) * {BLOCK} GROUP BY 1)
-SELECT block_id, CAST(len(tokens) AS INTEGER) AS n_tokens, tokens[1] AS first_token,
-       tokens[{BLOCK}] AS last_token, md5(array_to_string(tokens, ' ')) AS block_md5
-FROM b
+SELECT block_id, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ' ') AS input_ids FROM b
 """)
 def q_token_blocks(spark, sf_dir):
+    """Blocks of token ids over all documents, one separator between two documents."""
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = en.pack_blocks(d, "text", "doc_id", BLOCK)
-    return b.select("block_id", F.size("tokens").alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"),
-                    F.element_at("tokens", BLOCK).alias("last_token"),
-                    F.md5(F.array_join("tokens", " ")).alias("block_md5"))
+    b = en.pack_blocks(d, "text", "doc_id", BLOCK, ids=True)
+    return b.select("block_id", F.size("input_ids").alias("n_tokens"), F.array_join("input_ids", " ").alias("input_ids"))

@@ -1,7 +1,8 @@
 """Registered queries: evaluation metrics over score tables and step logs.
 
-Score table (FIXTURES.md section 4): ``embeddings`` -> ``scores`` = first ten
-embedding values as doubles, ``truth`` = label. Two-label table: ``labels`` with
+Score table (FIXTURES.md section 4): ``embeddings`` -> ``scores`` = dot products
+of the whole vector with the ten mean vectors (one per label), ``truth`` =
+label. Two-label table: ``labels`` with
 ``quality`` as truth and ``toxic`` as guess. Step log: ``events`` (one event =
 one batch; loss = value; batch size from ``props.k``).
 """
@@ -26,16 +27,34 @@ def r9(c):
     return F.round(c, 9)
 
 
+def mean_vectors(e):
+    """``(label, dim, mean)`` per label and vector position: a partial/final aggregate."""
+    values = e.select(F.col("label").cast("int").alias("label"), F.posexplode("embedding").alias("dim", "v"))
+    return values.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
 def score_table(spark, sf_dir):
-    e = load_table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id"),
-                    F.transform(F.slice("embedding", 1, N_LABELS), lambda v: v.cast("double")).alias("scores"),
+    e = load_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    # N_LABELS rows of one vector each
+    rows = (mean_vectors(e).where(F.col("label").between(0, N_LABELS - 1)).groupBy("label")
+            .agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("m")).collect())
+    means = {r["label"]: [x["mean"] for x in r["m"]] for r in rows}
+
+    def dot(k):
+        products = F.zip_with("embedding", F.lit(means[k]), lambda v, m: v.cast("double") * m)
+        return r9(F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x))
+    return e.select("vec_id", F.array(*[dot(k) for k in range(N_LABELS)]).alias("scores"),
                     F.col("label").cast("int").alias("truth"))
 
 
 SCORES_SQL = f"""
-WITH sc AS (SELECT vec_id, list_transform(embedding[1:{N_LABELS}], lambda v: CAST(v AS DOUBLE)) AS scores,
-                   CAST(label AS INTEGER) AS truth FROM embeddings),
+WITH vals AS (SELECT CAST(label AS INTEGER) AS label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS dim
+              FROM embeddings),
+means AS (SELECT label, dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM vals GROUP BY label, dim),
+centres AS (SELECT label, list(mean ORDER BY dim) AS m FROM means GROUP BY label),
+sc AS (SELECT e.vec_id, CAST(e.label AS INTEGER) AS truth,
+              list(round(list_inner_product(CAST(e.embedding AS DOUBLE[]), c.m), 9) ORDER BY c.label) AS scores
+       FROM embeddings e CROSS JOIN centres c GROUP BY e.vec_id, e.label),
 scored AS (SELECT *, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS guess FROM sc)
 """
 
@@ -157,10 +176,27 @@ LABEL_ORDER_SQL = """
 
 
 def _label_names(spark, sf_dir):
-    from pressline.operators.encode import encode_labels
     s = score_table(spark, sf_dir)
-    _, names = encode_labels(s.select(F.col("truth").cast("string").alias("lab")), "lab")
-    return s, F.array(*[F.lit(n) for n in names])
+    order = lb.label_order(s.select(F.col("truth").cast("string").alias("lab")), "lab")
+    names = order.agg(F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label"))), lambda r: r["label"]))
+    return s, names.scalar()
+
+
+TOP_LABELS = 3
+
+
+@register("topk_labels", SCORES_SQL + LABEL_ORDER_SQL + f"""
+, ent AS (SELECT vec_id, unnest(range(1, {N_LABELS} + 1)) AS i, unnest(scores) AS score FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i) AS rank FROM ent)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(i - 1 AS INTEGER) AS label_idx, ord.names[i] AS label,
+       round(score, 9) AS score
+FROM rk, ord WHERE rank <= {TOP_LABELS}
+""")
+def q_topk_labels(spark, sf_dir):
+    """The best labels of each vector, best first (ties: lower index first)."""
+    s, names = _label_names(spark, sf_dir)
+    return (lb.topk_labels(s.select("vec_id", "scores"), "scores", TOP_LABELS, names)
+            .withColumn("score", r9(F.col("score"))))
 
 
 @register("top_label", SCORES_SQL + LABEL_ORDER_SQL + """

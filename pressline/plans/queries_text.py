@@ -53,55 +53,63 @@ def q_publisher_training_set(spark, sf_dir):
 from pressline.functions import text as tx  # noqa: E402
 
 
-@register("caption_removal", _with_articles(f"""
-SELECT doc_id, contains(scraped_content, 'FILE - ') AS had_caption,
-       {S.remove_captions('scraped_content')} AS cleaned_body
-FROM articles WHERE scraped
+def stories(spark, sf_dir):
+    """Every article with its story text: the scraped body, else the excerpt."""
+    return load_articles(spark, sf_dir).withColumn("body", F.coalesce("scraped_content", "content"))
+
+
+def _with_stories(body: str) -> str:
+    return _with_articles(f", stories AS (SELECT *, coalesce(scraped_content, content) AS body FROM articles)\n{body}")
+
+
+@register("caption_removal", _with_stories(f"""
+SELECT doc_id, contains(body, 'FILE - ') AS had_caption,
+       {S.remove_captions('body')} AS cleaned_body
+FROM stories
 """))
 def q_caption_removal(spark, sf_dir):
-    a = load_articles(spark, sf_dir).where("scraped")
-    return a.select("doc_id", F.col("scraped_content").contains("FILE - ").alias("had_caption"),
-                    tx.remove_captions("scraped_content").alias("cleaned_body"))
+    a = stories(spark, sf_dir)
+    return a.select("doc_id", F.col("body").contains("FILE - ").alias("had_caption"),
+                    tx.remove_captions("body").alias("cleaned_body"))
 
 
-@register("headline_body_markup", _with_articles(f"""
-, f AS (SELECT doc_id, {S.format_headline_body(S.remove_captions('scraped_content'), 'title')} AS training_content
-        FROM articles WHERE scraped)
+@register("headline_body_markup", _with_stories(f"""
+, f AS (SELECT doc_id, {S.format_headline_body(S.remove_captions('body'), 'title')} AS training_content
+        FROM stories)
 SELECT doc_id, training_content, {S.word_count('training_content')} AS word_count FROM f
 """))
 def q_headline_body_markup(spark, sf_dir):
-    a = load_articles(spark, sf_dir).where("scraped")
-    f = a.select("doc_id", tx.format_headline_body(tx.remove_captions("scraped_content"), "title")
+    a = stories(spark, sf_dir)
+    f = a.select("doc_id", tx.format_headline_body(tx.remove_captions("body"), "title")
                  .alias("training_content"))
     return f.withColumn("word_count", tx.word_count("training_content"))
 
 
-@register("body_only_markup", _with_articles(f"""
-, f AS (SELECT doc_id, {S.format_body_only('scraped_content')} AS training_content FROM articles WHERE scraped)
+@register("body_only_markup", _with_stories(f"""
+, f AS (SELECT doc_id, {S.format_body_only('body')} AS training_content FROM stories)
 SELECT doc_id, training_content, {S.word_count('training_content')} AS word_count FROM f
 """))
 def q_body_only_markup(spark, sf_dir):
-    a = load_articles(spark, sf_dir).where("scraped")
-    f = a.select("doc_id", tx.format_body_only("scraped_content").alias("training_content"))
+    a = stories(spark, sf_dir)
+    f = a.select("doc_id", tx.format_body_only("body").alias("training_content"))
     return f.withColumn("word_count", tx.word_count("training_content"))
 
 
 PREVIEW_R = [0, 1, 2, -1]
 
 
-@register("paragraph_removal_preview", _with_articles(f"""
+@register("paragraph_removal_preview", _with_stories(f"""
 SELECT doc_id, r.r AS r,
-       {S.format_headline_body('scraped_content', 'title', 'CASE WHEN r.r = 0 THEN NULL ELSE r.r END')} AS preview
-FROM articles CROSS JOIN (VALUES {', '.join(f'({x})' for x in PREVIEW_R)}) AS r(r)
-WHERE scraped
+       {S.format_headline_body('body', 'title', 'CASE WHEN r.r = 0 THEN NULL ELSE r.r END')} AS preview
+FROM stories CROSS JOIN (VALUES {', '.join(f'({x})' for x in PREVIEW_R)}) AS r(r)
 """))
 def q_paragraph_removal_preview(spark, sf_dir):
     """Dashboard preview: paragraph removal r, where r = 0 means "keep all"."""
-    a = load_articles(spark, sf_dir).where("scraped")
-    a = a.select("doc_id", "title", "scraped_content",
+    a = stories(spark, sf_dir)
+    a = a.select("doc_id", "title", "body",
                  F.explode(F.array(*[F.lit(x) for x in PREVIEW_R])).alias("r"))
     r_eff = F.when(F.col("r") == 0, F.lit(None).cast("int")).otherwise(F.col("r"))
-    return a.select("doc_id", "r", tx.format_headline_body("scraped_content", "title", r_eff).alias("preview"))
+    return a.select("doc_id", "r", tx.format_headline_body("body", "title", r_eff).alias("preview"))
 
 
 def _sql_unmark(x: str) -> str:
@@ -112,21 +120,21 @@ def _sql_unmark(x: str) -> str:
 _HL = "'<HEADLINE>(.*)<HEADLINE/>'"
 
 
-@register("decompile_markup", _with_articles(f"""
+@register("decompile_markup", _with_stories(f"""
 , f AS (SELECT doc_id,
-               {_sql_unmark(S.format_headline_body('scraped_content', 'title'))} AS t,
-               {_sql_unmark(S.format_body_only('scraped_content'))} AS body_only
-        FROM articles WHERE scraped)
+               {_sql_unmark(S.format_headline_body('body', 'title'))} AS t,
+               {_sql_unmark(S.format_body_only('body'))} AS body_only
+        FROM stories)
 SELECT doc_id, regexp_extract(t, {_HL}, 1) AS headline,
        replace(replace(regexp_replace(t, {_HL}, '', 'g'), {S.q(tx.BODY_OPEN)}, ''), {S.q(tx.BODY_CLOSE)}, '') AS body,
        body_only
 FROM f
 """))
 def q_decompile_markup(spark, sf_dir):
-    a = load_articles(spark, sf_dir).where("scraped")
-    d = tx.decompile_headline_body(tx.format_headline_body("scraped_content", "title"))
+    a = stories(spark, sf_dir)
+    d = tx.decompile_headline_body(tx.format_headline_body("body", "title"))
     return a.select("doc_id", d["headline"].alias("headline"), d["body"].alias("body"),
-                    tx.decompile_body_only(tx.format_body_only("scraped_content")).alias("body_only"))
+                    tx.decompile_body_only(tx.format_body_only("body")).alias("body_only"))
 
 
 @register("word_counts", f"""

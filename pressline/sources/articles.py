@@ -120,8 +120,8 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     ``documents`` has no listing metadata, so this plants it deterministically
     from ``doc_id``: two publisher ids share a name, some titles are NULL, some
     rows are not yet scraped (with and without an error flag), some bodies
-    carry a photo caption, half of them use blank-line paragraphs. All rows of
-    ``documents`` are kept.
+    carry a photo caption, half of them use blank-line paragraphs. The excerpt
+    (``content``) is the whole text. All rows of ``documents`` are kept.
     """
     doc_id = F.col("doc_id")
     text = F.col("text")
@@ -144,7 +144,7 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         scraped.alias("scraped"),
         F.when(doc_id % 22 == 3, F.lit(True)).when(doc_id % 11 == 3, F.lit(None).cast("boolean"))
          .otherwise(F.lit(False)).alias("error"),
-        F.substring(text, 1, 200).alias("content"),
+        text.alias("content"),
         F.when(scraped, body).alias("scraped_content"),
     )
 
@@ -185,7 +185,7 @@ SELECT doc_id,
        '{URL_PREFIX}' || CAST(doc_id AS VARCHAR) AS url,
        doc_id % 11 <> 3 AS scraped,
        CASE WHEN doc_id % 22 = 3 THEN TRUE WHEN doc_id % 11 = 3 THEN NULL ELSE FALSE END AS error,
-       substring(text, 1, 200) AS content,
+       text AS content,
        CASE WHEN doc_id % 11 <> 3 THEN
          (CASE WHEN doc_id % 7 = 0 THEN 'Lead. FILE - In this file photo, a crowd.' || chr(10) ELSE '' END) ||
          (CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END)
