@@ -70,6 +70,12 @@ def f_beta(p: Column, r: Column, beta: float) -> Column:
     return F.try_divide((b2 + 1) * p * r, b2 * p + r)
 
 
+def report_names(n_labels: int) -> list[str]:
+    """The metrics of :func:`report`, in its order."""
+    f = ["precision", "recall", "f1"] if n_labels == 2 else ["mean_precision", "mean_recall", "macro_f1"]
+    return ["acc", "correct", "total", *f]
+
+
 def report(matrix: DataFrame, n_labels: int, beta: float = 1.0) -> DataFrame:
     """Metric report ``(metric, value)``: values x100 except correct/total.
 
@@ -83,10 +89,9 @@ def report(matrix: DataFrame, n_labels: int, beta: float = 1.0) -> DataFrame:
     if n_labels == 2:
         p = F.max(F.when(F.col("label_idx") == 1, F.col("precision")))
         r = F.max(F.when(F.col("label_idx") == 1, F.col("recall")))
-        names = ("precision", "recall", "f1")
     else:
         p, r = F.avg("precision"), F.avg("recall")
-        names = ("mean_precision", "mean_recall", "macro_f1")
+    names = report_names(n_labels)[3:]
     one = pl.agg(F.sum("tp").alias("correct"), F.sum("n_true").alias("total"), p.alias("p"), r.alias("r"))
     hundred = F.lit(100.0)
     def row(name: str, value: Column) -> Column:

@@ -10,6 +10,7 @@ distribution per document, top label and score, a per-phase history record
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -27,23 +28,33 @@ from pressline.operators import metrics as M
 from pressline.operators.encode import TOKEN_PATTERN
 from pressline.operators.sampling import split_exact
 from pressline.plans.stage import stage
+from pressline.plans.training_set import sentiment_training_set, topic_training_set
+from pressline.sources import runs
 
 NUM_FEATURES = 1 << 18
 
 
 def classifier_pipeline(text_col: str = "training_content", label_col: str = "label",
                         max_iter: int = 10, reg_param: float = 0.0,
-                        num_features: int = NUM_FEATURES) -> Pipeline:
+                        num_features: int = NUM_FEATURES, index=None) -> Pipeline:
+    """``index`` is a fitted label indexer; without one the labels of the fitted rows are taken.
+    Tokens are hashed to ``num_features`` slots (the model's width, so its coefficients are
+    ``num_features`` x labels)."""
     tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN,
                             gaps=False, toLowercase=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    index = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc")
+    if index is None:
+        index = label_indexer(label_col)
     lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
                             maxIter=max_iter, regParam=reg_param)
     return Pipeline(stages=[tokens, tf, idf, index, lr])
 
 
+def label_indexer(label_col: str = "label") -> StringIndexer:
+    return StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc")
+
+
 def label_order(model: PipelineModel) -> list[str]:
     return list(model.stages[3].labels)
 
@@ -85,10 +96,27 @@ def evaluate(pred: DataFrame, n_labels: int) -> DataFrame:
     for phase in ("train", "validation"):
         m = M.confusion_matrix(pred.where(F.col("phase") == phase), n_labels)
         reports.append(M.report(m, n_labels).withColumn("phase", F.lit(phase)))
-    rep = reports[0].unionByName(reports[1]).groupBy("phase").pivot("metric").agg(F.first("value"))
+    names = M.report_names(n_labels)
+    rep = reports[0].unionByName(reports[1]).groupBy("phase").pivot("metric", names).agg(F.first("value"))
     return base.join(rep, "phase", "left")
 
 
+def history_record(history: DataFrame, pred: DataFrame, n_labels: int, seconds: float) -> DataFrame:
+    """The record a training job leaves, one row per phase: ``loss``, ``accuracy`` and ``time`` as
+    lists with one entry per epoch (the fit is one epoch), and the confusion matrix as rows of counts."""
+    cells = []
+    for phase in ("train", "validation"):
+        m = M.confusion_matrix(pred.where(F.col("phase") == phase), n_labels)
+        cells.append(m.withColumn("phase", F.lit(phase)))
+    rows = (cells[0].unionByName(cells[1]).groupBy("phase", "truth")       # labels x labels cells
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("guess", "n"))), lambda c: c["n"]).alias("row")))
+    matrix = rows.groupBy("phase").agg(F.transform(F.sort_array(F.collect_list(F.struct("truth", "row"))),
+                                                   lambda r: r["row"]).alias("confusion_matrix"))
+    lists = history.select("phase", F.array("loss").alias("loss"), F.array("acc1").alias("accuracy"),
+                           F.array(F.lit(float(seconds))).alias("time"))
+    return lists.join(matrix, "phase")
+
+
 def _fit_partitions(df: DataFrame) -> DataFrame:
     """At most one partition per task slot for the iterative fit.
 
@@ -105,22 +133,74 @@ def _fit_partitions(df: DataFrame) -> DataFrame:
         return df
 
 
+def fit_and_score(rows: DataFrame, id_col: str, text_col: str, max_iter: int) -> TrainResult:
+    """``rows`` (id, text, ``label``, ``phase``) -> model of the train rows, predictions of all rows,
+    history. The label order comes from all rows, so a label may lie in one phase only. Rows without
+    a label can't be trained on or judged and raise in the indexer."""
+    rows = stage(rows, "classifier-rows")
+    index = label_indexer().fit(rows.select("label"))
+    train = rows.where(F.col("phase") == "train")
+    model = classifier_pipeline(text_col, "label", max_iter, index=index).fit(_fit_partitions(train))
+    labels = label_order(model)
+    pred = score(model, rows, [id_col, "phase", "label", "label_idx"])
+    # the history reads the predictions several times: score once into the
+    # shared folder instead of re-running the model
+    pred = stage(pred.withColumn("truth", F.col("label_idx").cast("int")), "predictions")
+    return TrainResult(model, labels, pred, evaluate(pred, len(labels)))
+
+
+def _rows_of(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    return df.select(id_col, text_col, F.col(label_col).cast("string").alias("label"))
+
+
 def train_classifier(training_set: DataFrame, label_col: str = "source_id",
                      text_col: str = "training_content", id_col: str = "doc_id",
                      train_share: float = C.DEFAULT_TRAIN_SHARE, max_iter: int = 10,
                      seed: str = C.DEFAULT_SEED) -> TrainResult:
-    """Exact seeded split -> fit on the train side -> score both sides -> history."""
-    data = training_set.select(id_col, text_col, F.col(label_col).cast("string").alias("label"))
-    split = split_exact(data, train_share, id_col, seed, side_col="phase")
-    split = split.persist()
-    model = classifier_pipeline(text_col, "label", max_iter).fit(_fit_partitions(split.where(F.col("phase") == "train")))
-    labels = label_order(model)
-    pred = score(model, split, [id_col, "phase", "label", "label_idx"])
-    # the history reads the predictions three times (totals and one matrix per
-    # phase): score once into the shared folder instead of re-running the model
-    pred = stage(pred.withColumn("truth", F.col("label_idx").cast("int")), "predictions")
-    split.unpersist()
-    return TrainResult(model, labels, pred, evaluate(pred, len(labels)))
+    """One table: exact seeded split -> fit on the train side -> score both sides -> history."""
+    data = _rows_of(training_set, id_col, text_col, label_col)
+    return fit_and_score(split_exact(data, train_share, id_col, seed, side_col="phase"), id_col, text_col, max_iter)
+
+
+def train_with_test_set(train: DataFrame, test: DataFrame, label_col: str = "label",
+                        text_col: str = "training_content", id_col: str = "doc_id",
+                        max_iter: int = 10) -> TrainResult:
+    """Separate train and test tables (the topic and sentiment corpora come so); the test rows are
+    the validation phase."""
+    both = (_rows_of(train, id_col, text_col, label_col).withColumn("phase", F.lit("train"))
+            .unionByName(_rows_of(test, id_col, text_col, label_col).withColumn("phase", F.lit("validation"))))
+    return fit_and_score(both, id_col, text_col, max_iter)
+
+
+def topic_classifier(train: DataFrame, test: DataFrame, min_words: int = 0, max_words: int = C.DEFAULT_MAX_WORDS,
+                     num_samples: int | None = None, max_iter: int = 10, id_col: str = "doc_id") -> TrainResult:
+    """Topic rows ``(id, label, headline, text)`` -> headline/body markup -> topic model."""
+    sets = [topic_training_set(d, min_words, max_words, num_samples, id_col=id_col) for d in (train, test)]
+    return train_with_test_set(*sets, id_col=id_col, max_iter=max_iter)
+
+
+def sentiment_classifier(train: DataFrame, test: DataFrame, min_words: int = 0, max_words: int = C.DEFAULT_MAX_WORDS,
+                         num_samples: int | None = None, max_iter: int = 10, id_col: str = "doc_id") -> TrainResult:
+    """Labelled texts ``(id, text, label)`` -> body-only markup -> sentiment model."""
+    sets = [sentiment_training_set(d, min_words, max_words, num_samples, id_col=id_col) for d in (train, test)]
+    return train_with_test_set(*sets, id_col=id_col, max_iter=max_iter)
+
+
+def training_job(training_set: DataFrame, out_dir: str, run_id: str, label_col: str = "source_id",
+                 id_col: str = "doc_id", text_col: str = "training_content",
+                 train_share: float = C.DEFAULT_TRAIN_SHARE, max_iter: int = 10, note: str | None = None) -> TrainResult:
+    """Train, then leave a run record (``runs``), the history record (``history/<run>``) and the
+    model (``models/<run>``) under ``out_dir``."""
+    spark = training_set.sparkSession
+    started = time.monotonic()
+    result = train_classifier(training_set, label_col, text_col, id_col, train_share, max_iter)
+    seconds = time.monotonic() - started
+    samples = result.predictions.count()
+    runs.append_run(runs.run_record(spark, run_id, 0, max_iter, 0.0, 0, samples, result.labels, note), f"{out_dir}/runs")
+    record = history_record(result.history, result.predictions, len(result.labels), seconds)
+    runs.write_history(record, f"{out_dir}/history/{run_id}")
+    save_model(result.model, f"{out_dir}/models/{run_id}")
+    return result
 
 
 def classify_pages(model: PipelineModel, pages: DataFrame, remove_paragraphs: int = 0) -> DataFrame:

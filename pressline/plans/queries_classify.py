@@ -1,14 +1,19 @@
-"""Registered queries: topic / sentiment training sets (value-checked) and the
-MLlib classifier jobs (rows-only: model fits have no SQL equivalent)."""
+"""Registered queries: topic / sentiment training sets (value-checked), the
+MLlib classifier jobs (rows-only: model fits have no SQL equivalent) and their
+contracts (value-checked: what holds whatever the fit gives)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressline import constants as C
+from pressline.operators.sampling import split_exact
 from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
-from pressline.plans.classify import classify_pages, train_classifier
-from pressline.plans.queries_text import PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WORDS, PUB_SOURCES
+from pressline.plans.classify import (TrainResult, classify_pages, sentiment_classifier, topic_classifier,
+                                      train_classifier)
+from pressline.plans.queries_ingest import PAGES_SQL
+from pressline.plans.queries_text import PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WORDS, PUB_SOURCES, PUBLISHER_SQL
 from pressline.plans.training_set import (publisher_training_set, sentiment_training_set,
                                           topic_training_set)
 from pressline.sources.articles import load_articles, load_table
@@ -24,6 +29,13 @@ def topic_rows(spark, sf_dir):
                     F.substring_index("text", "\n", 1).alias("headline"), "text")
 
 
+def sentiment_rows(spark, sf_dir):
+    """Sentiment corpus rows: documents with a quality label (0/1)."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return d.join(lab, "doc_id")
+
+
 @register("topic_training_set", f"""
 WITH f AS (SELECT doc_id, CAST(lang AS VARCHAR) AS label,
                   {S.format_headline_body('text', "split_part(text, chr(10), 1)")} AS training_content
@@ -44,27 +56,70 @@ SELECT doc_id, label, word_count, training_content FROM c WHERE word_count BETWE
 """)
 def q_sentiment_training_set(spark, sf_dir):
     """Sentiment corpus: documents with a quality label (0/1), body-only markup."""
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    t = sentiment_training_set(d.join(lab, "doc_id"), 0, TOPIC_MAX_WORDS)
+    t = sentiment_training_set(sentiment_rows(spark, sf_dir), 0, TOPIC_MAX_WORDS)
     return t.select("doc_id", "label", "word_count", "training_content")
 
 
+TOPIC_SPLIT, SENTIMENT_SPLIT = 0.7, 0.7
+
+_FITTED: dict[tuple[str, str, str], TrainResult] = {}
+
+
+def _shared(spark, sf_dir, name, fit) -> TrainResult:
+    """One fit per application, data folder and job: the queries that show its
+    predictions, history and contract read the same model and staged predictions."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def _publisher_model(spark, sf_dir):
-    ts = publisher_training_set(load_articles(spark, sf_dir), PUB_MIN_WORDS, PUB_MAX_WORDS,
-                                PUB_MIN_DOCS, PUB_SOURCES)
-    return train_classifier(ts, "source_id", max_iter=20)
+    return _shared(spark, sf_dir, "publisher", lambda: train_classifier(
+        publisher_training_set(load_articles(spark, sf_dir), PUB_MIN_WORDS, PUB_MAX_WORDS,
+                               PUB_MIN_DOCS, PUB_SOURCES), "source_id", max_iter=20))
 
 
-@register("publisher_classifier")
-def q_publisher_classifier(spark, sf_dir):
-    """Validation-side predictions of the publisher classifier."""
-    res = _publisher_model(spark, sf_dir)
+def _two_tables(rows, share):
+    """The corpus as its two inputs, a train and a test table."""
+    sides = split_exact(rows, share, "doc_id")
+    return [sides.where(F.col("side") == s).drop("side") for s in ("train", "validation")]
+
+
+def _topic_model(spark, sf_dir):
+    return _shared(spark, sf_dir, "topic", lambda: topic_classifier(
+        *_two_tables(topic_rows(spark, sf_dir), TOPIC_SPLIT), 0, TOPIC_MAX_WORDS))
+
+
+def _sentiment_model(spark, sf_dir):
+    return _shared(spark, sf_dir, "sentiment", lambda: sentiment_classifier(
+        *_two_tables(sentiment_rows(spark, sf_dir), SENTIMENT_SPLIT), 0, TOPIC_MAX_WORDS))
+
+
+def _validation(res):
     v = res.predictions.where(F.col("phase") == "validation")
     return v.select("doc_id", F.col("label").alias("truth_label"), F.col("label_name").alias("predicted_label"),
                     F.round("score", 6).alias("score"))
 
 
+@register("publisher_classifier")
+def q_publisher_classifier(spark, sf_dir):
+    """Validation-side predictions of the publisher classifier."""
+    return _validation(_publisher_model(spark, sf_dir))
+
+
+@register("topic_classifier")
+def q_topic_classifier(spark, sf_dir):
+    """Test-table predictions of the topic classifier."""
+    return _validation(_topic_model(spark, sf_dir))
+
+
+@register("sentiment_classifier")
+def q_sentiment_classifier(spark, sf_dir):
+    """Test-table predictions of the sentiment classifier."""
+    return _validation(_sentiment_model(spark, sf_dir))
+
+
 @register("classifier_history")
 def q_classifier_history(spark, sf_dir):
     """Per-phase history record: rows, loss, Acc@1 and the metric report."""
@@ -77,3 +132,59 @@ def q_page_classification(spark, sf_dir):
     res = _publisher_model(spark, sf_dir)
     out = classify_pages(res.model, load_table(spark, sf_dir, "pages"))
     return out.select("page_id", "title", "label", F.round("score", 6).alias("score"), "error")
+
+
+@register("page_classification_contract", PAGES_SQL + """
+SELECT page_id, CASE WHEN error THEN NULL ELSE title0 END AS title, error, NOT error AS has_label,
+       CASE WHEN error THEN NULL ELSE CAST(1.0 AS DOUBLE) END AS prob_total
+FROM extracted
+""")
+def q_page_classification_contract(spark, sf_dir):
+    """What holds of the classified pages whatever the fit gives: one row per page, a label where
+    the page could be read, probabilities that sum to one."""
+    out = classify_pages(_publisher_model(spark, sf_dir).model, load_table(spark, sf_dir, "pages"))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return out.select("page_id", "title", "error", F.col("label").isNotNull().alias("has_label"),
+                      F.round(total, 6).alias("prob_total"))
+
+
+def _contract(res):
+    """Rows per phase and label, the label order, and the mean sum of the probabilities."""
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return res.predictions.groupBy("phase", F.col("truth").alias("label_idx"), "label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(total), 6).alias("mean_prob_total"))
+
+
+def _contract_sql(rows_sql: str, share: float, after: str = "true") -> str:
+    """``rows_sql`` gives (doc_id, label, word_count); the split is by hash order, ``after`` filters the split rows."""
+    return f"""
+WITH src AS ({rows_sql}),
+k AS (SELECT *, row_number() OVER (ORDER BY {S.sample_key('doc_id')}, doc_id) AS rk, count(*) OVER () AS total FROM src),
+ph AS (SELECT label, CASE WHEN rk <= CAST(floor(CAST({share} AS DOUBLE) * total) AS BIGINT)
+                          THEN 'train' ELSE 'validation' END AS phase FROM k WHERE {after}),
+ord AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM ph))
+SELECT ph.phase, ord.label_idx, ph.label, CAST(count(*) AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS mean_prob_total
+FROM ph JOIN ord ON ph.label = ord.label GROUP BY ph.phase, ord.label_idx, ph.label
+"""
+
+
+@register("publisher_classifier_contract", _contract_sql(
+    f"SELECT doc_id, source_id AS label FROM ({PUBLISHER_SQL}) ts", C.DEFAULT_TRAIN_SHARE))
+def q_publisher_classifier_contract(spark, sf_dir):
+    return _contract(_publisher_model(spark, sf_dir))
+
+
+@register("topic_classifier_contract", _contract_sql(f"""
+SELECT doc_id, CAST(lang AS VARCHAR) AS label,
+       {S.word_count(S.format_headline_body('text', "split_part(text, chr(10), 1)"))} AS word_count FROM documents
+""", TOPIC_SPLIT, f"word_count BETWEEN 0 AND {TOPIC_MAX_WORDS}"))
+def q_topic_classifier_contract(spark, sf_dir):
+    return _contract(_topic_model(spark, sf_dir))
+
+
+@register("sentiment_classifier_contract", _contract_sql(f"""
+SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS label, {S.word_count(S.format_body_only('d.text'))} AS word_count
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""", SENTIMENT_SPLIT, f"word_count BETWEEN 0 AND {TOPIC_MAX_WORDS}"))
+def q_sentiment_classifier_contract(spark, sf_dir):
+    return _contract(_sentiment_model(spark, sf_dir))

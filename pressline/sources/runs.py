@@ -43,7 +43,7 @@ def append_run(record: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA.add("date", T.StringType())).json(path)
+    return spark.read.schema(T.StructType([*RUN_SCHEMA.fields, T.StructField("date", T.StringType())])).json(path)
 
 
 def label_order_of(runs: DataFrame, run_id: str) -> DataFrame:
@@ -53,5 +53,5 @@ def label_order_of(runs: DataFrame, run_id: str) -> DataFrame:
 
 
 def write_history(history: DataFrame, path: str) -> None:
-    """Per-phase history rows as JSON (one file set per run)."""
+    """Per-phase history rows (two of them) as JSON, one file set per run."""
     history.coalesce(1).write.mode("overwrite").json(path)

@@ -87,6 +87,38 @@ def test_classifier_end_to_end(spark):
     assert out[2].error and out[2].label is None
 
 
+def test_run_record_after_two_reads(spark):
+    path = tempfile.mkdtemp(prefix="pl-runs-") + "/runs"
+    for i in range(3):
+        rn.append_run(rn.run_record(spark, f"r{i}", 4, 1, 0.1, 0, 9, ["a"]), path)
+        assert rn.read_runs(spark, path).count() == i + 1
+        assert len(rn.read_runs(spark, path).columns) == 11
+
+
+def test_label_in_the_test_table_only(spark):
+    train = spark.createDataFrame([(i, "ab"[i % 2], f"{'ab'[i % 2]} word") for i in range(20)],
+                                  "doc_id long, label string, text string")
+    test = spark.createDataFrame([(100, "a", "a word"), (101, "0new", "new word")], "doc_id long, label string, text string")
+    res = cl.sentiment_classifier(train, test)
+    assert res.labels == ["0new", "a", "b"]
+    got = {r.doc_id: r for r in res.predictions.where("phase = 'validation'").collect()}
+    assert set(got) == {100, 101} and got[100].label_name == "a" and got[101].truth == 0
+    assert all(abs(sum(r.scores) - 1.0) < 1e-9 for r in got.values())
+
+
+def test_training_job_leaves_its_records(spark):
+    out = tempfile.mkdtemp(prefix="pl-job-")
+    df = spark.createDataFrame([(i, "abc"[i % 3], f"{'abc'[i % 3]} word") for i in range(30)],
+                               "doc_id long, source_id string, training_content string")
+    cl.training_job(df, out, "run1", max_iter=5)
+    assert [r.label for r in rn.label_order_of(rn.read_runs(spark, f"{out}/runs"), "run1").orderBy("label_idx").collect()] == list("abc")
+    hist = {r.phase: r for r in spark.read.json(f"{out}/history/run1").collect()}
+    assert set(hist) == {"train", "validation"}
+    assert len(hist["train"].loss) == len(hist["train"].accuracy) == len(hist["train"].time) == 1
+    assert sum(map(sum, hist["train"].confusion_matrix)) == 21
+    assert cl.label_order(cl.load_model(f"{out}/models/run1")) == list("abc")
+
+
 def test_streaming_ingest(spark):
     base = tempfile.mkdtemp(prefix="pl-stream-")
     landing = os.path.join(base, "landing")
