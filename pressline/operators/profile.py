@@ -36,12 +36,16 @@ def cell_profile(articles: DataFrame) -> DataFrame:
 
 
 def profile_grid(grid: DataFrame, articles: DataFrame, root: str | None = None) -> DataFrame:
-    """Grid left-joined with the cell profile; absent cells count 0.
+    """Grid left-joined with the cell profile of ``articles``; absent cells count 0."""
+    return fill_grid(grid, cell_profile(articles), root)
+
+
+def fill_grid(grid: DataFrame, prof: DataFrame, root: str | None = None) -> DataFrame:
+    """Grid left-joined with a cell profile.
 
     Both sides are per-cell aggregates (at most sources x dates rows), so the
     join is small whatever the article count.
     """
-    prof = cell_profile(articles)
     out = (grid.join(prof, ["source_id", "query_date"], "left")
                .select("source_id", "query_date",
                        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
@@ -83,6 +87,7 @@ def hour_histogram(articles: DataFrame, keys: Sequence[str] = ("source_id",),
     return per_group.select(*keys, F.posexplode(bins).alias("hour", "n"))
 
 
-def non_null_counts(df: DataFrame, keys: Sequence, columns: Sequence[str]) -> DataFrame:
-    """Per key group, the non-NULL count of every listed column."""
+def non_null_counts(df: DataFrame, keys: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per key group, the non-NULL count of every column (or of the listed ones)."""
+    columns = df.columns if columns is None else columns
     return df.groupBy(*keys).agg(*[F.count(F.col(c)).alias(f"n_{c}") for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions import text as tx
 from pressline.operators import profile as pr
+from pressline.plans.classify import score
 
 
 def story_rows(articles: DataFrame, scraped_only: bool = False, pattern: str = "",
@@ -27,6 +28,27 @@ def story_rows(articles: DataFrame, scraped_only: bool = False, pattern: str = "
                      "scraped")
 
 
+def story_by_key(articles: DataFrame, key, key_col: str = "doc_id") -> DataFrame:
+    """The story (rows) with this key, scraped or not."""
+    return story_rows(articles).where(F.col(key_col) == F.lit(key))
+
+
+def source_date_view(articles: DataFrame, model=None, remove_paragraphs: int = 0, scraped_only: bool = False,
+                     pattern: str = "", case_sensitive: bool = False) -> DataFrame:
+    """Every (publisher, date) selection of the view at once: story rows, the
+    parsed text after paragraph removal (0 = keep all) and, given a classifier,
+    its ``label`` and ``score`` for that text. Filter on ``source_id`` and
+    ``query_date`` for one selection."""
+    rows = story_rows(articles, scraped_only, pattern, case_sensitive)
+    r = None if remove_paragraphs == 0 else remove_paragraphs
+    parsed = rows.withColumn("training_content", tx.format_headline_body("story_text", "title", r))
+    if model is not None:
+        keep = parsed.columns
+        scored = score(model, parsed.withColumn("training_content", F.coalesce("training_content", F.lit(""))), keep)
+        parsed = scored.select(*keep, F.col("label_name").alias("label"), "score")
+    return parsed.withColumnRenamed("training_content", "parsed")
+
+
 def source_date_lookup(articles: DataFrame, source_id: str, query_date: str,
                        scraped_only: bool = False, pattern: str = "",
                        case_sensitive: bool = False) -> tuple[DataFrame, DataFrame]:

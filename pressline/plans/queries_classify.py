@@ -16,7 +16,8 @@ from pressline.plans.queries_ingest import PAGES_SQL
 from pressline.plans.queries_text import PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WORDS, PUB_SOURCES, PUBLISHER_SQL
 from pressline.plans.training_set import (publisher_training_set, sentiment_training_set,
                                           topic_training_set)
-from pressline.sources.articles import load_articles, load_table
+from pressline.plans.dashboards import source_date_view, story_by_key
+from pressline.sources.articles import ARTICLES_SQL, load_articles, load_table
 
 TOPIC_MAX_WORDS = 1000
 
@@ -188,3 +189,31 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """, SENTIMENT_SPLIT, f"word_count BETWEEN 0 AND {TOPIC_MAX_WORDS}"))
 def q_sentiment_classifier_contract(spark, sf_dir):
     return _contract(_sentiment_model(spark, sf_dir))
+
+
+@register("source_date_view", f"""
+WITH articles AS ({ARTICLES_SQL}), s AS (SELECT *, coalesce(scraped_content, content) AS story_text FROM articles)
+SELECT doc_id, source_id, query_date, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published, title, story_text,
+       scraped, {S.format_headline_body('story_text', 'title', '1')} AS parsed, true AS predicted
+FROM s
+""")
+def q_source_date_view(spark, sf_dir):
+    """The publisher/date view of all articles: story, text without its last paragraph, and whether the
+    publisher model gave a label."""
+    v = source_date_view(load_articles(spark, sf_dir), _publisher_model(spark, sf_dir).model, remove_paragraphs=1)
+    return v.select("doc_id", "source_id", "query_date", "published", "title", "story_text", "scraped", "parsed",
+                    (F.col("label").isNotNull() & F.col("score").between(0, 1 + 1e-9)).alias("predicted"))
+
+
+STORY_KEY = 3       # an article without a scraped body
+
+
+@register("story_by_key", f"""
+WITH articles AS ({ARTICLES_SQL})
+SELECT doc_id, source_id, query_date, title, coalesce(scraped_content, content) AS story_text, scraped
+FROM articles WHERE doc_id = {STORY_KEY}
+""")
+def q_story_by_key(spark, sf_dir):
+    """One story picked by its key; without a scraped body the excerpt is shown."""
+    return story_by_key(load_articles(spark, sf_dir), STORY_KEY).select(
+        "doc_id", "source_id", "query_date", "title", "story_text", "scraped")

@@ -11,10 +11,12 @@ from pressline.operators import ingest as ig
 from pressline.operators import profile as pr
 from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
-from pressline.plans.queries_profile import GRID_SQL, _grid
-from pressline.sources.articles import ARTICLES_SQL, URL_PREFIX, load_articles, load_table
+from pressline.plans.queries_profile import GRID_SQL, _cells, _grid
+from pressline.plans.stage import scratch_path
+from pressline.sources.articles import (ARTICLES_SQL, URL_PREFIX, load_articles, load_table, read_partitioned,
+                                        write_partitioned)
 
-WORK_CAP = 25
+WORK_CAP = None         # every cell
 
 
 @register("listing_ingest", f"""
@@ -98,7 +100,7 @@ def q_page_extraction(spark, sf_dir):
 def page_store(spark, sf_dir):
     """Stored raw pages keyed by the article url they were fetched for."""
     return load_table(spark, sf_dir, "pages").select(
-        F.concat(F.lit(URL_PREFIX), F.col("page_id").cast("string")).alias("url"), "html")
+        "page_id", F.concat(F.lit(URL_PREFIX), F.col("page_id").cast("string")).alias("url"), "html")
 
 
 def extract_stored(pages):
@@ -123,15 +125,16 @@ upd AS (
 
 
 def _scrape_pass(spark, sf_dir):
-    return ig.apply_scrape(load_articles(spark, sf_dir), page_store(spark, sf_dir), extract=extract_stored)
+    return ig.apply_scrape(load_articles(spark, sf_dir), page_store(spark, sf_dir), extract=extract_stored,
+                           version="page_id")
 
 
 @register("scrape_status_update", SCRAPE_SQL + """
-SELECT doc_id, scraped, error, newly_scraped, CAST(length(scraped_content) AS INTEGER) AS body_chars FROM upd
+SELECT doc_id, scraped, error, newly_scraped, sha256(scraped_content) AS body_sha256 FROM upd
 """)
 def q_scrape_status_update(spark, sf_dir):
     u = _scrape_pass(spark, sf_dir)
-    return u.select("doc_id", "scraped", "error", "newly_scraped", F.length("scraped_content").alias("body_chars"))
+    return u.select("doc_id", "scraped", "error", "newly_scraped", F.sha2("scraped_content", 256).alias("body_sha256"))
 
 
 @register("scrape_counts", SCRAPE_SQL + """
@@ -149,10 +152,39 @@ def q_scrape_counts(spark, sf_dir):
 @register("scrape_work_list", GRID_SQL + f"""
 SELECT query_date, source_id FROM grid
 WHERE EXISTS (SELECT 1 FROM present p WHERE p.source_id = grid.source_id AND p.query_date = grid.query_date)
-ORDER BY query_date, source_id LIMIT {WORK_CAP}
 """)
 def q_scrape_work_list(spark, sf_dir):
-    """Work list: grid cells that hold listings, capped at ``WORK_CAP`` cells."""
-    a = load_articles(spark, sf_dir)
-    work = pr.present_cells(_grid(a), a)
+    """Work list: grid cells that hold listings."""
+    cells = _cells(load_articles(spark, sf_dir))
+    work = pr.present_cells(_grid(cells), cells)
     return ig.capped_work(work, WORK_CAP).select("query_date", "source_id")
+
+
+@register("scrape_run", SCRAPE_SQL + """
+SELECT doc_id, source_id, query_date, scraped, error, sha256(scraped_content) AS body_sha256 FROM upd
+""")
+def q_scrape_run(spark, sf_dir):
+    """The whole scrape job on a table of its own: grid -> work list -> pass -> write back -> table."""
+    path = scratch_path(spark, "scrape-table")
+    write_partitioned(load_articles(spark, sf_dir), path)
+    cells = _cells(read_partitioned(spark, path))
+    ig.scrape_run(path, _grid(cells), page_store(spark, sf_dir), extract_stored, version="page_id")
+    return read_partitioned(spark, path).select("doc_id", "source_id", "query_date", "scraped", "error",
+                                                F.sha2("scraped_content", 256).alias("body_sha256"))
+
+
+@register("ingest_run", INGEST_LOG_SQL + f"""
+, first_fail AS (SELECT source_id, min(CASE WHEN failed THEN query_date END) AS ff FROM log GROUP BY source_id),
+ranked AS (SELECT a.*, row_number() OVER (PARTITION BY a.source_id, a.query_date ORDER BY published_at DESC, url) AS rn
+           FROM articles a JOIN first_fail f ON a.source_id = f.source_id
+           WHERE f.ff IS NULL OR a.query_date < f.ff)
+SELECT doc_id, source_id, query_date, title, url, sha256(content) AS content_sha256, false AS scraped
+FROM ranked WHERE rn <= {C.LISTING_PAGE_SIZE}
+""")
+def q_ingest_run(spark, sf_dir):
+    """The ingest job: publisher x date run with the stop rule -> newest page -> partitioned table."""
+    a = load_articles(spark, sf_dir).select("doc_id", "source_id", "query_date", "title", "url", "published_at", "content")
+    path = scratch_path(spark, "ingest-table")
+    write_partitioned(ig.ingest_listings(a, _ingest_log(spark, sf_dir)), path)
+    return read_partitioned(spark, path).select("doc_id", "source_id", "query_date", "title", "url",
+                                                F.sha2("content", 256).alias("content_sha256"), "scraped")

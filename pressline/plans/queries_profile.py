@@ -9,6 +9,7 @@ from pressline.functions import text as tx
 from pressline.operators import profile as pr
 from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
+from pressline.plans.stage import stage
 from pressline.plans.queries_text import (PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WORDS, PUB_SOURCES,
                                           PUBLISHER_SQL, SEARCH_CI)
 from pressline.plans.training_set import publisher_training_set
@@ -19,18 +20,17 @@ ABSENT_SOURCE = "src99"
 DATA_ROOT = "data"
 
 
-def _sources(articles):
-    """Publisher dimension: every publisher seen in the table plus the absent one.
+def _cells(articles):
+    """Counts per (publisher, date) cell: the one pass over the articles. Grid,
+    presence and totals are all derived from this small staged table."""
+    return stage(pr.cell_profile(articles), "cells")
 
-    Taken from the per-cell profile (a small aggregate the profile query needs
-    anyway), so the article table is scanned once."""
-    spark = articles.sparkSession
-    seen = pr.cell_profile(articles).select("source_id").distinct()
-    return seen.unionByName(spark.createDataFrame([(ABSENT_SOURCE,)], "source_id string")).distinct()
 
-
-def _grid(articles):
-    return pr.cell_grid(_sources(articles))
+def _grid(cells):
+    """Date grid of every publisher seen in the table plus the absent one."""
+    spark = cells.sparkSession
+    absent = spark.createDataFrame([(ABSENT_SOURCE,)], "source_id string")
+    return pr.cell_grid(cells.select("source_id").unionByName(absent).distinct())
 
 
 GRID_SQL = f"""
@@ -57,8 +57,8 @@ SELECT g.source_id, g.query_date,
 FROM grid g LEFT JOIN prof p ON g.source_id = p.source_id AND g.query_date = p.query_date
 """)
 def q_source_date_profile(spark, sf_dir):
-    a = load_articles(spark, sf_dir)
-    return pr.profile_grid(_grid(a), a, root=DATA_ROOT)
+    cells = _cells(load_articles(spark, sf_dir))
+    return pr.fill_grid(_grid(cells), cells, root=DATA_ROOT)
 
 
 @register("missing_partitions", GRID_SQL + """
@@ -66,8 +66,8 @@ SELECT source_id, query_date FROM grid
 WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.source_id = grid.source_id AND p.query_date = grid.query_date)
 """)
 def q_missing_partitions(spark, sf_dir):
-    a = load_articles(spark, sf_dir)
-    return pr.missing_cells(_grid(a), a)
+    cells = _cells(load_articles(spark, sf_dir))
+    return pr.missing_cells(_grid(cells), cells)
 
 
 @register("present_partitions", GRID_SQL + """
@@ -75,8 +75,8 @@ SELECT source_id, query_date FROM grid
 WHERE EXISTS (SELECT 1 FROM present p WHERE p.source_id = grid.source_id AND p.query_date = grid.query_date)
 """)
 def q_present_partitions(spark, sf_dir):
-    a = load_articles(spark, sf_dir)
-    return pr.present_cells(_grid(a), a)
+    cells = _cells(load_articles(spark, sf_dir))
+    return pr.present_cells(_grid(cells), cells)
 
 
 @register("scraped_total", GRID_SQL + """
@@ -89,8 +89,8 @@ SELECT CAST(sum(coalesce(p.n_scraped, 0)) AS BIGINT) AS total_scraped,
 FROM grid g LEFT JOIN prof p ON g.source_id = p.source_id AND g.query_date = p.query_date
 """)
 def q_scraped_total(spark, sf_dir):
-    a = load_articles(spark, sf_dir)
-    g = pr.profile_grid(_grid(a), a)
+    cells = _cells(load_articles(spark, sf_dir))
+    g = pr.fill_grid(_grid(cells), cells)
     return g.agg(F.sum("n_scraped").cast("bigint").alias("total_scraped"),
                  F.sum("n_articles").cast("bigint").alias("total_articles"),
                  F.count(F.lit(1)).alias("cells"))
@@ -109,7 +109,7 @@ def q_hour_histogram(spark, sf_dir):
     return pr.hour_histogram(load_articles(spark, sf_dir), ["source_id"])
 
 
-_TS_COLS = ["doc_id", "source_name", "title", "word_count", "training_content"]
+_TS_COLS = ["doc_id", "source_id", "source_name", "title", "query_date", "word_count", "training_content"]
 
 
 def _training_set(spark, sf_dir):
@@ -119,13 +119,13 @@ def _training_set(spark, sf_dir):
 
 @register("daily_source_counts", f"""
 SELECT query_date AS day, source_id,
-       {', '.join(f'count({c}) AS n_{c}' for c in _TS_COLS)}
+       {', '.join(f'count({c}) AS n_{c}' for c in _TS_COLS)}, count(query_date) AS n_published_at
 FROM ({PUBLISHER_SQL}) ts
 GROUP BY query_date, source_id
 """)
 def q_daily_source_counts(spark, sf_dir):
     ts = _training_set(spark, sf_dir)
-    return pr.non_null_counts(ts, [tx.day_of("published_at").alias("day"), "source_id"], _TS_COLS)
+    return pr.non_null_counts(ts, [tx.day_of("published_at").alias("day"), "source_id"])
 
 
 @register("distinct_sources", f"""

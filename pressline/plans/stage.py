@@ -26,9 +26,14 @@ def _stage_root(spark) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{STAGE_DIR}"
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new folder below the stage folder."""
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -66,6 +66,10 @@ def publisher_training_set(articles: DataFrame,
                                     tx.format_headline_body(body, F.col("title")), scraped,
                                     min_words, max_words)
     if materialize:
+        # rows of other publishers only count towards their group: their text stays behind
+        if sources is not None:
+            chosen = F.col("source_id").isin(list(sources))
+            formatted = formatted.withColumn("training_content", F.when(chosen, F.col("training_content")))
         formatted = stage(formatted, "publisher-formatted")
     kept = keep_large_groups(formatted, "source_name", min_docs)
     if sources is not None:

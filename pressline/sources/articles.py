@@ -33,7 +33,7 @@ ARTICLE_SCHEMA = T.StructType([
 ])
 
 # Flat article columns used by every job after the scan.
-FLAT_COLUMNS = ["source_id", "source_name", "author", "title", "url", "published_at",
+FLAT_COLUMNS = ["source_id", "source_name", "author", "title", "description", "url", "published_at",
                 "content", "scraped", "scraped_content", "error", "query_date"]
 
 
@@ -42,7 +42,7 @@ def flatten(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("source.id").alias("source_id"),
         F.col("source.name").alias("source_name"),
-        "author", "title", "url",
+        "author", "title", "description", "url",
         F.to_timestamp("publishedAt").alias("published_at"),
         "content", "scraped", "scraped_content", "error",
         *[c for c in ("query_date",) if c in raw.columns],
@@ -72,20 +72,33 @@ def read_listing_layout(spark: SparkSession, root: str) -> DataFrame:
     return with_keys.drop("_path")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def read_partition(spark: SparkSession, root: str, query_date: str, source_id: str,
                    strict: bool = True) -> DataFrame:
-    """One (date, publisher) listing. Strict mode fails when it is absent;
-    lenient mode returns no rows."""
-    df = flatten(read_listing_layout(spark, root)).where(
-        (F.col("query_date") == query_date) & (F.col("source_id") == source_id))
-    if strict and df.limit(1).count() == 0:
+    """One (date, publisher) listing, read from its own file only. The keys come
+    from the path, whatever publisher id the rows carry. Strict mode fails when
+    the file is absent; lenient mode returns no rows. An empty listing is a
+    present one."""
+    path = f"{root.rstrip('/')}/{query_date}/{source_id}/{LISTING_FILE}"
+    if path_exists(spark, path):
+        raw = spark.read.schema(ARTICLE_SCHEMA).option("multiLine", True).json(path)
+    elif strict:
         raise FileNotFoundError(f"no articles for {root}/{query_date}/{source_id}")
-    return df
+    else:
+        raw = spark.createDataFrame([], ARTICLE_SCHEMA)
+    return (flatten(raw).withColumn("source_id", F.lit(source_id)).withColumn("query_date", F.lit(query_date)))
 
 
 def write_partitioned(df: DataFrame, path: str) -> None:
-    """Overwrite only the (query_date, source_id) partitions present in ``df``."""
-    (df.write.mode("overwrite")
+    """Overwrite only the (query_date, source_id) partitions present in ``df``.
+    Rows are gathered by cell first (few files per cell); the rebalance splits a
+    hot cell over several tasks."""
+    (df.hint("rebalance", "query_date", "source_id")
+       .write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy("query_date", "source_id")
        .parquet(path))
@@ -93,10 +106,25 @@ def write_partitioned(df: DataFrame, path: str) -> None:
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """The partitioned article table; filters on the keys prune directories.
-    Partition values are read back as text (``YYYY-MM-DD`` stays a string)."""
-    df = spark.read.parquet(path)
-    return df.withColumn("query_date", F.col("query_date").cast("string")) \
-             .withColumn("source_id", F.col("source_id").cast("string"))
+    The keys are read as the text they were written as (``007`` stays so)."""
+    inferred = spark.read.parquet(path).schema
+    keys = {"query_date", "source_id"}
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType)
+                           for f in inferred.fields])
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_cells(cells: DataFrame, path: str) -> None:
+    """Delete the partitions of ``cells`` (source_id, query_date), a part of the
+    publisher x date grid, walked one after the other."""
+    spark = cells.sparkSession
+    jvm = spark.sparkContext._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for c in cells.select("query_date", "source_id").distinct().toLocalIterator():
+        cell = jvm.org.apache.hadoop.fs.Path(
+            f"{path.rstrip('/')}/query_date={escape(c.query_date)}/source_id={escape(c.source_id)}")
+        cell.getFileSystem(conf).delete(cell, True)
 
 
 def present_partitions(articles: DataFrame) -> DataFrame:

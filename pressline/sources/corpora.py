@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from pressline import constants as C
 from pressline.operators.sampling import sample_exact
+from pressline.plans.stage import stage
 
 TOPIC_CSV_SCHEMA = T.StructType([
     T.StructField("label", T.IntegerType()),
@@ -19,11 +20,13 @@ TOPIC_CSV_SCHEMA = T.StructType([
 
 def read_topic_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless ``label, headline, text`` CSV (quoted fields may span lines),
-    with a ``doc_id`` row identity for sampling and splitting."""
+    with a ``doc_id`` for sampling and splitting: a hash of the row's content, the
+    same whatever the file layout (equal rows share it). A file is one task, as
+    quoted line breaks can't be split: give a large corpus as many files."""
     df = (spark.read.schema(TOPIC_CSV_SCHEMA)
           .option("header", False).option("multiLine", True).option("escape", '"')
           .csv(path))
-    return df.withColumn("doc_id", F.monotonically_increasing_id())
+    return df.withColumn("doc_id", F.xxhash64("label", "headline", "text"))
 
 
 def read_labelled_dirs(spark: SparkSession, root: str) -> DataFrame:
@@ -41,17 +44,26 @@ def read_manifest_files(spark: SparkSession, manifest: str, source_root: str,
     """Manifest of relative file names -> optional exact sample of names ->
     blank names skipped -> whole files joined on path, decoded as UTF-8 text.
 
-    Returns ``(name, path, text)``.
+    Names may start with ``./``; a name with no file under the root fails the
+    job, as the original does. Returns ``(name, path, text)``, one row for each
+    time a name is listed.
     """
     names = spark.read.text(manifest).select(F.col("value").alias("name"))
     if samples is not None:
         names = sample_exact(names, samples, "name", seed)
-    names = names.where(F.col("name") != "")
-    root = source_root.rstrip("/") + "/"
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source_root)
-             .select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text")))
-    names = names.withColumn("_suffix", F.concat(F.lit(root), F.col("name")))
-    # binaryFile paths are URIs (file:/...); match on the path suffix.
-    files = files.withColumn("_suffix", F.regexp_replace("path", r"^[a-z]+:(//)?", ""))
-    names = names.withColumn("_suffix", F.regexp_replace("_suffix", r"^[a-z]+:(//)?", ""))
-    return names.join(files, "_suffix").select("name", "path", "text")
+    # the sampled names are staged: both the check and the read use them
+    names = stage(names.where(F.col("name") != ""), "manifest")
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(source_root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base)
+    root = base.toUri().getPath().rstrip("/") + "/"
+    relative = F.regexp_replace(F.regexp_replace("name", r"(^|/)(\./)+", "$1"), "/+", "/")
+    names = names.withColumn("_path", F.concat(F.lit(root), relative))
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source_root)
+             .withColumn("_path", F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")))
+    # paths only: the content column isn't read for this check
+    missing = names.join(found.select("_path"), "_path", "left_anti").select("name").limit(5).collect()
+    if missing:
+        raise FileNotFoundError(f"no file for {[r['name'] for r in missing]} under {source_root}")
+    files = found.select("_path", "path", F.decode(F.col("content"), "UTF-8").alias("text"))
+    return names.join(files, "_path").select("name", "path", "text")

@@ -124,3 +124,91 @@ def test_raw_layout_roundtrip_and_profile(spark):
     assert t.count() == 4
     assert t.where("source_id = 's2'").select("title").collect()[0].title == "new"
     assert t.where("source_id = 's1' and query_date = '2020-04-22'").count() == 2
+
+
+def test_read_partition_by_path_keys_and_empty_listing(spark):
+    root = tempfile.mkdtemp(prefix="pl-raw-")
+    for src, arts in [("007", [{"source": {"id": None, "name": "N"}, "title": "t", "url": "u", "description": "d"}]), ("s2", [])]:
+        d = os.path.join(root, "2020-04-22", src)
+        os.makedirs(d)
+        with open(os.path.join(d, "articles.json"), "w") as f:
+            json.dump(arts, f)
+    got = ar.read_partition(spark, root, "2020-04-22", "007")
+    assert [(r.source_id, r.query_date, r.description) for r in got.collect()] == [("007", "2020-04-22", "d")]
+    assert ar.read_partition(spark, root, "2020-04-22", "s2", strict=True).count() == 0
+    table = os.path.join(root, "table")
+    ar.write_partitioned(got, table)
+    assert [r.source_id for r in ar.read_partitioned(spark, table).collect()] == ["007"]
+
+
+def test_scrape_pass_two_pages_and_no_url(spark):
+    arts = spark.createDataFrame([(1, "u1", False, None, None), (2, None, False, None, None), (3, None, None, None, None)],
+                                 "doc_id int, url string, scraped boolean, scraped_content string, error boolean")
+    pages = spark.createDataFrame([(1, "u1", "old", False), (2, "u1", "new", False), (3, None, "x", False)],
+                                  "page_id int, url string, content_text string, error boolean")
+    out = {r.doc_id: r for r in ig.apply_scrape(arts, pages, version="page_id").collect()}
+    assert len(out) == 3 and ig.apply_scrape(arts, pages, version="page_id").count() == 3
+    assert (out[1].scraped, out[1].scraped_content) == (True, "new")
+    assert all((out[i].scraped, out[i].error) == (False, True) for i in (2, 3))
+
+
+def _responses(spark, rows):
+    from pressline.streaming.ingest import LANDING_SCHEMA
+    data = [(d, s, status, None if arts is None else [
+        (("x", "X"), None, t, "d", u, f"{d}T01:00:00Z", "c", None, None, None) for t, u in arts])
+        for d, s, status, arts in rows]
+    return spark.createDataFrame(data, LANDING_SCHEMA)
+
+
+def test_ingest_batch_clears_empty_cells_and_keeps_status(spark):
+    from pressline.streaming.ingest import ingest_batch
+    table = os.path.join(tempfile.mkdtemp(prefix="pl-in-"), "table")
+    day = "2020-04-22"
+    ingest_batch(_responses(spark, [(day, "a", "ok", [("t1", "u1"), ("t2", "u2")]), (day, "b", "ok", [("t", "u")])]), table)
+    t = ar.read_partitioned(spark, table)
+    done = t.where("source_id = 'a'").withColumn("scraped", F.col("url") == "u1").withColumn(
+        "scraped_content", F.when(F.col("url") == "u1", "body")).withColumn("error", F.lit(False)).collect()
+    ar.write_partitioned(spark.createDataFrame(done, t.schema), table)
+    again = _responses(spark, [(day, "a", "ok", [("t1b", "u1"), ("t3", "u3")]), (day, "b", "ok", []), (day, "c", "failed", None)])
+    ingest_batch(again, table, preserve_status=True)
+    got = {r.url: (r.title, r.scraped, r.scraped_content) for r in ar.read_partitioned(spark, table).collect()}
+    assert got == {"u1": ("t1b", True, "body"), "u3": ("t3", False, None)}      # b is empty now
+    ingest_batch(again, table)
+    assert {r.scraped for r in ar.read_partitioned(spark, table).collect()} == {False}
+
+
+def test_ingest_landed_stops_at_failed_or_missing_dates(spark):
+    from pressline.streaming.ingest import ingest_landed
+    base = tempfile.mkdtemp(prefix="pl-land-")
+    landing = os.path.join(base, "landing")
+    os.makedirs(landing)
+    days = ["2020-04-22", "2020-04-23", "2020-04-24"]
+    status = {"a": ["ok", "failed", "ok"], "b": ["ok", "ok", "ok"], "c": [None, "ok", "ok"], "other": ["ok"] * 3}
+    for s, states in status.items():
+        for d, st in zip(days, states):
+            if st:
+                with open(os.path.join(landing, f"{s}-{d}.json"), "w") as f:
+                    json.dump({"query_date": d, "source_id": s, "status": st,
+                               "articles": [{"title": s, "url": f"{s}{d}", "publishedAt": f"{d}T00:00:00Z"}]}, f)
+    table = os.path.join(base, "table")
+    taken = ingest_landed(spark, landing, table, ["a", "b", "c"], days[0], days[-1])
+    want = {("a", days[0])} | {("b", d) for d in days}
+    assert {(r.source_id, r.query_date) for r in taken.collect()} == want
+    assert {(r.source_id, r.query_date) for r in ar.read_partitioned(spark, table).collect()} == want
+
+
+def test_scrape_run_writes_back_the_capped_work(spark):
+    table = os.path.join(tempfile.mkdtemp(prefix="pl-run-"), "table")
+    rows = [(i, f"u{i}", i == 0, "old" if i == 0 else None, None, f"2020-04-2{2 + i % 3}", "s") for i in range(6)]
+    ar.write_partitioned(spark.createDataFrame(
+        rows, "doc_id int, url string, scraped boolean, scraped_content string, error boolean, query_date string, source_id string"), table)
+    pages = spark.createDataFrame([(f"u{i}", f"b{i}", False) for i in range(5)], "url string, content_text string, error boolean")
+    grid = pr.cell_grid(pr.source_dimension(spark, ["s", "none"]), "2020-04-22", "2020-04-24")
+    counts = {r.query_date: (r.n_newly_scraped, r.n_failed) for r in ig.scrape_run(table, grid, pages, max_cells=2).collect()}
+    assert counts == {"2020-04-22": (1, 0), "2020-04-23": (2, 0)}
+    got = {r.doc_id: (r.scraped, r.scraped_content, r.error) for r in ar.read_partitioned(spark, table).collect()}
+    assert got == {0: (True, "old", None), 3: (True, "b3", False), 1: (True, "b1", False), 4: (True, "b4", False),
+                   2: (False, None, None), 5: (False, None, None)}
+    ig.scrape_run(table, grid, pages)
+    got = {r.doc_id: (r.scraped, r.error) for r in ar.read_partitioned(spark, table).collect()}
+    assert got[2] == (True, False) and got[5] == (False, True)

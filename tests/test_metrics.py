@@ -103,3 +103,12 @@ def test_meters(spark):
     for k in (2, 4, 6):
         sub = [s for s in steps if s[2] <= k]
         assert run[k] == pytest.approx(sum(s[4] * s[3] for s in sub) / sum(s[3] for s in sub))
+
+
+def test_labels_outside_the_matrix_fail(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    for bad in ((0, 2), (None, 1), (-1, 0)):
+        df = spark.createDataFrame([(0, 1), bad], "truth int, guess int")
+        with pytest.raises(PySparkException, match="outside 0..1"):
+            M.confusion_matrix(df, 2).collect()

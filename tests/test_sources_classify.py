@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressline.plans import classify as cl
@@ -49,6 +50,13 @@ def test_manifest_files(spark):
     df = co.read_manifest_files(spark, manifest, os.path.join(root, "src"))
     assert {r.name: r.text for r in df.collect()} == {"a.py": "x = 1\n", "b.py": "print('é')\n"}
     assert co.read_manifest_files(spark, manifest, os.path.join(root, "src"), samples=2).count() <= 2
+    with open(manifest, "w") as f:
+        f.write("./a.py\na.py\n")
+    assert [r.text for r in co.read_manifest_files(spark, manifest, os.path.join(root, "src")).collect()] == ["x = 1\n"] * 2
+    with open(manifest, "w") as f:
+        f.write("a.py\ngone.py\n")
+    with pytest.raises(FileNotFoundError, match="gone.py"):
+        co.read_manifest_files(spark, manifest, os.path.join(root, "src"))
 
 
 def test_run_record_and_label_order(spark):
