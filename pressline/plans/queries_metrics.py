@@ -223,6 +223,18 @@ def q_label_distribution(spark, sf_dir):
                     r9(F.col("col.prob")).alias("prob"))
 
 
+@register("displayed_scores", SCORES_SQL + """
+SELECT vec_id, guess AS label_idx, round_even(list_max(scores) / 3, 6) AS score,
+       format('{:.2f}', list_max(scores) / 3) AS shown
+FROM scored
+""")
+def q_displayed_scores(spark, sf_dir):
+    """Best score of each vector as the views show it (a third of it, so that there are digits to round)."""
+    best = F.array_max("scores") / 3
+    return score_table(spark, sf_dir).select("vec_id", lb.argmax("scores").alias("label_idx"),
+                                             lb.round_score(best).alias("score"), lb.display_metric(best).alias("shown"))
+
+
 PHASE_SHARE = 0.7
 
 

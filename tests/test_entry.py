@@ -10,7 +10,8 @@ from pressline.plans import catalog
 from .conftest import SF_SMALL
 
 TABLES = ("documents labels pages embeddings events conversations benchmark").split()
-RUNS_ONLY = {"publisher_classifier", "classifier_history", "page_classification"}
+RUNS_ONLY = {"publisher_classifier", "topic_classifier", "sentiment_classifier", "classifier_history",
+             "page_classification"}
 
 
 def test_entry_smoke(spark):
@@ -32,6 +33,13 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert not any(n.lower().startswith("op") for n in qs)
 
 
+def test_profile_queries_scan_the_articles_once(spark):
+    """The result reads the staged cell counts, not the article table again."""
+    for name in ("source_date_profile", "missing_partitions", "scrape_work_list"):
+        files = E.queries()[name](spark, SF_SMALL).inputFiles()
+        assert files and all("/pressline-stage/cells-" in f for f in files), name
+
+
 def _norm(v):
     return repr(round(v, 9)) if isinstance(v, float) else repr(v)
 
@@ -46,7 +54,8 @@ def duck():
 
 FAST = ["publisher_training_set", "decompile_markup", "paragraph_removal_preview", "source_date_profile",
         "classification_report", "binary_report", "label_one_hot", "page_extraction", "scrape_status_update",
-        "train_validation_split", "token_blocks", "running_meters"]
+        "train_validation_split", "token_blocks", "running_meters", "encode_documents", "vocabulary",
+        "topk_labels", "displayed_scores", "scrape_run", "ingest_run", "daily_source_counts"]
 
 
 @pytest.mark.parametrize("name", FAST)

