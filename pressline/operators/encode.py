@@ -120,7 +120,7 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
     The frequent tokens are looked up per Arrow batch from a broadcast list of
     bounded size. Rows with other tokens are joined: the distinct (row, token)
     pairs meet the rest of the vocabulary by a shuffle join, and each row gets
-    its few pairs back as a map.
+    its pairs back for a second lookup.
     """
     spark = df.sparkSession
     is_head = (F.col("token_id") < head_tokens) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
@@ -135,15 +135,33 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
     pairs = (looked.where(has_rest)
                    .select("_row", F.explode(F.array_distinct(F.transform(missing, lambda z: z["t"]))).alias("token"))
                    .join(vocab.where(~is_head).select("token", "token_id"), "token"))
-    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_rest"))
+    pair = F.collect_list(F.struct("token", "token_id")).alias("_rest")
+    rest = pairs.groupBy("_row").agg(pair).select("_row", F.col("_rest.token").alias("_rest_t"),
+                                                  F.col("_rest.token_id").alias("_rest_i"))
     # rows without such tokens skip the join
-    plain = looked.where(~F.coalesce(has_rest, F.lit(False))).withColumn(out_col, F.col("_head"))
-    zipped = F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_head").alias("i"))
-    joined = (looked.where(has_rest).join(maps, "_row", "left")
-                    .withColumn(out_col, F.transform(zipped, lambda z: F.coalesce(
-                        z["i"], F.try_element_at(F.col("_rest"), z["t"]), F.lit(UNK_ID)))))
     columns = [*df.columns, out_col]
-    return plain.select(*columns).unionByName(joined.select(*columns))
+    plain = looked.where(~F.coalesce(has_rest, F.lit(False))).withColumnRenamed("_head", out_col).select(*columns)
+    joined = looked.where(has_rest).join(rest, "_row", "left").select(*df.columns, "_head", "_rest_t", "_rest_i")
+    return plain.unionByName(joined.mapInArrow(_fill_batches(tokens_col, out_col), plain.schema))
+
+
+def _fill_batches(tokens_col: str, out_col: str):
+    """``mapInArrow`` body: ids missing in ``_head`` from the pairs the rows bring
+    along (ids are global, so all pairs of a batch serve all its rows), else the
+    unknown id."""
+    def run(batches):
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            head, tokens = cols["_head"], cols[tokens_col].flatten().cast(pa.string())
+            ids = head.flatten()
+            known = pa.array(cols["_rest_t"].flatten(), type=pa.string())
+            at = pc.index_in(tokens, value_set=known)
+            filled = pc.fill_null(pc.coalesce(ids, cols["_rest_i"].flatten().cast(pa.int32()).take(at)), UNK_ID)
+            offsets = pc.subtract(head.offsets, head.offsets[0]).cast(pa.int32())
+            keep = [n for n in batch.schema.names if n not in ("_head", "_rest_t", "_rest_i")]
+            out = pa.ListArray.from_arrays(offsets, filled.cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[cols[n] for n in keep], out], names=[*keep, out_col])
+    return run
 
 
 def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
