@@ -123,6 +123,8 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
     its pairs back for a second lookup.
     """
     spark = df.sparkSession
+    # both halves read the ranks: write them once
+    vocab = stage(vocab.select("token", "token_id"), "vocabulary")
     is_head = (F.col("token_id") < head_tokens) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
     rows = vocab.where(is_head).select("token", "token_id").collect()     # <= head_tokens rows of <= 256 bytes
     head_bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
