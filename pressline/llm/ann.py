@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-A vector's two halves are quantised separately; a cell is a pair of centroids. A query visits the cells in
-the order of the summed distances of its halves to the two centroids, by a heap over the sorted halves, until the
+A vector gets one more part, which brings all vectors to the same norm (0 for a query), so the order of distances is that of
+inner products, whatever the norms. Its two halves are quantised separately; a cell is a pair of centroids. A query first visits
+the cells in the order of the summed distances of its halves to the two centroids, by a heap over the sorted halves, until the
 visited cells hold a ``PROBE_SHARE`` of all vectors (and at least ``PROBE_LEAST``). The vectors of the visited cells are
-then reranked by the exact inner product in double precision.
+then reranked by the exact inner product in double precision. Then it visits every other cell whose vectors could reach its k-th best score
+so far, by a bound from the cell's centroids and radii; the cells left out hold no neighbour, so the result is that of brute force.
 
 The centroids are fitted on at most ``TRAIN_ROWS`` vectors (the first by a hash of their id); every vector is indexed.
 The search is a join of blocks: the vectors of a first-half centroid, in parts of about ``PART_ROWS``, meet
 blocks of at most about ``QUERY_ROWS`` queries that visit it, so no task holds a whole list. Each meeting returns the
-best ``k`` per query, and a window over those picks the final ones. Recall against brute force is measured in the tests (README has the figures).
+best ``k`` per query, and a window over those picks the final ones. The tests compare it with brute force.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do rows without
 id or of another length than the most common one; equal scores go to the smaller id; repeated vectors are each candidates; a repeated id is one
@@ -60,29 +62,36 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def fit(vectors: DataFrame, centroids: int, train_rows: int) -> tuple[np.ndarray, np.ndarray] | None:
+def level(x: np.ndarray, longest: float) -> np.ndarray:
+    """The rows with one more part, which makes their squared norms ``longest``."""
+    return np.c_[x, np.sqrt(np.maximum(longest - (x ** 2).sum(1), 0))]
+
+
+def fit(vectors: DataFrame, centroids: int, train_rows: int, longest: float) -> tuple[np.ndarray, np.ndarray] | None:
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("v").toPandas()["v"]
     if not len(rows):
         return None
     x = np.array(rows.tolist())
     half = max(1, x.shape[1] // 2)
-    return kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0))
+    x = level(x, longest)
+    return kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)
 
 
 def _rows(column) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in column.to_pylist()]) if len(column) else np.empty((0, 0))
 
 
-def cells(vectors: DataFrame, books) -> DataFrame:
-    """id, i, j (nearest centroid of either half) and v as binary."""
+def cells(vectors: DataFrame, books, longest: float) -> DataFrame:
+    """id, i, j (nearest centroid of either half), a, b (distances of the vector's own parts to those of the two) and v as binary."""
 
     def run(batch):
-        x = _rows(batch["v"])
+        x = level(_rows(batch["v"]), longest)
         half = books[0].shape[1]
         i, j = (((c ** 2).sum(1) - 2 * h @ c.T).argmin(1).astype(np.int32) for c, h in zip(books, (x[:, :half], x[:, half:]), strict=True))
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(i), pa.array(j), batch["v"]], ["id", "i", "j", "v"])
+        a, b = np.linalg.norm(x[:, :half] - books[0][i], axis=1), np.linalg.norm((x[:, half:] - books[1][j])[:, :-1], axis=1)
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(i), pa.array(j), pa.array(a), pa.array(b), batch["v"]], ["id", "i", "j", "a", "b", "v"])
 
-    return map_batches(_packed(vectors), run, "id long, i int, j int, v binary", text="v")
+    return map_batches(_packed(vectors), run, "id long, i int, j int, a double, b double, v binary", text="v")
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
@@ -116,6 +125,13 @@ def traverse(query: np.ndarray, books, held: dict[tuple[int, int], int], least:
     return found
 
 
+def bounds(query: np.ndarray, books, radii) -> np.ndarray:
+    """Of each cell, a bound on the inner products of its vectors with the query."""
+    half = books[0].shape[1]
+    a, b = query[:half], query[half:]
+    return (books[0] @ a)[:, None] + (books[1][:, :-1] @ b)[None] + np.linalg.norm(a) * radii[0] + np.linalg.norm(b) * radii[1]
+
+
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of row pairs, summed in the order of the parts, so equal vectors have equal scores."""
     total = np.zeros(len(q))
@@ -150,13 +166,19 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     valid = usable(vectors, key, column)
-    length = valid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    length = valid.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("count"), F.max(norm).alias("longest")).orderBy(F.desc("count"), "n").first()
     if length is None:
         return spark.createDataFrame([], schema)
     valid = valid.where(F.size("v") == length.n)
-    books = fit(valid, centroids, train_rows)
-    index = stage(cells(valid, books), "ann-index")
-    counts = {(r.i, r.j): r["count"] for r in index.groupBy("i", "j").count().collect()}     # at most centroids squared rows
+    books = fit(valid, centroids, train_rows, length.longest)
+    index = stage(cells(valid, books, length.longest), "ann-index")
+    made = index.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"), F.max("b").alias("b")).collect()  # at most centroids squared rows
+    counts = {(r.i, r.j): r.n for r in made}
+    full = np.zeros((len(books[0]), len(books[1])), bool)
+    radii = np.zeros((2, *full.shape))
+    for r in made:
+        full[r.i, r.j], radii[:, r.i, r.j] = True, (r.a, r.b)
     total = sum(counts.values())
     want = max(least, int(share * total))
     lists = {}
@@ -166,19 +188,37 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     queries = index.where(is_query(F.col("id"))).select("id", "v")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
+    def first(batch):
+        seen = []
+        for raw in batch["v"].to_pylist():
+            found = np.zeros(full.shape, bool)
+            for i, js in traverse(np.r_[np.frombuffer(raw, np.float64), 0.0], books, counts, want).items():
+                found[i, js] = True
+            seen.append(np.packbits(found).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(seen, pa.binary()), batch["v"]], ["id", "seen", "v"])
+
+    def others(batch):
+        left = []
+        for raw, seen, floor in zip(batch["v"].to_pylist(), batch["seen"].to_pylist(), batch["floor"].to_pylist(), strict=True):
+            top = bounds(np.frombuffer(raw, np.float64), books, radii)
+            # equal scores are wanted too; the margin lies above the rounding of the bound and of the score
+            reach = full if floor is None else full & (top >= floor - 1e-9 * (1 + abs(floor) + np.abs(top) + length.longest))
+            left.append(np.packbits(reach & ~np.unpackbits(np.frombuffer(seen, np.uint8), count=full.size).reshape(full.shape).astype(bool)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(left, pa.binary()), batch["v"]], ["id", "seen", "v"])
+
     def visit(batch):
         out = []
-        for q, raw in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), strict=True):
-            for i, js in traverse(np.frombuffer(raw, np.float64), books, counts, want).items():
-                out += [(i, p, q, np.array(sorted(js), np.int32).tobytes(), raw) for p in range(parts[i])]
+        for q, raw, seen in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), batch["seen"].to_pylist(), strict=True):
+            open_ = np.unpackbits(np.frombuffer(seen, np.uint8), count=full.size).reshape(full.shape)
+            for i in np.flatnonzero(open_.any(axis=1)).tolist():
+                js = np.flatnonzero(open_[i]).astype(np.int32).tobytes()
+                out += [(i, p, q, js, raw) for p in range(parts[i])]
         cols = list(zip(*out, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
                                          ["i", "part", "id", "js", "v"])
 
-    visits = map_batches(queries, visit, "i int, part int, id long, js binary, v binary", text="v") \
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     part_of = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("i"))
-    laid = index.withColumn("part", F.pmod(F.xxhash64("id"), part_of).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    laid = index.select("id", "i", "j", "v", F.pmod(F.xxhash64("id"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def meet(left, right):
         q, x = _rows(left["v"]), _rows(right["v"])
@@ -190,10 +230,23 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
         a, b, s = best(q, left["id"].to_numpy(), x, right["id"].to_numpy(), open_[:, right["j"].to_numpy()], k)
         return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "score": pa.array(s)})
 
-    found = visits.groupBy("i", "part", "block").cogroup(laid.groupBy("i", "part", "block")) \
-        .applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def reranked(visited):
+        """query_id, vec_id, score: the best of the cells that ``visited`` (id, seen, v) names."""
+        visits = map_batches(visited, visit, "i int, part int, id long, js binary, v binary", text="v") \
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        return visits.groupBy("i", "part", "block").cogroup(laid.groupBy("i", "part", "block")) \
+            .applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    def ranked(found):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = stage(map_batches(queries, first, "id long, seen binary, v binary", text="v"), "ann-first")
+    early = stage(ranked(reranked(near)), "ann-early")
+    floors = early.where(F.col("rank") == k).select(F.col("query_id").alias("floor_id"), F.col("score").alias("floor"))
+    asked = near.join(floors, F.col("id") == F.col("floor_id"), "left").select("id", "seen", "floor", "v")
+    far = stage(map_batches(asked, others, "id long, seen binary, v binary", text="v"), "ann-others")
+    return ranked(early.select("query_id", "vec_id", "score").unionByName(reranked(far)))
 
 
 @register("op8_inverted_multi_index")

@@ -43,6 +43,18 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
 
 
+def test_neighbours_with_differing_norms(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 16))
+    x *= rng.lognormal(sigma=1.0, size=(2000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = [(q, r, v) for q, r, v, _ in brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 20, lambda i: i % 50 == 0)]
+    for share in (0.5, 0.0):                             # whatever the first visits leave out, the bound brings
+        got = ann.search(frame, lambda i: i % 50 == 0, centroids=16, share=share, least=100)
+        assert sorted((q, r, v) for q, r, v, _ in rows_of(got, *NEAREST)) == want
+
+
 def test_traverse_visits_in_order():
     books = np.array([[0.0], [1.0], [5.0]]), np.array([[0.0], [2.0]])
     held = {(0, 0): 1, (1, 0): 2, (0, 1): 1, (2, 1): 9}
