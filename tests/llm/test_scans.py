@@ -83,6 +83,21 @@ def test_personal_field(spark, clashing, no_docs):
     assert pii.scan_personal(no_docs).collect() == []
 
 
+def test_personal_training_mix_at_any_size(spark, monkeypatch):
+    """The smallest keys of many regions all begin with the same byte; repeated regions count once."""
+    shown = []
+    one = pii.training_sample
+    monkeypatch.setattr(pii, "training_sample", lambda text, base, tokens, plain: shown.append((text, plain)) or one(text, base, tokens, plain))
+    rows = [(i, f"call +1 (988) {i // 10000 + 200}-{i % 10000:04} now") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.train(docs, most=30)
+    assert len(shown) == 30 and 4 <= sum(plain for _, plain in shown) <= 16
+    few = [(i, f"call +1 (988) 200-{i:04} now") for i in range(20)]
+    shown.clear()
+    pii.train(spark.createDataFrame(few * 40, "doc_id long, text string"), most=20)
+    assert len(shown) == len({text for text, _ in shown}) == 20
+
+
 def test_licences(spark, clashing, no_docs):
     lines = {1: ("Licensed under the Apache License, Version 2.0.", "apache"), 2: ("Released under the MIT License.", "mit"), 3: ("All rights reserved.", "reserved"),
              4: ("this work is LICENSED under the GNU general public license, version 3", "gpl"), 5: ("the public was there with a version of it", "none"),
