@@ -22,6 +22,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The packed rows with row_id, a number of each row's own. They are written, so that the numbers stay the same in every read."""
+    return stage(packed(docs).withColumn("row_id", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
+
+
 def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The rows whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (one column, staged)."""
     side = small_side(ids.toDF("other_id"))
@@ -55,12 +60,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: once for each epoch that reaches it. A document that the cut takes in part
     stays whole; one that no epoch reaches goes."""
-    mixed = mixing.mix(docs)
+    rows = numbered(docs, "mixing")
+    mixed = mixing.mix(rows.select("row_id", "row.doc_id", "row.text", "row.source"), carry=["row_id"])
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     # documents that the mix takes just once need no mark; empty texts, which have no words to take, stay
-    other = stage(mixed.where((F.col("size") > 0) & (times != 1)).groupBy("doc_id").agg(F.max(times).alias("times"))
-                  .select(F.col("doc_id").alias("mix_id"), "times"), "pipeline-mix")
-    joined = packed(docs).join(small_side(other), F.col("row.doc_id").eqNullSafe(F.col("mix_id")), "left")
+    other = stage(mixed.where((F.col("size") > 0) & (times != 1)).select(F.col("row_id").alias("mix_id"), times.alias("times")), "pipeline-mix")
+    joined = rows.join(small_side(other), F.col("row_id") == F.col("mix_id"), "left")
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1))))).select("row.*")
 
 

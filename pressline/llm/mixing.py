@@ -58,9 +58,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
-        max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken."""
-    sizes = stage(docs.select("doc_id", "source",
+        max_epochs: int = MAX_EPOCHS, carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken, and the columns ``carry``, which also order equal rows."""
+    sizes = stage(docs.select("doc_id", "source", *carry,
                               F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                               F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "mix-sizes")
     targets = small_side(stage(source_targets(sizes, weights, share, max_epochs), "mix-targets"))
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     part = F.conv(F.substring("key", 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     laid = (sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
             .withColumn("bucket", F.floor(part * F.ceil(F.col("n_rows") / ROWS_PER_BUCKET)).cast("long")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size") \
+    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *carry) \
         .rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (laid.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def mix_sql(docs: str) -> str:

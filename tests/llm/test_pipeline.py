@@ -2,6 +2,7 @@ import corpus_pipeline
 from pressline.llm import decontaminate, jaccard, mixing, quality
 from pressline.llm.common import read_table
 from tests.conftest import SF_SMALL
+from tests.llm.conftest import prose
 
 
 def test_stages_follow_their_operators(spark):
@@ -37,3 +38,18 @@ def test_run_and_edges(spark, clashing, no_docs):
     once = corpus_pipeline.near_duplicate_stage(spark, clashing, SF_SMALL)
     ids = [r.doc_id for r in once.select("doc_id").collect()]
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and None in ids
+
+
+def test_mixing_takes_rows_not_ids(spark):
+    """Rows without an id, or with one id, each follow their own epochs, so every source's budget is met but for the last document."""
+    for own in (None, 7):
+        rows = [(own, prose(k, 10 + k % 5), "en", "abc"[k % 3]) for k in range(120)] + [(own, "", "en", "a")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        budget, got = {}, {}
+        for r in mixing.mix(docs).collect():
+            budget[r.source] = budget.get(r.source, 0) + r.taken
+        out = corpus_pipeline.mixing_stage(spark, docs, SF_SMALL).collect()
+        for r in out:
+            got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        assert all(budget[s] <= got.get(s, 0) < budget[s] + 14 for s in budget), (budget, got)
+        assert sum(r.text == "" for r in out) == 1
