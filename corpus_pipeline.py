@@ -4,7 +4,8 @@ quality -> near duplicates -> decontamination -> mixing -> token shards. Every s
 of documents. ORACLE_SQL is None, since the trained classifier and the tokens have no SQL; the tests hold each stage against its operator
 and brute force.
 
-Edge cases follow the operators. Rows without doc_id pass the near-duplicate stage (they have no component), and a
+Edge cases follow the operators. Decisions are carried by row, not by doc_id, so rows without one, or that share one, are judged
+each on its own. Rows without doc_id pass the near-duplicate stage (they have no component), and a
 document id that occurs in several rows of one text keeps one of them.
 """
 
@@ -27,10 +28,9 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return stage(packed(docs).withColumn("row_id", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
 
 
-def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (one column, staged)."""
-    side = small_side(ids.toDF("other_id"))
-    return packed(docs).join(side, F.col("row.doc_id") == F.col("other_id"), how).select("row.*")
+def without(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """The documents' columns of the numbered rows whose row_id isn't in ``drop`` (one column, staged)."""
+    return rows.join(small_side(drop.toDF("drop_id")), F.col("row_id") == F.col("drop_id"), "left_anti").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,22 +39,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard.jaccard_components(docs)
-    drop = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-duplicates")
-    kept = matching(docs, drop, "left_anti")
-    # rows that repeat an id, few if any, are reduced to one
-    again = stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "pipeline-repeats")
-    if again.isEmpty():
-        return kept
-    return matching(kept, again, "left_anti").unionByName(matching(kept, again, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of linked rows the one with the smallest id stays; of rows with one id and no words, one."""
+    rows = numbered(docs, "near-duplicates")
+    own = F.when(F.col("row.doc_id").isNotNull(), F.col("row_id"))
+    found = jaccard.jaccard_components(rows.select(own.alias("doc_id"), F.col("row.text").alias("text")))
+    some = stage(found.where("doc_id <> component_id OR (doc_id IS NOT NULL AND n_shingles = 0)")
+                 .select(F.col("doc_id").alias("member"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")), "pipeline-linked")
+    heads = some.where("group IS NOT NULL").select(F.col("group").alias("member"), "group").distinct()
+    members = stage(some.unionByName(heads), "pipeline-members")
+    ids = rows.select("row_id", F.col("row.doc_id").alias("own_id")).join(small_side(members), F.col("row_id") == F.col("member")) \
+        .select("row_id", "own_id", "group", F.when(F.col("group").isNull(), F.col("own_id")).alias("empty_id"))
+    ids = stage(ids, "pipeline-member-ids")
+    first = stage(ids.groupBy("group", "empty_id").agg(F.min(F.struct("own_id", "row_id")).alias("f")).select(F.col("f.row_id").alias("first_id")), "pipeline-first")
+    drop = stage(ids.join(small_side(first), F.col("row_id") == F.col("first_id"), "left_anti").select("row_id"), "pipeline-duplicates")
+    return without(rows, drop)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    drop = stage(found.where("contaminated").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-contaminated")
-    return matching(docs, drop, "left_anti")
+    """Rows that hold a window of a benchmark item go."""
+    rows = numbered(docs, "decontamination")
+    found = decontaminate.decontaminate(rows.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), read_table(spark, sf_dir, "benchmark"))
+    return without(rows, stage(found.where("contaminated").select("doc_id"), "pipeline-contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

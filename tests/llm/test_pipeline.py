@@ -53,3 +53,19 @@ def test_mixing_takes_rows_not_ids(spark):
             got[r.source] = got.get(r.source, 0) + len(r.text.split())
         assert all(budget[s] <= got.get(s, 0) < budget[s] + 14 for s in budget), (budget, got)
         assert sum(r.text == "" for r in out) == 1
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    schema = "doc_id long, text string, lang string, source string"
+
+    def left(stage, rows):
+        out = stage(spark, spark.createDataFrame([(i, t, "en", "a") for i, t in rows], schema), SF_SMALL)
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    leak = next(r.text for r in read_table(spark, SF_SMALL, "benchmark").where("item_id IS NOT NULL").collect() if len((r.text or "").split()) >= 10)
+    clean = [(None, prose(1, 30)), (7, prose(2, 30)), (8, prose(3, 30))]
+    assert left(corpus_pipeline.decontamination_stage, [*clean, (None, leak), (7, f"so {leak} too"), (9, leak)]) == sorted(clean, key=repr)
+    one, two, three = prose(5, 80), prose(9, 80, 11), prose(4, 60, 13)
+    near = one.replace(one.split()[3], "edit", 1)
+    keep = [(None, one), (1, one), (5, two), (6, three), (6, prose(8, 50, 17)), (9, "")]
+    assert left(corpus_pipeline.near_duplicate_stage, [*keep, (5, near), (6, three), (8, three), (9, "")]) == sorted(keep, key=repr)
