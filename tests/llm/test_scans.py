@@ -111,6 +111,19 @@ def test_licences(spark, clashing, no_docs):
     assert licences.scan_licences(no_docs).collect() == []
 
 
+def test_wrapped_and_reworded_notices(spark):
+    header = ("    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+              "    the Free Software Foundation, either version 3 of the License.")
+    texts = {1: header, 2: " * Permission is hereby granted, free of charge,\n * to any person obtaining\n * a copy of this software.", 3: "Distributed under the terms of the MIT License.",
+             4: "All rights reserved.", 5: "the public was there\nwith a version of it"}
+    rows = [(i, f"{prose(i, 20)}\n\n{t}\n\n{prose(i + 9, 20)}") for i, t in texts.items()]
+    rows += [(100 + i, f"{prose(i, 12)} public {prose(i, 5)} version") for i in range(60)]
+    rows += [(200 + i, f"w{i}x distributed under the terms of the MIT License") for i in range(60)]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i].family, got[i].confirmed, got[i].n_paragraphs) for i in texts} == {
+        1: ("gpl", True, 1), 2: ("mit", True, 1), 3: ("unknown", False, 1), 4: ("reserved", True, 1), 5: ("none", False, 0)}
+
+
 @pytest.mark.parametrize("name", ["licences", "mixing"])
 def test_native_operators_have_no_python_nodes(name):
     import inspect
