@@ -124,6 +124,17 @@ def test_wrapped_and_reworded_notices(spark):
         1: ("gpl", True, 1), 2: ("mit", True, 1), 3: ("unknown", False, 1), 4: ("reserved", True, 1), 5: ("none", False, 0)}
 
 
+def test_every_family_of_a_document(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, f"Released under the MIT License.\n{prose(1, 9)}\n{gpl}\n{gpl}"), (2, "Licensed under the Apache License, Version 2.0. All rights reserved."), (None, gpl), (None, "All rights reserved."), (3, "plain")]
+    rows += [(100 + i, f"{prose(i, 12)} public {prose(i, 5)} version") for i in range(60)]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = {i: {(f.family, f.likely, f.n_paragraphs, f.confirmed) for f in got[i].families} for i in (1, 2, 3, None)}
+    assert held == {1: {("mit", "mit", 1, True), ("gpl", "gpl", 2, True)}, 2: {("apache", "apache", 1, True), ("reserved", "reserved", 1, True)}, 3: set(),
+                    None: {("gpl", "gpl", 1, True), ("reserved", "reserved", 1, True)}}
+    assert all(got[i].family == got[i].families[0].family for i in (1, 2, None))
+
+
 @pytest.mark.parametrize("name", ["licences", "mixing"])
 def test_native_operators_have_no_python_nodes(name):
     import inspect
