@@ -21,4 +21,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every operator module, which registers its query."""
-    from pressline.llm import ann, chat, decontaminate, jaccard, licences, mixing, pii, quality, search, secrets, spelling, token_shards  # noqa: F401
+    from pressline.llm import ann, chat, decontaminate, jaccard, licences, mixing, pii, quality, search, secrets, spelling, token_shards, toxicity  # noqa: F401
