@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,11 @@ RESERVED = [PAD_TOKEN, CLS_TOKEN, UNK_TOKEN] + HEADLINE_BODY_MARKERS
 PAD_ID, CLS_ID, UNK_ID = 0, 1, 2
 SEPARATOR = "\n"
 
-# Tokens looked up from a broadcast list: the most frequent ids, and only tokens
-# of at most so many bytes, so the list never exceeds 13 MB. All other tokens
+# Tokens looked up from a broadcast list: the most frequent ids whose text, measured, sums up to at most so many
+# bytes, and only tokens of at most HEAD_TOKEN_BYTES. All other tokens
 # are joined; being rarer than every listed one, none of them is a hot key.
-HEAD_TOKENS = 50_000
+HEAD_BYTES = 32 << 20
+HEAD_STEP = 50_000
 HEAD_TOKEN_BYTES = 256
 
 
@@ -89,9 +91,9 @@ def stage_tokens(df: DataFrame, text_col: str, tokens_col: str = "_tokens") -> D
 _VOCAB_CACHE: dict[str, tuple[pa.Array, pa.Array]] = {}
 
 
-def _lookup_batches(head_bc, key: str, tokens_col: str, out_col: str):
-    """``mapInArrow`` body: append ``out_col`` = ids of ``tokens_col``, NULL for
-    tokens outside the broadcast list.
+def _lookup_batches(head_bc, key: str, tokens_col: str, keep: list[str], out_col: str, open_col: str | None):
+    """``mapInArrow`` body: the columns ``keep`` and ``out_col`` = ids of ``tokens_col``. Tokens outside the broadcast list are
+    NULL and listed in ``open_col`` with their positions; without that column they get the unknown id.
 
     Per Arrow batch, all tokens are looked up at once with ``index_in``
     (a vectorised hash probe, no Python objects per token).
@@ -99,70 +101,99 @@ def _lookup_batches(head_bc, key: str, tokens_col: str, out_col: str):
     def run(batches):
         head = _VOCAB_CACHE.get(key)
         if head is None:
-            tokens, ids = head_bc.value
-            head = pa.array(tokens, type=pa.string()), pa.array(ids, type=pa.int32())
+            head = head_bc.value
             _VOCAB_CACHE.clear()      # a reused Python worker keeps one list
             _VOCAB_CACHE[key] = head
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(tokens_col))
-            codes = head[1].take(pc.index_in(col.flatten().cast(pa.string()), value_set=head[0]))
+            col = batch[tokens_col]
+            flat = col.flatten().cast(pa.string())
+            codes = head[1].take(pc.index_in(flat, value_set=head[0]))
             offsets = pc.subtract(col.offsets, col.offsets[0]).cast(pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, codes, mask=col.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
+            columns, names = [batch[n] for n in keep], [*keep, out_col]
+            if open_col is None:
+                codes = pc.fill_null(codes, UNK_ID)
+            columns.append(pa.ListArray.from_arrays(offsets, codes, mask=col.is_null()))
+            if open_col is not None:
+                ends = offsets.to_numpy()
+                lost = np.flatnonzero(codes.is_null().to_numpy(zero_copy_only=False))
+                before = np.searchsorted(lost, ends)
+                row = np.repeat(np.arange(len(col)), np.diff(before))
+                pairs = pa.StructArray.from_arrays([pa.array(lost - ends[row], pa.int32()), flat.take(pa.array(lost))], ["position", "token"])
+                columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pairs))
+                names.append(open_col)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
+def head_size(vocab: DataFrame, most_bytes: int = HEAD_BYTES) -> int:
+    """How many of the first ids the broadcast list holds: the steps of ``HEAD_STEP`` ids whose
+    tokens sum up to at most ``most_bytes``."""
+    fits = most_bytes // 8                                   # ids past this can't fit: a token costs eight bytes at least
+    sizes = (vocab.where((F.col("token_id") < fits) & (F.octet_length("token") <= HEAD_TOKEN_BYTES))
+                  .groupBy(F.floor(F.col("token_id") / HEAD_STEP).alias("step"))
+                  .agg(F.sum(F.octet_length("token") + 8).alias("size")).collect())     # at most fits / HEAD_STEP rows
+    total = n = 0
+    for step, size in sorted(sizes):
+        total += size
+        if total > most_bytes:
+            break
+        n = (step + 1) * HEAD_STEP
+    return n
+
+
 def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str,
-               head_tokens: int = HEAD_TOKENS) -> DataFrame:
+               head_tokens: int | None = None, keep_tokens: bool = True) -> DataFrame:
     """``df`` with ``out_col`` = the vocabulary ids of ``tokens_col`` (tokens
-    that the vocabulary lacks get the unknown id; a NULL array stays NULL).
+    that the vocabulary lacks get the unknown id; a NULL array stays NULL), and without
+    ``tokens_col`` itself unless ``keep_tokens`` is set.
 
-    The frequent tokens are looked up per Arrow batch from a broadcast list of
-    bounded size. Rows with other tokens are joined: the distinct (row, token)
-    pairs meet the rest of the vocabulary by a shuffle join, and each row gets
-    its pairs back for a second lookup.
+    The frequent tokens (``head_tokens`` of them; by default what ``HEAD_BYTES`` hold) are looked up per Arrow batch from a
+    broadcast list. Only the positions that it leaves open go on: (row, position, token) meet the rest of the vocabulary
+    by a shuffle join and come back as (position, id), so no other token is shuffled or written as text.
     """
     spark = df.sparkSession
     # both halves read the ranks: write them once
     vocab = stage(vocab.select("token", "token_id"), "vocabulary")
+    if head_tokens is None:
+        head_tokens = head_size(vocab)
     is_head = (F.col("token_id") < head_tokens) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
-    rows = vocab.where(is_head).select("token", "token_id").collect()     # <= head_tokens rows of <= 256 bytes
-    head_bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-    schema = T.StructType([*df.schema.fields, T.StructField("_head", T.ArrayType(T.IntegerType()))])
-    looked = df.mapInArrow(_lookup_batches(head_bc, uuid.uuid4().hex, tokens_col, "_head"), schema)
+    head = vocab.where(is_head).select("token", "token_id").toArrow()      # measured: at most HEAD_BYTES of text
+    head_bc = spark.sparkContext.broadcast((head["token"].combine_chunks().cast(pa.string()), head["token_id"].combine_chunks().cast(pa.int32())))
+    kept = [f for f in df.schema.fields if keep_tokens or f.name != tokens_col]
+    names = [f.name for f in kept]
+    rest = vocab.where(~is_head).select("token", "token_id")
+    open_type = "array<struct<position:int,token:string>>"
+    schema = T.StructType([*kept, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    if vocab.count() == head.num_rows:                        # what the list lacks is unknown
+        return df.mapInArrow(_lookup_batches(head_bc, uuid.uuid4().hex, tokens_col, names, out_col, None), schema)
+    looked = df.mapInArrow(_lookup_batches(head_bc, uuid.uuid4().hex, tokens_col, names, out_col, "_open"),
+                           T.StructType([*schema.fields, T.StructField("_open", T._parse_datatype_string(open_type))]))
     # written once, so that the row number means the same row in both readings
     looked = stage(looked.withColumn("_row", F.monotonically_increasing_id()), "token-ids")
-    has_rest = F.exists("_head", lambda i: i.isNull())
-    missing = F.filter(F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_head").alias("i")), lambda z: z["i"].isNull())
-    pairs = (looked.where(has_rest)
-                   .select("_row", F.explode(F.array_distinct(F.transform(missing, lambda z: z["t"]))).alias("token"))
-                   .join(vocab.where(~is_head).select("token", "token_id"), "token"))
-    pair = F.collect_list(F.struct("token", "token_id")).alias("_rest")
-    rest = pairs.groupBy("_row").agg(pair).select("_row", F.col("_rest.token").alias("_rest_t"),
-                                                  F.col("_rest.token_id").alias("_rest_i"))
+    has_open = F.size("_open") > 0
+    found = (looked.where(has_open).select("_row", F.inline("_open")).join(rest, "token")
+                   .groupBy("_row").agg(F.collect_list(F.struct("position", "token_id")).alias("_found"))
+                   .select("_row", F.col("_found.position").alias("_position"), F.col("_found.token_id").alias("_id")))
     # rows without such tokens skip the join
-    columns = [*df.columns, out_col]
-    plain = looked.where(~F.coalesce(has_rest, F.lit(False))).withColumnRenamed("_head", out_col).select(*columns)
-    joined = looked.where(has_rest).join(rest, "_row", "left").select(*df.columns, "_head", "_rest_t", "_rest_i")
-    return plain.unionByName(joined.mapInArrow(_fill_batches(tokens_col, out_col), plain.schema))
+    names.append(out_col)
+    plain = looked.where(~F.coalesce(has_open, F.lit(False))).select(*names)
+    joined = looked.where(has_open).join(found, "_row", "left").select(*names, "_position", "_id")
+    return plain.unionByName(joined.mapInArrow(_fill_batches(out_col), schema))
 
 
-def _fill_batches(tokens_col: str, out_col: str):
-    """``mapInArrow`` body: ids missing in ``_head`` from the pairs the rows bring
-    along (ids are global, so all pairs of a batch serve all its rows), else the
-    unknown id."""
+def _fill_batches(out_col: str):
+    """``mapInArrow`` body: the ids found for a row, put at their positions; what is still open is unknown."""
     def run(batches):
         for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            head, tokens = cols["_head"], cols[tokens_col].flatten().cast(pa.string())
-            ids = head.flatten()
-            known = pa.array(cols["_rest_t"].flatten(), type=pa.string())
-            at = pc.index_in(tokens, value_set=known)
-            filled = pc.fill_null(pc.coalesce(ids, cols["_rest_i"].flatten().cast(pa.int32()).take(at)), UNK_ID)
-            offsets = pc.subtract(head.offsets, head.offsets[0]).cast(pa.int32())
-            keep = [n for n in batch.schema.names if n not in ("_head", "_rest_t", "_rest_i")]
-            out = pa.ListArray.from_arrays(offsets, filled.cast(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[cols[n] for n in keep], out], names=[*keep, out_col])
+            ids, position, found = (batch[c] for c in (out_col, "_position", "_id"))
+            offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            flat = pc.fill_null(ids.flatten(), UNK_ID).to_numpy(zero_copy_only=False).copy()
+            per_row = pc.fill_null(pc.list_value_length(position), 0).to_numpy(zero_copy_only=False)
+            at = np.repeat(offsets[:-1], per_row) + position.flatten().to_numpy(zero_copy_only=False)
+            flat[at.astype(np.int64)] = found.flatten().to_numpy(zero_copy_only=False)
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            keep = [n for n in batch.schema.names if n not in (out_col, "_position", "_id")]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in keep], out], names=[*keep, out_col])
     return run
 
 
@@ -186,7 +217,7 @@ def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
     else:
         tokens = with_columns_once(df, {"_tokens": tokenize(text_col)}).drop(text_col)
     tokens = tokens.withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>")))
-    out = lookup_ids(tokens, "_tokens", vocab, "_ids").drop("_tokens").withColumn("n_tokens", F.size("_ids"))
+    out = lookup_ids(tokens, "_tokens", vocab, "_ids", keep_tokens=False).withColumn("n_tokens", F.size("_ids"))
     if all_windows:
         last = F.greatest(F.ceil(F.col("n_tokens") / max_length) - 1, F.lit(0)).cast("int")
         out = out.withColumn("window_idx", F.explode(F.sequence(F.lit(0), last)))
@@ -274,5 +305,5 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     if not ids:
         return pack_arrays(toks, "_tokens", order_col, block_size, "tokens", rows_per_range, keep_tail)
     toks = stage(toks, "doc-tokens")
-    found = lookup_ids(toks, "_tokens", build_vocabulary(toks, None, tokens_col="_tokens"), "_ids")
+    found = lookup_ids(toks, "_tokens", build_vocabulary(toks, None, tokens_col="_tokens"), "_ids", keep_tokens=False)
     return pack_arrays(found, "_ids", order_col, block_size, "input_ids", rows_per_range, keep_tail)
