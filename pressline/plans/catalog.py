@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from pressline.plans import (queries_classify, queries_encode, queries_ingest,  # noqa: F401
+    from pressline.plans import (queries_classify, queries_encode, queries_files, queries_ingest,  # noqa: F401
                                  queries_metrics, queries_profile, queries_text)

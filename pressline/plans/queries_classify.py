@@ -63,22 +63,36 @@ def q_sentiment_training_set(spark, sf_dir):
 
 TOPIC_SPLIT, SENTIMENT_SPLIT = 0.7, 0.7
 
-_FITTED: dict[tuple[str, str, str], TrainResult] = {}
+_FITTED: dict[tuple, tuple[tuple, TrainResult]] = {}
 
 
-def _shared(spark, sf_dir, name, fit) -> TrainResult:
-    """One fit per application, data folder and job: the queries that show its
-    predictions, history and contract read the same model and staged predictions."""
+def table_state(spark, sf_dir, tables) -> tuple:
+    """What tells two states of the tables apart: path, length and time of each of their files."""
+    found = []
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def _shared(spark, sf_dir, name, fit, tables) -> TrainResult:
+    """One fit per application, job and state of its tables: the queries that show its
+    predictions, history and contract read the same model and staged predictions. A changed table is fitted anew and the old fit let go."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = fit()
-    return _FITTED[key]
+    state = table_state(spark, sf_dir, tables)
+    if key not in _FITTED or _FITTED[key][0] != state:
+        _FITTED[key] = state, fit()
+    return _FITTED[key][1]
 
 
 def _publisher_model(spark, sf_dir):
     return _shared(spark, sf_dir, "publisher", lambda: train_classifier(
         publisher_training_set(load_articles(spark, sf_dir), PUB_MIN_WORDS, PUB_MAX_WORDS,
-                               PUB_MIN_DOCS, PUB_SOURCES), "source_id", max_iter=20))
+                               PUB_MIN_DOCS, PUB_SOURCES), "source_id", max_iter=20), ("documents",))
 
 
 def _two_tables(rows, share):
@@ -89,12 +103,12 @@ def _two_tables(rows, share):
 
 def _topic_model(spark, sf_dir):
     return _shared(spark, sf_dir, "topic", lambda: topic_classifier(
-        *_two_tables(topic_rows(spark, sf_dir), TOPIC_SPLIT), 0, TOPIC_MAX_WORDS))
+        *_two_tables(topic_rows(spark, sf_dir), TOPIC_SPLIT), 0, TOPIC_MAX_WORDS), ("documents",))
 
 
 def _sentiment_model(spark, sf_dir):
     return _shared(spark, sf_dir, "sentiment", lambda: sentiment_classifier(
-        *_two_tables(sentiment_rows(spark, sf_dir), SENTIMENT_SPLIT), 0, TOPIC_MAX_WORDS))
+        *_two_tables(sentiment_rows(spark, sf_dir), SENTIMENT_SPLIT), 0, TOPIC_MAX_WORDS), ("documents", "labels"))
 
 
 def _validation(res):

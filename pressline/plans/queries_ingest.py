@@ -16,7 +16,7 @@ from pressline.plans.stage import scratch_path
 from pressline.sources.articles import (ARTICLES_SQL, URL_PREFIX, load_articles, load_table, read_partitioned,
                                         write_partitioned)
 
-WORK_CAP = None         # every cell
+WORK_CAP = 300          # cells of a capped pass (the feature under test)
 
 
 @register("listing_ingest", f"""
@@ -149,15 +149,27 @@ def q_scrape_counts(spark, sf_dir):
         F.count_if(~F.col("scraped") & F.col("error")).alias("n_failed"))
 
 
-@register("scrape_work_list", GRID_SQL + f"""
+WORK_SQL = GRID_SQL + """
 SELECT query_date, source_id FROM grid
 WHERE EXISTS (SELECT 1 FROM present p WHERE p.source_id = grid.source_id AND p.query_date = grid.query_date)
-""")
+"""
+
+
+def _work(spark, sf_dir, cap):
+    cells = _cells(load_articles(spark, sf_dir))
+    return ig.capped_work(pr.present_cells(_grid(cells), cells), cap).select("query_date", "source_id")
+
+
+@register("scrape_work_list", WORK_SQL)
 def q_scrape_work_list(spark, sf_dir):
     """Work list: grid cells that hold listings."""
-    cells = _cells(load_articles(spark, sf_dir))
-    work = pr.present_cells(_grid(cells), cells)
-    return ig.capped_work(work, WORK_CAP).select("query_date", "source_id")
+    return _work(spark, sf_dir, None)
+
+
+@register("scrape_work_list_capped", WORK_SQL + f"ORDER BY query_date, source_id LIMIT {WORK_CAP}")
+def q_scrape_work_list_capped(spark, sf_dir):
+    """The first cells of the work list, as a capped scrape pass takes them."""
+    return _work(spark, sf_dir, WORK_CAP)
 
 
 @register("scrape_run", SCRAPE_SQL + """

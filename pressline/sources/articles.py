@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressline.functions.text import day_of
+from pressline.sources.splits import read_json_arrays
 
 LISTING_FILE = "articles.json"
 
@@ -16,8 +17,8 @@ SOURCE_STRUCT = T.StructType([
     T.StructField("name", T.StringType()),
 ])
 
-# One element of a landed listing file (fields the jobs touch; a JSON reader
-# with this schema ignores the rest). ``scraped_content`` and ``error`` are
+# One element of a landed listing file (fields the jobs touch; all others travel
+# in the map ``extra``). ``scraped_content`` and ``error`` are
 # absent until the first scrape attempt and read as NULL.
 ARTICLE_SCHEMA = T.StructType([
     T.StructField("source", SOURCE_STRUCT),
@@ -45,7 +46,7 @@ def flatten(raw: DataFrame) -> DataFrame:
         "author", "title", "description", "url",
         F.to_timestamp("publishedAt").alias("published_at"),
         "content", "scraped", "scraped_content", "error",
-        *[c for c in ("query_date",) if c in raw.columns],
+        *[c for c in ("query_date", "extra") if c in raw.columns],
     )
 
 
@@ -54,22 +55,17 @@ def partition_dir(root: str, query_date: Column, source_id: Column) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), query_date, source_id)
 
 
-def read_listing_layout(spark: SparkSession, root: str) -> DataFrame:
+def read_listing_layout(spark: SparkSession, root: str, files: str = f"*/*/{LISTING_FILE}") -> DataFrame:
     """All ``ROOT/DATE/SOURCE/articles.json`` files (one JSON array each) as one scan.
 
     Date and publisher come from the file path, so one multi-path read replaces
-    the per-(publisher, date) loop; absent partitions simply contribute no rows.
+    the per-(publisher, date) loop; absent partitions simply contribute no rows. ``files`` is the pattern below the
+    root; folders may be named ``key=value``. Arrays are cut in byte ranges, so a large
+    one is many tasks. Fields that the schema lacks come as text in ``extra``.
     """
-    raw = (spark.read.schema(ARTICLE_SCHEMA).option("multiLine", True)
-           .json(f"{root.rstrip('/')}/*/*/{LISTING_FILE}")
-           .withColumn("_path", F.col("_metadata.file_path")))
-    parts = F.regexp_extract("_path", r"/([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)/[^/]+$", 0)
-    with_keys = raw.select(
-        "*",
-        F.regexp_extract("_path", r"/([0-9]{4}-[0-9]{2}-[0-9]{2})/[^/]+/[^/]+$", 1).alias("query_date"),
-        F.regexp_extract("_path", r"/([^/]+)/[^/]+$", 1).alias("path_source_id"),
-    ).where(parts != "")
-    return with_keys.drop("_path")
+    raw = read_json_arrays(spark, f"{root.rstrip('/')}/{files}", ARTICLE_SCHEMA)
+    day, source = (F.regexp_extract("file", r"/(?:[^/=]+=)?([0-9]{4}-[0-9]{2}-[0-9]{2})/(?:[^/=]+=)?([^/]+)/[^/]+$", i) for i in (1, 2))
+    return raw.select("*", day.alias("query_date"), source.alias("path_source_id")).where("query_date <> ''").drop("file")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -85,11 +81,11 @@ def read_partition(spark: SparkSession, root: str, query_date: str, source_id: s
     present one."""
     path = f"{root.rstrip('/')}/{query_date}/{source_id}/{LISTING_FILE}"
     if path_exists(spark, path):
-        raw = spark.read.schema(ARTICLE_SCHEMA).option("multiLine", True).json(path)
+        raw = read_json_arrays(spark, path, ARTICLE_SCHEMA)
     elif strict:
         raise FileNotFoundError(f"no articles for {root}/{query_date}/{source_id}")
     else:
-        raw = spark.createDataFrame([], ARTICLE_SCHEMA)
+        raw = spark.createDataFrame([], ARTICLE_SCHEMA).withColumn("extra", F.lit(None).cast("map<string,string>"))
     return (flatten(raw).withColumn("source_id", F.lit(source_id)).withColumn("query_date", F.lit(query_date)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pressline import constants as C
 from pressline.operators.sampling import sample_exact
 from pressline.plans.stage import stage
+from pressline.sources.splits import read_quoted_csv
 
 TOPIC_CSV_SCHEMA = T.StructType([
     T.StructField("label", T.IntegerType()),
@@ -21,11 +22,9 @@ TOPIC_CSV_SCHEMA = T.StructType([
 def read_topic_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless ``label, headline, text`` CSV (quoted fields may span lines),
     with a ``doc_id`` for sampling and splitting: a hash of the row's content, the
-    same whatever the file layout (equal rows share it). A file is one task, as
-    quoted line breaks can't be split: give a large corpus as many files."""
-    df = (spark.read.schema(TOPIC_CSV_SCHEMA)
-          .option("header", False).option("multiLine", True).option("escape", '"')
-          .csv(path))
+    same whatever the file layout (equal rows share it). Files are read in byte
+    ranges (:mod:`pressline.sources.splits`), so one large file is many tasks."""
+    df = read_quoted_csv(spark, path, TOPIC_CSV_SCHEMA)
     return df.withColumn("doc_id", F.xxhash64("label", "headline", "text"))
 
 
