@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions import text as tx
-from pressline.functions.html import extract_pages
 from pressline.operators import metrics as M
 from pressline.operators.encode import TOKEN_PATTERN
+from pressline.operators.layout import extract_any_layout
 from pressline.operators.sampling import split_exact
 from pressline.plans.stage import stage
 from pressline.plans.training_set import sentiment_training_set, topic_training_set
@@ -208,7 +208,7 @@ def classify_pages(model: PipelineModel, pages: DataFrame, remove_paragraphs: in
     0 = keep all) -> one scoring pass -> top label, score and distribution.
     Pages that fail extraction yield a row with ``error`` and no label."""
     r = None if remove_paragraphs == 0 else remove_paragraphs
-    ex = extract_pages(pages.select("page_id", "html")).drop("html")
+    ex = extract_any_layout(pages.select("page_id", "html")).drop("html")
     # one pass: failed pages are scored on empty text and their outputs blanked
     marked = ex.withColumn("training_content", F.when(F.col("error"), F.lit(""))
                            .otherwise(tx.format_headline_body("content_text", "title", r)))

@@ -17,6 +17,8 @@ from pressline.plans.queries_text import PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WO
 from pressline.plans.training_set import (publisher_training_set, sentiment_training_set,
                                           topic_training_set)
 from pressline.plans.dashboards import source_date_view, story_by_key
+from pressline.plans.epochs import epoch_reports, train_epochs
+from pressline.plans.stage import scratch_path
 from pressline.sources.articles import ARTICLES_SQL, load_articles, load_table
 
 TOPIC_MAX_WORDS = 1000
@@ -135,10 +137,41 @@ def q_sentiment_classifier(spark, sf_dir):
     return _validation(_sentiment_model(spark, sf_dir))
 
 
+HISTORY_EPOCHS, HISTORY_BATCH = 3, 256
+
+
+def _passes(spark, sf_dir):
+    """The publisher classifier trained in passes (one run per session and state of its table)."""
+    def fit():
+        ts = publisher_training_set(load_articles(spark, sf_dir), PUB_MIN_WORDS, PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_SOURCES)
+        rows = split_exact(ts.select("doc_id", "training_content", F.col("source_id").alias("label")), C.DEFAULT_TRAIN_SHARE, "doc_id", side_col="phase")
+        return train_epochs(rows, scratch_path(spark, "passes"), HISTORY_EPOCHS, HISTORY_BATCH)
+    return _shared(spark, sf_dir, "passes", fit, ("documents",))
+
+
 @register("classifier_history")
 def q_classifier_history(spark, sf_dir):
-    """Per-phase history record: rows, loss, Acc@1 and the metric report."""
-    return _publisher_model(spark, sf_dir).history
+    """The record of a training in passes, a row per epoch and phase: rows, loss, Acc@1 and the metric report."""
+    res = _passes(spark, sf_dir)
+    return epoch_reports(res.history, len(res.model.labels)).drop("matrix", "seconds")
+
+
+@register("classifier_history_contract", f"""
+WITH ts AS ({PUBLISHER_SQL}),
+k AS (SELECT *, row_number() OVER (ORDER BY {S.sample_key('doc_id')}, doc_id) AS rk, count(*) OVER () AS total FROM ts),
+ph AS (SELECT CASE WHEN rk <= CAST(floor(CAST({C.DEFAULT_TRAIN_SHARE} AS DOUBLE) * total) AS BIGINT) THEN 'train' ELSE 'validation' END AS phase FROM k),
+n AS (SELECT phase, count(*) AS n FROM ph GROUP BY phase)
+SELECT CAST(e AS INTEGER) AS epoch, phase, CAST(n AS BIGINT) AS n,
+       CAST(CASE WHEN phase = 'train' THEN ceil(n / {HISTORY_BATCH}) ELSE 1 END AS INTEGER) AS batches, CAST(n AS BIGINT) AS in_matrix, true AS consistent
+FROM n CROSS JOIN range({HISTORY_EPOCHS}) t(e)
+""")
+def q_classifier_history_contract(spark, sf_dir):
+    """What holds of the records whatever the fit gives: rows and batches of each pass, a matrix that holds every row and agrees with Acc@1."""
+    h = _passes(spark, sf_dir).history
+    total = F.aggregate("matrix", F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    hits = F.aggregate(F.filter("matrix", lambda c: c["truth"] == c["guess"]), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    agrees = (F.abs(F.col("acc1") - 100.0 * hits / F.col("n")) < 1e-9) & (F.col("loss") > 0)
+    return h.select("epoch", "phase", "n", "batches", total.alias("in_matrix"), agrees.alias("consistent"))
 
 
 @register("page_classification")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressline import constants as C
 from pressline.functions import html as H
 from pressline.operators import ingest as ig
+from pressline.operators import layout as L
 from pressline.operators import profile as pr
 from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
@@ -97,6 +98,48 @@ def q_page_extraction(spark, sf_dir):
     return H.extract_pages(p).select("page_id", "url", "title", "content_text", "error")
 
 
+def _sql_is(pattern: str) -> str:
+    return f"regexp_matches(piece, {S.q(pattern)})"
+
+
+# Pages whose <article> became a plain container, so that only the block scores can find the body.
+LAYOUT_SQL = f"""
+WITH src AS (SELECT page_id, html AS h0, replace(replace(html, '<article>', '<div class="w"><div class="s">'), '</article>', '</div></div>') AS html FROM pages),
+pc AS (SELECT page_id, regexp_extract_all(regexp_replace(html, {S.q("(?is)" + L.DROP_LAYOUT.removeprefix("(?is)"))}, '', 'g'), {S.q(L.PIECE_RE)}) AS ps FROM src),
+b0 AS (SELECT page_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM pc),
+b AS (SELECT *, CASE WHEN {_sql_is(L.OPEN_RE)} THEN 1 WHEN {_sql_is(L.CLOSE_RE)} THEN -1 ELSE 0 END AS step,
+             CASE WHEN {_sql_is(L.LINK_OPEN_RE)} THEN 1 WHEN {_sql_is(L.LINK_CLOSE_RE)} THEN -1 ELSE 0 END AS link,
+             piece NOT LIKE '<%' AS is_text, {_sql_is(L.BREAK_RE)} AS is_break FROM b0),
+d AS (SELECT *, sum(step) OVER w AS depth, sum(CAST(is_break OR step <> 0 AS INTEGER)) OVER w AS paragraph, sum(link) OVER w > 0 AS linked
+      FROM b WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+roles AS (SELECT page_id, pos, piece, step, paragraph, linked, depth AS level, CASE WHEN step = 1 THEN pos END AS opened FROM d WHERE step = 1 OR is_text
+          UNION ALL SELECT page_id, pos, piece, step, paragraph, linked, depth - 1, NULL FROM d WHERE step = 1),
+owned AS (SELECT *, coalesce(max(opened) OVER (PARTITION BY page_id, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS owner FROM roles),
+parts AS (SELECT * FROM owned WHERE opened IS NULL),
+p0 AS (SELECT page_id, owner, paragraph, string_agg(piece, '' ORDER BY pos) AS raw, sum(CASE WHEN linked THEN length(piece) ELSE 0 END) AS in_links,
+              sum(length(piece)) AS chars, min(pos) AS pos FROM parts WHERE step = 0 GROUP BY ALL),
+p1 AS (SELECT *, {_sql_clean('raw')} AS text FROM p0),
+p AS (SELECT *, CASE WHEN length(text) >= {L.LEAST_CHARS} THEN 1 + length(text) - length(replace(text, ',', '')) + least(length(text) // 100, {L.MOST_HUNDREDS}) ELSE 0 END AS score
+      FROM p1 WHERE text <> ''),
+own AS (SELECT page_id, owner, sum(score) AS own, sum(in_links) AS in_links, sum(chars) AS chars FROM p GROUP BY ALL),
+par AS (SELECT own.*, coalesce(x.owner, -2) AS parent FROM own LEFT JOIN parts x ON x.step = 1 AND x.page_id = own.page_id AND x.pos = own.owner),
+sh AS (SELECT page_id, owner AS node, 2 * own AS s, in_links, chars FROM par UNION ALL SELECT page_id, parent, own, in_links, chars FROM par WHERE parent > -2),
+nodes AS (SELECT page_id, node, sum(s)::DOUBLE * (sum(chars) - sum(in_links))::DOUBLE / sum(chars)::DOUBLE AS v FROM sh GROUP BY ALL),
+best AS (SELECT page_id, node FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY v DESC, node) AS k FROM nodes WHERE v > 0) WHERE k = 1),
+body AS (SELECT p.page_id, string_agg(p.text, chr(10) || chr(10) ORDER BY p.pos) AS body
+         FROM p JOIN par USING (page_id, owner) JOIN best USING (page_id) WHERE p.owner = best.node OR (par.parent = best.node AND p.score > 0) GROUP BY ALL)
+SELECT src.page_id, body AS content_text, body IS NULL AS error FROM src LEFT JOIN body USING (page_id)
+"""
+
+
+@register("page_layout_extraction", LAYOUT_SQL)
+def q_page_layout_extraction(spark, sf_dir):
+    """Bodies of pages without an <article> element, found by block scores."""
+    p = load_table(spark, sf_dir, "pages").select("page_id", "html")
+    divs = p.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="w"><div class="s">')), F.lit("</article>"), F.lit("</div></div>")))
+    return L.extract_any_layout(divs).select("page_id", "content_text", "error")
+
+
 def page_store(spark, sf_dir):
     """Stored raw pages keyed by the article url they were fetched for."""
     return load_table(spark, sf_dir, "pages").select(
@@ -104,7 +147,7 @@ def page_store(spark, sf_dir):
 
 
 def extract_stored(pages):
-    return H.extract_pages(pages).select("url", "content_text", "error")
+    return L.extract_any_layout(pages).select("url", "content_text", "error")
 
 
 SCRAPE_SQL = f"""
