@@ -14,6 +14,8 @@ from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
 from pressline.plans.queries_profile import GRID_SQL, _cells, _grid
 from pressline.plans.stage import scratch_path
+from pressline.streaming.release import start_release_stream
+from pressline.streaming.scrape import start_scrape_stream
 from pressline.sources.articles import (ARTICLES_SQL, URL_PREFIX, load_articles, load_table, read_partitioned,
                                         write_partitioned)
 
@@ -243,3 +245,40 @@ def q_ingest_run(spark, sf_dir):
     write_partitioned(ig.ingest_listings(a, _ingest_log(spark, sf_dir)), path)
     return read_partitioned(spark, path).select("doc_id", "source_id", "query_date", "title", "url",
                                                 F.sha2("content", 256).alias("content_sha256"), "scraped")
+
+
+@register("scrape_stream_run", SCRAPE_SQL + """
+SELECT doc_id, source_id, query_date, scraped, error, sha256(scraped_content) AS body_sha256 FROM upd
+""")
+def q_scrape_stream_run(spark, sf_dir):
+    """The scrape pass as a stream: listings and pages arrive as files and meet by url in the stream's state."""
+    landing, pages, table, progress = (scratch_path(spark, n) for n in ("stream-listings", "stream-pages", "stream-table", "stream-progress"))
+    rows = load_articles(spark, sf_dir).select("doc_id", "url", "scraped", "scraped_content", "error", "query_date", "source_id")
+    rows.repartition(2).write.parquet(landing)
+    store = page_store(spark, sf_dir)
+    store.repartition(2).write.parquet(pages)
+    stream = [spark.readStream.schema(f.schema).parquet(p) for f, p in ((rows, landing), (store, pages))]
+    start_scrape_stream(*stream, table, progress, extract=lambda p: H.extract_pages(p)).awaitTermination()
+    return read_partitioned(spark, table).select("doc_id", "source_id", "query_date", "scraped", "error", F.sha2("scraped_content", 256).alias("body_sha256"))
+
+
+@register("ingest_stream_run", INGEST_LOG_SQL + f"""
+, days AS (SELECT strftime(d, '%Y-%m-%d') AS query_date FROM range(DATE '{C.FIRST_QUERY_DATE}', DATE '{C.LAST_QUERY_DATE}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)),
+grid AS (SELECT source_id, query_date FROM (SELECT DISTINCT source_id FROM articles), days),
+free AS (SELECT g.source_id, g.query_date, bool_and(coalesce(NOT l.failed, false)) OVER (PARTITION BY g.source_id ORDER BY g.query_date) AS ok
+         FROM grid g LEFT JOIN log l ON l.source_id = g.source_id AND l.query_date = g.query_date),
+ranked AS (SELECT a.*, row_number() OVER (PARTITION BY a.source_id, a.query_date ORDER BY published_at DESC, url) AS rn
+           FROM articles a JOIN free f ON f.ok AND f.source_id = a.source_id AND f.query_date = a.query_date)
+SELECT source_id, query_date, title, url, sha256(content) AS content_sha256, scraped FROM (SELECT * REPLACE (false AS scraped) FROM ranked WHERE rn <= {C.LISTING_PAGE_SIZE})
+""")
+def q_ingest_stream_run(spark, sf_dir):
+    """The ingest as a stream: responses arrive as files, and dates wait until all earlier ones of their publisher succeeded."""
+    landing, table, progress = (scratch_path(spark, n) for n in ("stream-landing", "stream-table", "stream-progress"))
+    a = load_articles(spark, sf_dir)
+    listing = F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.col("source_name").alias("name")).alias("source"), "title", "url",
+                       F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), "content")
+    top = ig.newest_per_cell(a)                      # a response holds one page of listings
+    answers = top.groupBy(*ig.CELL).agg(F.collect_list(listing).alias("articles")).join(_ingest_log(spark, sf_dir), ig.CELL)
+    answers.select("query_date", "source_id", F.when(F.col("failed"), "failed").otherwise("ok").alias("status"), "articles").repartition(4).write.json(landing)
+    start_release_stream(spark, landing, table, progress, sources=None, files_per_batch=2, multi_line=False).awaitTermination()
+    return read_partitioned(spark, table).select("source_id", "query_date", "title", "url", F.sha2("content", 256).alias("content_sha256"), "scraped")

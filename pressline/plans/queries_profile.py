@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from pressline import constants as C
 from pressline.functions import text as tx
+from pressline.operators import kept as K
 from pressline.operators import profile as pr
 from pressline.plans import sql_text as S
 from pressline.plans.catalog import register
-from pressline.plans.stage import stage
+from pressline.plans.stage import scratch_path, stage
 from pressline.plans.queries_text import (PUB_MAX_WORDS, PUB_MIN_DOCS, PUB_MIN_WORDS, PUB_SOURCES,
                                           PUBLISHER_SQL, SEARCH_CI)
 from pressline.plans.training_set import publisher_training_set
-from pressline.sources.articles import ARTICLES_SQL, load_articles
+from pressline.sources.articles import ARTICLES_SQL, drop_cells, load_articles, read_partitioned, write_partitioned
 
 # A publisher of the dimension with no articles at all (tests the absent-cell rule).
 ABSENT_SOURCE = "src99"
@@ -146,3 +147,32 @@ def q_story_lookup(spark, sf_dir):
     """Source/date lookup for every (publisher, date) selection at once."""
     from pressline.plans.dashboards import story_rows
     return story_rows(load_articles(spark, sf_dir), scraped_only=True, pattern=SEARCH_CI)
+
+
+KEPT_TURN = "2020-05-10"          # cells from this date on are rewritten between two refreshes
+KEPT_GONE = "2020-05-30"          # and emptied from this one on
+
+KEPT_SQL = GRID_SQL + f"""
+, final AS (SELECT * REPLACE (CASE WHEN query_date >= '{KEPT_TURN}' THEN doc_id % 2 = 0 ELSE scraped END AS scraped) FROM articles WHERE query_date < '{KEPT_GONE}'),
+prof AS (SELECT source_id, query_date, count(*) AS n_articles, count(*) FILTER (WHERE coalesce(scraped, false)) AS n_scraped,
+                count(*) FILTER (WHERE coalesce(error, false)) AS n_errors FROM final GROUP BY ALL)
+"""
+
+
+@register("kept_profile", KEPT_SQL + """
+SELECT g.source_id, g.query_date, CAST(coalesce(p.n_articles, 0) AS BIGINT) AS n_articles, CAST(coalesce(p.n_scraped, 0) AS BIGINT) AS n_scraped,
+       CAST(coalesce(p.n_errors, 0) AS BIGINT) AS n_errors, p.n_articles IS NOT NULL AS present
+FROM grid g LEFT JOIN prof p ON g.source_id = p.source_id AND g.query_date = p.query_date
+""")
+def q_kept_profile(spark, sf_dir):
+    """The collection profile from kept counts: a table, a refresh, rewritten and emptied cells, and a refresh of those."""
+    table, kept = scratch_path(spark, "kept-table"), scratch_path(spark, "kept-counts")
+    a = load_articles(spark, sf_dir).select("doc_id", "title", "url", "published_at", "scraped", "error", "query_date", "source_id")
+    write_partitioned(a, table)
+    schema = read_partitioned(spark, table).schema
+    K.refresh(spark, table, kept, schema)
+    grid = stage(_grid(K.kept_profile(K.kept_counts(spark, kept))), "kept-grid")
+    write_partitioned(a.where(F.col("query_date").between(KEPT_TURN, KEPT_GONE)).withColumn("scraped", F.col("doc_id") % 2 == 0), table)
+    drop_cells(grid.where(F.col("query_date") >= KEPT_GONE), table)
+    K.refresh(spark, table, kept, schema)
+    return pr.fill_grid(grid, K.kept_profile(K.kept_counts(spark, kept)))

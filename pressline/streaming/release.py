@@ -72,9 +72,9 @@ def released(responses: DataFrame, dates: Sequence[str], sources: Sequence[str]
 def start_release_stream(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_location: str,
                          sources: Sequence[str] | None = tuple(C.CORE_SOURCES), first: str = C.FIRST_QUERY_DATE, last: str = C.LAST_QUERY_DATE,
                          limit: int | None = C.LISTING_PAGE_SIZE, preserve_status: bool = False, files_per_batch: int | None = None,
-                         available_now: bool = True) -> StreamingQuery:
+                         multi_line: bool = True, available_now: bool = True) -> StreamingQuery:
     dates = spark.range(1).select(date_sequence(first, last).alias("d")).first().d        # the run's dates
-    reader = spark.readStream.schema(LANDING_SCHEMA).option("multiLine", True)
+    reader = spark.readStream.schema(LANDING_SCHEMA).option("multiLine", multi_line)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     articles = LANDING_SCHEMA["articles"].dataType.simpleString()
