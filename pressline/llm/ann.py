@@ -13,8 +13,8 @@ blocks of at most about ``QUERY_ROWS`` queries that visit it, so no task holds a
 best ``k`` per query, and a window over those picks the final ones. The tests compare it with brute force.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do rows without
-id or of another length than the most common one; equal scores go to the smaller id; repeated vectors are each candidates; a repeated id is one
-candidate per distinct vector; with fewer candidates than k all are returned; an empty table gives an empty result; further
+id or of another length than the most common one; equal scores go to the smaller id; repeated rows are each candidates, and each
+query row has a list of its own; with fewer candidates than k all are returned; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -46,7 +46,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     ok = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")) \
         .where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)) \
         .where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0))
-    return ok.distinct()
+    return ok
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -68,7 +68,7 @@ def level(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, centroids: int, train_rows: int, longest: float) -> tuple[np.ndarray, np.ndarray] | None:
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("v").toPandas()["v"]
+    rows = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(train_rows).select("v").toPandas()["v"]
     if not len(rows):
         return None
     x = np.array(rows.tolist())
@@ -82,7 +82,7 @@ def _rows(column) -> np.ndarray:
 
 
 def cells(vectors: DataFrame, books, longest: float) -> DataFrame:
-    """id, i, j (nearest centroid of either half), a, b (distances of the vector's own parts to those of the two) and v as binary."""
+    """row (a number of its own), id, i, j (nearest centroid of either half), a, b (distances of the vector's own parts to those of the two) and v as binary."""
 
     def run(batch):
         x = level(_rows(batch["v"]), longest)
@@ -91,7 +91,7 @@ def cells(vectors: DataFrame, books, longest: float) -> DataFrame:
         a, b = np.linalg.norm(x[:, :half] - books[0][i], axis=1), np.linalg.norm((x[:, half:] - books[1][j])[:, :-1], axis=1)
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(i), pa.array(j), pa.array(a), pa.array(b), batch["v"]], ["id", "i", "j", "a", "b", "v"])
 
-    return map_batches(_packed(vectors), run, "id long, i int, j int, a double, b double, v binary", text="v")
+    return map_batches(_packed(vectors), run, "id long, i int, j int, a double, b double, v binary", text="v").withColumn("row", F.monotonically_increasing_id())
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
@@ -140,12 +140,10 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, allowed: np.ndarray, k: int):
-    """Per query its k best allowed rows, (query, row, score): a matrix product picks all that can be among
-    them, with a margin above its rounding, and the exact sums decide."""
-    order = np.argsort(row_ids, kind="stable")
-    rows, row_ids, allowed = rows[order], row_ids[order], allowed[:, order]
-    rough = np.where(allowed & (ids[:, None] != row_ids[None]), queries @ rows.T, -np.inf)
+def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, numbers: np.ndarray, allowed: np.ndarray, k: int):
+    """Per query its k best allowed rows but its own, (query, row, score): a matrix product picks all that can be among
+    them, with a margin above its rounding, and the exact sums decide. ``own`` and ``numbers`` are row numbers."""
+    rough = np.where(allowed & (own[:, None] != numbers[None]), queries @ rows.T, -np.inf)
     if rough.shape[1] > k:
         floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1:k]
         floor = floor - 1e-9 * (1 + np.abs(floor))
@@ -153,11 +151,11 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
         rough = np.where(rough >= floor, rough, -np.inf)
     q, r = np.nonzero(rough > -np.inf)
     score = inner(queries[q], rows[r])
-    order = np.lexsort((row_ids[r], -score, q))
+    order = np.lexsort((numbers[r], row_ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     top = rank < k
-    return ids[q[top]], row_ids[r[top]], score[top]
+    return q[top], r[top], score[top]
 
 
 def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = K, centroids: int = CENTROIDS,
@@ -185,7 +183,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     for (i, _), n in counts.items():
         lists[i] = lists.get(i, 0) + n
     parts = {i: -(-n // PART_ROWS) for i, n in lists.items()}
-    queries = index.where(is_query(F.col("id"))).select("id", "v")
+    queries = index.where(is_query(F.col("id"))).select("row", "id", "v")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def first(batch):
@@ -195,7 +193,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
             for i, js in traverse(np.r_[np.frombuffer(raw, np.float64), 0.0], books, counts, want).items():
                 found[i, js] = True
             seen.append(np.packbits(found).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(seen, pa.binary()), batch["v"]], ["id", "seen", "v"])
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(seen, pa.binary()), batch["v"]], ["row", "id", "seen", "v"])
 
     def others(batch):
         left = []
@@ -204,49 +202,52 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
             # equal scores are wanted too; the margin lies above the rounding of the bound and of the score
             reach = full if floor is None else full & (top >= floor - 1e-9 * (1 + abs(floor) + np.abs(top) + length.longest))
             left.append(np.packbits(reach & ~np.unpackbits(np.frombuffer(seen, np.uint8), count=full.size).reshape(full.shape).astype(bool)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(left, pa.binary()), batch["v"]], ["id", "seen", "v"])
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(left, pa.binary()), batch["v"]], ["row", "id", "seen", "v"])
 
     def visit(batch):
         out = []
-        for q, raw, seen in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), batch["seen"].to_pylist(), strict=True):
+        for row, q, raw, seen in zip(batch["row"].to_pylist(), batch["id"].to_pylist(), batch["v"].to_pylist(), batch["seen"].to_pylist(), strict=True):
             open_ = np.unpackbits(np.frombuffer(seen, np.uint8), count=full.size).reshape(full.shape)
             for i in np.flatnonzero(open_.any(axis=1)).tolist():
                 js = np.flatnonzero(open_[i]).astype(np.int32).tobytes()
-                out += [(i, p, q, js, raw) for p in range(parts[i])]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                                         ["i", "part", "id", "js", "v"])
+                out += [(i, p, row, q, js, raw) for p in range(parts[i])]
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                         ["i", "part", "row", "id", "js", "v"])
 
     part_of = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("i"))
-    laid = index.select("id", "i", "j", "v", F.pmod(F.xxhash64("id"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    laid = index.select("row", "id", "i", "j", "v", F.pmod(F.xxhash64("row"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    names = ["query_row", "query_id", "vec_row", "vec_id", "score"]
 
     def meet(left, right):
         q, x = _rows(left["v"]), _rows(right["v"])
         if not len(q) or not len(x):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({c: pa.array([], t) for c, t in zip(names, (*[pa.int64()] * 4, pa.float64()), strict=True)})
         open_ = np.zeros((len(q), len(books[1])), bool)
         for n, js in enumerate(left["js"].to_pylist()):
             open_[n, np.frombuffer(js, np.int32)] = True
-        a, b, s = best(q, left["id"].to_numpy(), x, right["id"].to_numpy(), open_[:, right["j"].to_numpy()], k)
-        return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "score": pa.array(s)})
+        a, b, s = best(q, left["row"].to_numpy(), x, right["id"].to_numpy(), right["row"].to_numpy(), open_[:, right["j"].to_numpy()], k)
+        found = [left["row"].to_numpy()[a], left["id"].to_numpy()[a], right["row"].to_numpy()[b], right["id"].to_numpy()[b], s]
+        return pa.table({c: pa.array(x) for c, x in zip(names, found, strict=True)})
 
     def reranked(visited):
-        """query_id, vec_id, score: the best of the cells that ``visited`` (id, seen, v) names."""
-        visits = map_batches(visited, visit, "i int, part int, id long, js binary, v binary", text="v") \
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        """``names``: the best of the cells that ``visited`` (row, id, seen, v) names."""
+        visits = map_batches(visited, visit, "i int, part int, row long, id long, js binary, v binary", text="v") \
+            .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
         return visits.groupBy("i", "part", "block").cogroup(laid.groupBy("i", "part", "block")) \
-            .applyInArrow(meet, "query_id long, vec_id long, score double")
+            .applyInArrow(meet, "query_row long, query_id long, vec_row long, vec_id long, score double")
 
     def ranked(found):
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
+        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("rank", *names)
 
-    near = stage(map_batches(queries, first, "id long, seen binary, v binary", text="v"), "ann-first")
+    near = stage(map_batches(queries, first, "row long, id long, seen binary, v binary", text="v"), "ann-first")
     early = stage(ranked(reranked(near)), "ann-early")
-    floors = early.where(F.col("rank") == k).select(F.col("query_id").alias("floor_id"), F.col("score").alias("floor"))
-    asked = near.join(floors, F.col("id") == F.col("floor_id"), "left").select("id", "seen", "floor", "v")
-    far = stage(map_batches(asked, others, "id long, seen binary, v binary", text="v"), "ann-others")
-    return ranked(early.select("query_id", "vec_id", "score").unionByName(reranked(far)))
+    floors = early.where(F.col("rank") == k).select(F.col("query_row").alias("floor_row"), F.col("score").alias("floor"))
+    asked = near.join(floors, F.col("row") == F.col("floor_row"), "left").select("row", "id", "seen", "floor", "v")
+    far = stage(map_batches(asked, others, "row long, id long, seen binary, v binary", text="v"), "ann-others")
+    return ranked(early.select(*names).unionByName(reranked(far))).select("query_id", "rank", "vec_id", "score")
 
 
 @register("op8_inverted_multi_index")

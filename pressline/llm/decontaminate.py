@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -56,8 +57,8 @@ def item_patterns(items: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary()), pa.array(counts, pa.int32())],
                                          ["item_id", "pattern", "n"])
 
-    named = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"),
-                                                             F.col("text").cast("binary").alias("text"))
+    named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    # the set leaves out null: a window of items without id only has no name to report, but counts as hit
     grouped = stage(map_batches(named, windows, "item_id string, pattern binary, n int").groupBy("pattern", "n")
                     .agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "decontaminate-windows")
     shard, held = [], 0
@@ -136,12 +137,13 @@ def scan(docs: DataFrame, patterns, size: int = WINDOW) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, offsets."""
-    shards = list(item_patterns(items, size, shard_bytes)) or [[]]
-    if len(shards) == 1:
-        hit = scan(docs, shards[0], size)
-    else:  # the shards' spans meet per row, which a row number made before the scans identifies
+    shards = item_patterns(items, size, shard_bytes)
+    first, second = next(shards, []), next(shards, None)
+    if second is None:
+        hit = scan(docs, first, size)
+    else:  # one shard at a time is on the driver; the shards' spans meet per row, which a row number made before the scans identifies
         rows = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-        each = [scan(rows.select(F.col("row").alias("doc_id"), "text"), s, size) for s in shards]
+        each = [stage(scan(rows.select(F.col("row").alias("doc_id"), "text"), s, size), "decontaminate-hits") for s in chain((first, second), shards)]
         every = each[0]
         for more in each[1:]:
             every = every.unionByName(more)
@@ -155,7 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, shard_b
                                                   F.greatest(acc["end"], s[1]).alias("end")), lambda acc: acc["n"])
     return hit.select("doc_id", "n_words", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
                       F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("items_sha256"),
-                      (F.size("ids") > 0).alias("contaminated"), "offsets")
+                      (covered > 0).alias("contaminated"), "offsets")
 
 
 @register("op2_decontaminate")
@@ -167,9 +169,8 @@ def brute_force(docs, items, size: int = WINDOW):
     """Word-by-word reference for small fixtures: rows of (doc_id, n_words, n_hit, n_items, sha256, contaminated)."""
     wins = {}
     for i, raw in items:
-        if i is not None:
-            for w in windows_of(words_of(raw), size):
-                wins.setdefault(tuple(w), set()).add(str(i))
+        for w in windows_of(words_of(raw), size):
+            wins.setdefault(tuple(w), set()).update([str(i)] if i is not None else [])
     out = []
     for i, raw in docs:
         words, hit, ids = words_of(raw), set(), set()

@@ -30,8 +30,9 @@ from pressline.llm.registry import register
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),      # from the sign on; see email_spans
+    # a match takes whole runs of digits, so it begins where one does: the look-behind keeps long runs linear
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -53,11 +54,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+
+
+def email_spans(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``: from each sign back over the run of
+    characters before it, so every run is read once."""
+    found, floor, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[floor:at]
+        start = floor + len(before.rstrip(LOCAL))
+        m = PATTERNS["email"].match(text, at) if start < at else None
+        if m:
+            found.append(("email", start, m.end()))
+        floor = m.end() if m else at + 1
+        at = text.find("@", floor)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of start, then of the kinds."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in PATTERNS["email"].finditer(text)]
+        found += email_spans(text)
     if "." in text:
         for m in PATTERNS["ip"].finditer(text):
             parts = [p.lstrip("0") for p in m[0].split(".")]
@@ -244,10 +263,12 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
     base = base_spans(text) if HINT.search(text) else []
     if not field.weights:
         return base, base
-    added = []
+    added, ends = [], np.maximum.accumulate(np.array([e for _, _, e in base] or [0]))
+    starts = np.array([s for _, s, _ in base])
     for tokens in regions(text):
         for kind, a, b, margin in field.decode(text, tokens):
-            if margin >= MARGIN and b > a and not any(a < e and s < b for _, s, e in base):
+            before = int(np.searchsorted(starts, b))              # base spans that begin before this one ends
+            if margin >= MARGIN and b > a and not (before and ends[before - 1] > a):
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -257,20 +278,20 @@ def joined(spans) -> str:
 
 
 def scan_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of every kind)."""
     field = train(docs) if field is None else field
     shared = docs.sparkSession.sparkContext.broadcast(field)     # weights of at most the sample's features
-    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
     def run(batch):
         model, rows = shared.value, []
         for i, raw in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             base, every = all_spans(raw.decode() if raw else "", model)
-            rows.append((i, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
+            rows.append((i, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_batches(texts, run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_batches(texts, run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")
 
 
 @register("op4_pii")

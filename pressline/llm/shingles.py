@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import chain
+
 import numpy as np
 import xxhash
 
 #: Fixed odd multipliers of the hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes hashed in one pass; a longer text takes several.
-_PASS = 4 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -26,45 +22,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, at least n + 1 of them."""
-    held = _TABLES.get(int(base))
-    if held is None or len(held) <= n:
-        held = _TABLES[int(base)] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), base)], dtype=np.uint64)
-    return held
-
-
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of a buffer that begins and ends with white space."""
-    space = _SPACE[buf]
-    edges = np.diff(space.view(np.int8))
-    starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _PASS, side="right")))
-        base, stop = starts[a], ends[b - 1]
-        power, inverse = _powers(_BASE, stop - base), _powers(_INVERSE, stop - base)
-        sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum((_LOWER[buf[base:stop]].astype(np.uint64) + np.uint64(1)) * power[:stop - base], out=sums[1:])
-        out[a:b] = (sums[ends[a:b] - base] - sums[starts[a:b] - base]) * inverse[starts[a:b] - base]
-        a = b
-    return starts, _mixed(out)
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """The xxh3 hash of each of ``n`` words, taken over all its bytes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
 
 def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its shingles of ``words`` words (lower-cased A-Z, parted by
     ASCII white space); with fewer words the whole sequence is the only one; without words there is none."""
-    raws = [t or b"" for t in texts]
-    buf = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
-    edges = np.cumsum([1, *(len(r) + 1 for r in raws)])
-    starts, hashes = word_hashes(buf)
-    cuts = np.searchsorted(starts, edges)
-    salt = _powers(_BASE, words)[1:words + 1] ^ np.uint64(0xA5A5A5A5)
+    split = [(t or b"").lower().split() for t in texts]
+    cuts = np.cumsum([0, *map(len, split)])
+    hashes = word_hashes(chain.from_iterable(split), int(cuts[-1]))
+    salt = np.cumprod(np.full(words, _BASE), dtype=np.uint64) ^ np.uint64(0xA5A5A5A5)
     salt = salt | np.uint64(1)
     n = max(0, len(hashes) - words + 1)
     grams = np.zeros(n, np.uint64)

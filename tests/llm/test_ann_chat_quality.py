@@ -10,11 +10,13 @@ NEAREST = "query_id", "rank", "vec_id", "score"
 
 
 def brute_nearest(rows, k, is_query):
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    """Every usable row is a candidate for every query row but itself."""
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
-    for q in (i for i in good if is_query(i)):
-        scored = sorted((-sum(a * b for a, b in zip(good[q].tolist(), x.tolist(), strict=True)), i) for i, x in good.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for q, (qi, qv) in enumerate(good):
+        if is_query(qi):
+            scored = sorted((-sum(a * b for a, b in zip(qv.tolist(), x.tolist(), strict=True)), i) for c, (i, x) in enumerate(good) if c != q)
+            out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
