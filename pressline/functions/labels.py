@@ -34,6 +34,32 @@ def one_hot(label: ColumnOrName, order: Column, sep: str = "|") -> Column:
     return F.transform(order, lambda x: F.array_contains(parts, x).cast("int"))
 
 
+def label_sets(df: DataFrame, label_col: str, order: DataFrame, sep: str = "|") -> DataFrame:
+    """``df`` with ``label_set``: the sorted indices of the label's parts (a sparse multi-hot vector; empty for none).
+
+    Only distinct label texts are taken apart: their parts meet ``order`` (label_idx, label) by a join, and the
+    texts' index sets come back to the rows by another. Neither a row nor a task holds all labels."""
+    from pressline.plans.stage import checked_broadcast, stage
+    # one row per label text, however many rows carry it
+    texts = stage(df.select(F.col(label_col).alias("_text")).where(F.col(label_col).isNotNull()).distinct(), "label-texts")
+    parts = texts.select("_text", F.explode(F.array_distinct(label_parts("_text", sep))).alias("label"))
+    sets = parts.join(order, "label").groupBy("_text").agg(F.sort_array(F.collect_list("label_idx")).alias("_set"))
+    joined = df.join(checked_broadcast(sets), F.col(label_col) == F.col("_text"), "left").drop("_text")
+    return joined.withColumn("label_set", F.coalesce("_set", F.array().cast("array<int>"))).drop("_set")
+
+
+def dense_labels(label_set: ColumnOrName, n_labels: int) -> Column:
+    """The multi-hot vector of a label set, for a known number of labels."""
+    every = F.sequence(F.lit(0), F.lit(n_labels - 1)) if n_labels else F.array().cast("array<int>")
+    return F.transform(every, lambda i: F.array_contains(_col(label_set), i).cast("int"))
+
+
+def set_index(label_set: ColumnOrName) -> Column:
+    """Index of a label set: its first, 0 for none (as the argmax of its vector)."""
+    s = _col(label_set)
+    return F.when(F.size(s) > 0, F.array_min(s)).otherwise(F.lit(0)).cast("int")
+
+
 def label_index(one_hot_col: ColumnOrName) -> Column:
     """argmax of a one-hot vector: first 1, all-zero -> 0."""
     pos = F.array_position(_col(one_hot_col), 1)

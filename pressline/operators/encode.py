@@ -228,21 +228,20 @@ def encode(df: DataFrame, text_col: str | None, vocab: DataFrame,
                .drop("_ids"))
 
 
+def encode_label_sets(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """Sparse label vectors: ``df`` with ``label_set`` (sorted indices) and ``label_idx``, and the label order as
+    ``(label_idx, label)``. A row's size follows its own labels, whatever the number of labels."""
+    order = stage(lb.label_order(df, label_col, sep), "label-order")
+    sets = lb.label_sets(df, label_col, order, sep)
+    return sets.withColumn("label_idx", lb.set_index("label_set")), order
+
+
 def encode_labels(df: DataFrame, label_col: str, sep: str = "|") -> tuple[DataFrame, DataFrame]:
     """One-hot label vectors in sorted label order; returns (frame, label order
-    as ``(label_idx, label)``).
-
-    The order is one array of names (every one-hot vector is as long, so it fits
-    where one row fits); it reaches the rows as a scalar subquery, whatever its
-    length.
-    """
-    order = stage(lb.label_order(df, label_col, sep), "label-order")
-    names = order.agg(F.transform(F.sort_array(F.collect_list(F.struct("label_idx", "label"))), lambda r: r["label"]))
-    # a subquery may not stand inside a higher-order function: it gets a column of its own first
-    out = (df.withColumn("_names", F.coalesce(names.scalar(), F.array().cast("array<string>")))
-             .withColumn("one_hot", lb.one_hot(label_col, F.col("_names"), sep))
-             .withColumn("label_idx", lb.label_index("one_hot")).drop("_names"))
-    return out, order
+    as ``(label_idx, label)``). Each row holds an entry per label; with many labels use :func:`encode_label_sets`."""
+    out, order = encode_label_sets(df, label_col, sep)
+    one_hot = lb.dense_labels("label_set", order.count())
+    return out.withColumn("one_hot", one_hot).select(*df.columns, "one_hot", "label_idx"), order
 
 
 # ---------------------------------------------------------------------------

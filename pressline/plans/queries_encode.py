@@ -106,6 +106,17 @@ def q_label_one_hot(spark, sf_dir):
     return out.select("doc_id", F.array_join("one_hot", "").alias("one_hot"), "label_idx")
 
 
+@register("label_sparse", LABELS_SQL + """
+, sets AS (SELECT doc_id, list_sort(list_filter(list_transform(range(len(names)), lambda i: CASE WHEN list_contains(parts, names[i + 1]) THEN i END), lambda i: i IS NOT NULL)) AS s
+           FROM parts, ord)
+SELECT doc_id, array_to_string(s, ',') AS label_set, CAST(coalesce(s[1], 0) AS INTEGER) AS label_idx FROM sets
+""")
+def q_label_sparse(spark, sf_dir):
+    """Sparse label vectors: the sorted indices of each row's labels."""
+    out, _ = en.encode_label_sets(_multi_label(spark, sf_dir), "label")
+    return out.select("doc_id", F.array_join("label_set", ",").alias("label_set"), "label_idx")
+
+
 def _markup_corpus(spark, sf_dir):
     """Marked-up text of every article (the excerpt where no body was scraped) and its label text."""
     a = load_articles(spark, sf_dir)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressline.plans import sql_text as S
+from pressline.operators.title_index import build_title_index, search_titles
 from pressline.plans.catalog import register
+from pressline.plans.stage import scratch_path, stage
 from pressline.plans.training_set import publisher_training_set
 from pressline.sources.articles import ARTICLES_SQL, load_articles
 
@@ -182,3 +184,18 @@ def q_title_search_cs(spark, sf_dir):
     a = load_articles(spark, sf_dir)
     return a.where(tx.title_matches("title", SEARCH_CS, case_sensitive=True)) \
             .select("doc_id", "source_id", "query_date", "title")
+
+
+SEARCH_INDEXED = "(and|the) ?(th|of)|tion[.,]"
+
+
+@register("title_search_indexed", _with_articles(f"""
+SELECT doc_id, source_id, query_date, title FROM articles
+WHERE coalesce(regexp_matches(title, {S.q(SEARCH_INDEXED)}, 'i'), false)
+"""))
+def q_title_search_indexed(spark, sf_dir):
+    """Title search over a trigram index of the articles: candidates by required trigrams, then the expression."""
+    a = stage(load_articles(spark, sf_dir).select("doc_id", "source_id", "query_date", "title"), "titles")
+    path = scratch_path(spark, "title-index")
+    build_title_index(a, path)
+    return search_titles(a, path, SEARCH_INDEXED)
