@@ -324,10 +324,16 @@ def scan_texts(texts: list[bytes | None]) -> list[list[tuple[str, int, int]]]:
             out.append([])
             continue
         found = scan.spans(raw, where[a:b] - edges[i], what[a:b])
-        base = [s for s in found if s[0] < len(BASE)]
-        kept = base + [s for s in found if s[0] >= len(BASE) and not any(s[1] < e and b0 < s[2] for _, b0, e in base)]
+        base = sorted((s for s in found if s[0] < len(BASE)), key=lambda s: s[1])
+        begins, ends = np.array([s for _, s, _ in base]), np.maximum.accumulate(np.array([e for _, _, e in base] or [0]))
+        kept = list(base)
+        for span in (s for s in found if s[0] >= len(BASE)):
+            before = int(np.searchsorted(begins, span[2]))              # base spans that begin before this one ends
+            if not before or ends[before - 1] <= span[1]:
+                kept.append(span)
         kept.sort(key=lambda s: (s[1], s[0]))
-        out.append([(scan.rules[k].kind, len(raw[:s].decode()), len(raw[:e].decode())) for k, s, e in kept])
+        points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)] if kept else ()        # bytes to code points
+        out.append([(scan.rules[k].kind, int(points[s]), int(points[e])) for k, s, e in kept])
     return out
 
 
