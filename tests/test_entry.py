@@ -55,7 +55,8 @@ def duck():
 FAST = ["publisher_training_set", "decompile_markup", "paragraph_removal_preview", "source_date_profile",
         "classification_report", "binary_report", "label_one_hot", "page_extraction", "scrape_status_update",
         "train_validation_split", "token_blocks", "running_meters", "encode_documents", "vocabulary",
-        "topk_labels", "displayed_scores", "scrape_run", "ingest_run", "daily_source_counts"]
+        "topk_labels", "displayed_scores", "scrape_run", "ingest_run", "daily_source_counts", "label_sparse",
+        "page_layout_extraction", "title_search_indexed", "topic_csv_corpus", "listing_arrays", "manifest_blocks", "scrape_work_list_capped"]
 
 
 @pytest.mark.parametrize("name", FAST)
