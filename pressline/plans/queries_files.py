@@ -20,7 +20,7 @@ from pressline.sources.corpora import read_labelled_dirs, read_manifest_files, r
 
 TOPICS = 4
 BLOCK = C.DEFAULT_BLOCK_SIZE
-ARRAY_ROWS = 500                    # articles of a written listing, about
+ARRAY_ROWS = 500                    # articles of a written listing, about: a cell with more of them is several listings
 
 
 def write_topic_csv(rows, path):
@@ -141,7 +141,12 @@ def write_listing_arrays(articles, root):
         F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name")).alias("source"), "title", "url",
         F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), "content", "scraped", "scraped_content", "error",
         F.col("doc_id").alias("page_rank")))
-    cells = articles.select("query_date", "source_id", element.alias("e"), (F.floor(F.col("doc_id") / ARRAY_ROWS)).alias("part"))
+    cell = ["query_date", "source_id"]
+    # a cell's number of listings follows its own rows, so files follow rows and cells, not rows alone
+    sizes = articles.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / ARRAY_ROWS).alias("_parts"))
+    rows, sizes = articles.select(*cell, element.alias("e")), sizes.select(*[F.col(c).alias(f"_{c}") for c in cell], "_parts")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell]
+    cells = rows.join(sizes, same).select(*cell, "e", F.pmod(F.xxhash64("e"), F.col("_parts")).alias("part"))
     arrays = cells.groupBy("query_date", "source_id", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ",\n"), F.lit("]")).alias("value"))
     arrays.select("value", "query_date", "source_id").write.option("maxRecordsPerFile", 1).partitionBy("query_date", "source_id").text(root)
 
