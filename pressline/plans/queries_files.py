@@ -3,6 +3,9 @@ original layouts (quoted CSV, labelled folders, manifest and files, JSON arrays)
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from pressline import constants as C
@@ -73,9 +76,34 @@ def q_topic_roots_contract(spark, sf_dir):
     return _contract(_shared(spark, sf_dir, "topic-roots", fit, ("documents",)))
 
 
+def write_text_files(rows, root):
+    """(folder, text) as ROOT[/<folder>]/<file>, a file per row that ends with a line break; returns the file names.
+
+    Tasks write their rows straight to the shared folder, without a commit that moves each file. Names follow task and row, so a task
+    that runs again writes the same files."""
+    def run(batches):
+        files, base = pafs.FileSystem.from_uri(root)
+        part, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            names = []
+            for folder, text in zip(batch["folder"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                where = f"{base}/{folder}" if folder else base
+                if where not in made:
+                    files.create_dir(where, recursive=True)
+                    made.add(where)
+                names.append(f"part-{part:05d}-{n:09d}.txt")
+                with files.open_output_stream(f"{where}/{names[-1]}") as out:
+                    out.write((text or "").encode() + b"\n")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return stage(rows.select("folder", "text").mapInArrow(run, "name string"), "written-files")
+
+
 def write_labelled_dirs(rows, path):
     """(text, label) as ROOT/<label>/<file>, a file per row. Each file ends with a line break."""
-    rows.select("text", F.col("label").alias("_label")).write.option("maxRecordsPerFile", 1).partitionBy("_label").text(path)
+    label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    write_text_files(rows.select(F.concat(F.lit("_label="), label).alias("folder"), "text"), path)
 
 
 def _labelled(spark, sf_dir):
@@ -127,8 +155,7 @@ FROM g, tot WHERE pos < (usable // {BLOCK}) * {BLOCK} GROUP BY 1
 def q_manifest_blocks(spark, sf_dir):
     """Manifest (with blank lines) and files -> texts -> ids of the corpus's vocabulary -> token blocks."""
     files, manifest = scratch_path(spark, "code-files"), scratch_path(spark, "manifest-list")
-    load_table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 1).text(files)
-    names = (spark.read.format("binaryFile").load(files).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")))
+    names = write_text_files(load_table(spark, sf_dir, "documents").select(F.lit("").alias("folder"), "text"), files)
     names.select(F.explode(F.array(F.col("name"), F.lit(""))).alias("name")).write.text(manifest)
     texts = stage(read_manifest_files(spark, manifest, files).select(F.md5("text").alias("key"), "text"), "manifest-texts")
     blocks = en.pack_blocks(texts, "text", "key", BLOCK, ids=True)

@@ -1,7 +1,6 @@
 """Growth faults of round 3: files, jobs and tasks that followed the rows too closely."""
 
 import glob
-import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -32,3 +31,40 @@ def test_listing_parts_of_null_and_repeated_rows(spark, tmp_path):
     articles = articles_from_documents(documents(spark, 30)).withColumn("source_id", F.when(F.col("doc_id") % 3 > 0, F.lit("src1")))
     qf.write_listing_arrays(articles.unionByName(articles), root)
     assert flatten(read_listing_layout(spark, root, "query_date=*/source_id=*/*.txt")).count() == 60
+
+
+def test_text_files_are_written_by_their_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.text", lambda *_: (_ for _ in ()).throw(AssertionError("a commit moves each file")))
+    rows = spark.createDataFrame([("a\nb", "1"), ("a\nb", "1"), (None, "0"), ("é", None)], "text string, label string").repartition(3)
+    for root in (str(tmp_path / "dirs"), f"file://{tmp_path}/uri"):
+        qf.write_labelled_dirs(rows, root)
+        found = read_labelled_dirs(spark, root).select("text", "label").collect()
+        assert sorted(map(tuple, found)) == [("\n", "_label=0"), ("a\nb\n", "_label=1"), ("a\nb\n", "_label=1"), ("é\n", "_label=__HIVE_DEFAULT_PARTITION__")]
+        assert not glob.glob(f"{root.removeprefix('file://')}/*/.*")          # no checksum file beside each
+
+
+def test_small_batches_need_no_job_each(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(0, 30, 6)), "ab"[k % 2], "train" if k % 4 else "validation") for k in range(90)],
+                                 "doc_id long, training_content string, label string, phase string")
+    calls, sums = [], ep.batch_sums
+    monkeypatch.setattr(ep, "batch_sums", lambda r, m, gradient: calls.append(gradient) or sums(r, m, gradient))
+
+    def run(name, walk_rows):
+        monkeypatch.setattr(ep, "WALK_ROWS", walk_rows)
+        calls.clear()
+        res = ep.train_epochs(rows, str(tmp_path / name), 2, 8, warmup=5)
+        return res, sum(calls), res.history.drop("seconds").orderBy("epoch", "phase").collect()
+    one, jobs, record = run("one", 1 << 17)
+    assert jobs == 0
+    chain, jobs, same = run("chain", 24)                      # three batches a walk
+    assert jobs == 0 and same == record
+    each, jobs, same = run("each", 0)                         # a distributed step for each batch
+    assert jobs == 2 * 9 and same == record
+    for other in (chain, each):
+        assert np.array_equal(one.model.weights, other.model.weights) and np.array_equal(one.model.bias, other.model.bias)
+
+
+def test_stream_landing_follows_the_scan(spark, tmp_path):
+    qi.land(documents(spark, 400), str(tmp_path / "landing"))
+    assert len(glob.glob(f"{tmp_path}/landing/*.parquet")) == 4
