@@ -247,6 +247,11 @@ def q_ingest_run(spark, sf_dir):
                                                 F.sha2("content", 256).alias("content_sha256"), "scraped")
 
 
+def land(rows, path):
+    """Files of a landing folder, as the scan of ``rows`` gives them: none grows with the table."""
+    rows.write.parquet(path)
+
+
 @register("scrape_stream_run", SCRAPE_SQL + """
 SELECT doc_id, source_id, query_date, scraped, error, sha256(scraped_content) AS body_sha256 FROM upd
 """)
@@ -254,9 +259,9 @@ def q_scrape_stream_run(spark, sf_dir):
     """The scrape pass as a stream: listings and pages arrive as files and meet by url in the stream's state."""
     landing, pages, table, progress = (scratch_path(spark, n) for n in ("stream-listings", "stream-pages", "stream-table", "stream-progress"))
     rows = load_articles(spark, sf_dir).select("doc_id", "url", "scraped", "scraped_content", "error", "query_date", "source_id")
-    rows.repartition(2).write.parquet(landing)
+    land(rows, landing)
     store = page_store(spark, sf_dir)
-    store.repartition(2).write.parquet(pages)
+    land(store, pages)
     stream = [spark.readStream.schema(f.schema).parquet(p) for f, p in ((rows, landing), (store, pages))]
     start_scrape_stream(*stream, table, progress, extract=lambda p: H.extract_pages(p)).awaitTermination()
     return read_partitioned(spark, table).select("doc_id", "source_id", "query_date", "scraped", "error", F.sha2("scraped_content", 256).alias("body_sha256"))
