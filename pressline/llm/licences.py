@@ -4,8 +4,8 @@ Texts are cut at blank lines and at sentence ends. Each line of a sentence is ju
 notices are found; a confirmed whole takes the place of its unconfirmed lines, and a whole that says nothing new counts for nothing. These pieces,
 called paragraphs here, are bags of word n-grams (one to three words). A sparse multinomial logistic regression knows the n-grams of the
 licence templates that hold at least one licence word, and tells the licence families and ordinary text apart. It is trained on the templates,
-on their copies with a word left out, and on at most ``TRAIN_ROWS`` paragraphs of the corpus (the first by a hash of their text) that hold a
-licence word; the latter are labelled by template comparison, and those that hold ``NEAR`` or more of a template, but less than ``CONFIRM``, are left out. A part of these rows is held out to calibrate: a
+on their copies with a word left out, and on every distinct paragraph of the corpus that holds a
+licence word (equal sets of known n-grams are one weighted row); the latter are labelled by template comparison, and those that hold ``NEAR`` or more of a template, but less than ``CONFIRM``, are left out. A part of these rows is held out to calibrate: a
 family is only named above the probability that ``CLEAN`` of the held-out ordinary rows stay below. A named family is confirmed if
 the paragraph holds ``CONFIRM`` of the n-grams of one of its templates, among them a word that few other families share, and no word that tells a neighbouring family
 (``TELLING``); else the paragraph is of class ``unknown``.
@@ -21,6 +21,7 @@ count; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -74,7 +75,7 @@ TELLING = {"affero": "agpl", "agpl": "agpl", "lesser": "lgpl", "lgpl": "lgpl", "
 SHARED = 3
 # Fixed value: words of templates that ordinary text has too.
 COMMON = ("0 1 2 3 4 a all and available common font for into made any are as by except file form forms free in is it only may not of or person subject terms that the this to under use v with without work you can").split()
-TRAIN_ROWS = 4000
+TASK_ROWS = 100_000  # training rows of a task
 HELD_OUT = 5         # one in so many corpus rows calibrates instead of training
 CLEAN = 0.999
 CONFIRM = 0.6
@@ -152,34 +153,39 @@ def named(held: DataFrame, weights: DataFrame, constants: dict[str, float]) -> D
     return by_key.select("key", best["family"].alias("family"), (F.exp(best["score"] - top) / total).alias("probability"))
 
 
-def fit(candidates: DataFrame, templates: DataFrame, vocabulary: list[str]):
-    """Weights (gram, family, weight) and constants of the trained model, and the calibrated limit. ``candidates``: key, grams."""
-    spark = candidates.sparkSession
+def fit(sets: DataFrame, likes: DataFrame, vocabulary: list[str]):
+    """Weights (gram, family, weight) and constants of the trained model, and the calibrated limit, from every distinct paragraph.
+    ``sets``: key, grams, n_train, n_held (the distinct paragraphs with these n-grams); ``likes``: key, family, like."""
+    spark = sets.sparkSession
     vocab = F.array(*map(F.lit, vocabulary))
     notices = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "label string, text string").withColumn("words", words(F.col("text")))
     less = notices.where(F.size("words") > 3).select("label", F.posexplode("words").alias("at", "_"), "words") \
         .select("label", F.filter("words", lambda w, i: i != F.col("at")).alias("words"))
-    made = notices.select("label", "words").unionByName(less).select(F.lit("").alias("key"), "label", F.array_intersect(grams(F.col("words")), vocab).alias("grams"), F.lit(False).alias("held"))
-    sample = stage(candidates.orderBy("key").limit(TRAIN_ROWS), "licence-sample")
-    likes = likeness(sample, templates).groupBy("key").agg(F.max(F.struct("like", "family")).alias("top"))
-    seen = sample.join(likes, "key", "left").where(F.coalesce((F.col("top.like") < NEAR) | (F.col("top.like") >= CONFIRM), F.lit(True))).select("key", F.when(F.col("top.like") >= CONFIRM, F.col("top.family")).otherwise(ORDINARY).alias("label"), "grams",
-                                                    (F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0).alias("held"))
-    empty = spark.createDataFrame([("", ORDINARY, [], False)], "key string, label string, grams array<string>, held boolean")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    made = notices.select("label", "words").unionByName(less).select(F.lit("").alias("key"), "label", F.array_sort(F.array_intersect(grams(F.col("words")), vocab)).alias("grams"), one.alias("n_train"), none.alias("n_held"))
+    tops = likes.groupBy("key").agg(F.max(F.struct("like", "family")).alias("top"))
+    seen = sets.join(tops, "key", "left").where(F.coalesce((F.col("top.like") < NEAR) | (F.col("top.like") >= CONFIRM), F.lit(True))).select(
+        "key", F.when(F.col("top.like") >= CONFIRM, F.col("top.family")).otherwise(ORDINARY).alias("label"), "grams", "n_train", "n_held")
+    empty = spark.createDataFrame([("", ORDINARY, [], 1, 0)], "key string, label string, grams array<string>, n_train long, n_held long")
     names = [ORDINARY, *sorted(TEMPLATES)]
     target = (F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1).cast("double")
-    rows = stage(made.unionByName(seen).unionByName(empty).withColumn("target", target).coalesce(1), "licence-train")
-    # classes weigh the same, however many ordinary paragraphs the sample has
-    share = rows.where("NOT held").groupBy("label").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weigh"))
-    rows = rows.join(F.broadcast(share), "label", "left").withColumn("weigh", F.coalesce("weigh", F.lit(0.0)) * 100)
+    rows = stage(made.unionByName(seen).unionByName(empty).withColumn("target", target), "licence-train")
+    # a fixed order, so that reruns agree; the tasks follow the number of rows
+    rows = stage(rows.repartitionByRange(math.ceil(rows.count() / TASK_ROWS), "key", "label", "grams").sortWithinPartitions("key", "label", "grams"), "licence-train")
+    # classes weigh the same, however many ordinary paragraphs the corpus has
+    learnt = rows.where(F.col("n_train") > 0)
+    share = learnt.groupBy("label").agg((F.lit(1.0) / F.sum("n_train")).alias("weigh"))
+    learnt = learnt.join(F.broadcast(share), "label", "left").withColumn("weigh", F.coalesce("weigh", F.lit(0.0)) * F.col("n_train") * 100)
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True)
     model = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weigh", family="multinomial", regParam=1e-3, elasticNetParam=0.2, maxIter=60, standardization=False) \
-        .fit(counter.transform(rows.where("NOT held")))
+        .fit(counter.transform(learnt))
     matrix, ahead = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = spark.createDataFrame([(g, n, float(matrix[k, i])) for k, n in enumerate(names[:len(ahead)]) for i, g in enumerate(vocabulary) if matrix[k, i]]
                                     or [("", ORDINARY, 0.0)], "gram string, family string, weight double")
     constants = {n: float(ahead[k]) for k, n in enumerate(names[:len(ahead)])}
-    clean = named(rows.where(F.col("held") & (F.col("label") == ORDINARY)).select("key", "grams"), weights, constants)
-    limit = clean.agg(F.percentile("probability", F.lit(CLEAN))).first()[0]
+    held = rows.where((F.col("n_held") > 0) & (F.col("label") == ORDINARY))
+    clean = named(held.select("key", "grams"), weights, constants).join(held.select("key", "n_held"), "key")
+    limit = clean.agg(F.percentile("probability", F.lit(CLEAN), F.col("n_held"))).first()[0]
     return weights, constants, max(0.5, float(limit or 0.0))
 
 
@@ -195,11 +201,17 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     parted = docs.select("doc_id", F.explode(F.split("text", PARTED)).alias("sentence")) \
         .select("doc_id", F.md5("sentence").alias("part"), F.explode(pieces).alias("piece")) \
         .withColumn("words", words(F.col("piece.text"))).where(F.arrays_overlap("words", licence_words))
-    paragraphs = stage(parted.select("doc_id", "part", "piece.whole", F.md5("piece.text").alias("key"), F.array_intersect(grams(F.col("words")), vocab).alias("grams")), "licence-paragraphs")
-    distinct = stage(paragraphs.groupBy("key").agg(F.first("grams").alias("grams")), "licence-distinct")   # equal paragraphs are judged once
-    weights, constants, limit = fit(distinct, templates, vocabulary)
-    found = named(distinct, weights, constants).where(F.col("probability") > limit)
-    judged = found.join(likeness(distinct, templates), ["key", "family"], "left").select(
+    known = F.array_sort(F.array_intersect(grams(F.col("words")), vocab))
+    paragraphs = stage(parted.select("doc_id", "part", "piece.whole", F.md5("piece.text").alias("text_key"), known.alias("grams"))
+                       .withColumn("key", F.md5(F.array_join("grams", "\n"))), "licence-paragraphs")
+    # a paragraph is judged by its known n-grams alone: each set of them once, with the distinct paragraphs that have it
+    held = F.pmod(F.xxhash64("text_key"), F.lit(HELD_OUT)) == 0
+    counts = paragraphs.select("key", "text_key").distinct().groupBy("key").agg(F.count_if(~held).alias("n_train"), F.count_if(held).alias("n_held"))
+    sets = stage(paragraphs.groupBy("key").agg(F.first("grams").alias("grams")).join(counts, "key"), "licence-sets")
+    likes = stage(likeness(sets, templates), "licence-likeness")
+    weights, constants, limit = fit(sets, likes, vocabulary)
+    found = named(sets, weights, constants).where(F.col("probability") > limit)
+    judged = found.join(likes, ["key", "family"], "left").select(
         "key", F.when(F.col("like") >= CONFIRM, F.col("family")).otherwise("unknown").alias("family"), F.col("family").alias("likely"), F.round("probability", 6).alias("probability"),
         F.coalesce(F.col("like") >= CONFIRM, F.lit(False)).alias("confirmed"))
     each = paragraphs.groupBy("doc_id", "part", "key", "whole").agg(F.count(F.lit(1)).alias("n")).join(judged, "key")
