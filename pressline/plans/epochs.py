@@ -1,8 +1,9 @@
 """Training in passes (epochs) over shuffled batches, with a kept model state and a record per pass.
 
 The model is a softmax over hashed, length-normalised term counts; it keeps the slots that occur in the training rows. A pass
-shuffles the training rows into batches (``shuffle_batches``), and each batch is one distributed step: tasks
-turn their rows into sums per (slot, label), Spark adds these up, and the driver moves the weights.
+shuffles the training rows into batches (``shuffle_batches``). Batches are steps that follow each other: ``WALK_ROWS`` rows of small batches are
+walked through by one task, which hands the weights on to the next; a batch larger than that is one distributed step, whose tasks
+turn their rows into sums per (slot, label), Spark adds these up, and the driver moves the weights. Both give the same weights.
 Sums are whole numbers (``SCALE`` parts of one), so they don't depend on the order in which tasks are added.
 After each pass the weights and the pass's record are written; a job that is started again with the same
 folder goes on behind the last whole pass and ends with the same weights and records.
@@ -27,13 +28,15 @@ from pressline.functions import labels as lb
 from pressline.operators.encode import tokenize
 from pressline.operators.metrics import f_beta, report_names
 from pressline.operators.sampling import shuffle_batches
-from pressline.plans.stage import stage
+from pressline.plans.stage import scratch_path, stage
 from pressline.sources import runs
 from pressline.sources.articles import path_exists
 
 NUM_FEATURES = 1 << 18
 #: Gradient sums are whole numbers of this part of one; 2^63 / SCALE rows fit in one batch.
 SCALE = 1 << 36
+#: Rows of small batches that one task steps through. Steps depend on the ones before, so a job for each batch gains nothing.
+WALK_ROWS = 1 << 17
 PHASES = ("train", "validation")
 RECORD = "phase string, n long, batches int, loss double, acc1 double, seconds double, matrix array<struct<truth:int,guess:int,n:long>>"
 
@@ -79,37 +82,40 @@ def entries(bag: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[first], count / norm[row[first]], starts
 
 
+def part_sums(m: Softmax, bag: pa.ListArray, truth: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """slot, label and value of some rows' sums, see ``batch_sums``."""
+    k = len(m.bias)
+    slot, value, starts = entries(bag)
+    p = m.forward(slot, value, starts)
+    guess = p.argmax(axis=1)
+    loss = -np.log(np.maximum(p[np.arange(len(p)), truth], 1e-300))
+    whole = lambda x: np.rint(x * SCALE).astype(np.int64)
+    cells, times = np.unique(truth.astype(np.int64) * k + guess, return_counts=True)
+    out = [(np.full(3, -1), np.arange(3), np.array([len(p), int((guess == truth).sum()), int(whole(loss).sum())])),
+           (-2 - cells // k, cells % k, times)]
+    if gradient:
+        p[np.arange(len(p)), truth] -= 1
+        step = whole(p[np.repeat(np.arange(len(p)), np.diff(starts))] * value[:, None])
+        order = np.argsort(slot, kind="stable")
+        names, first = np.unique(slot[order], return_index=True)
+        sums = np.add.reduceat(step[order], first, axis=0) if len(names) else np.zeros((0, k), np.int64)
+        sums = np.r_[sums, whole(p).sum(axis=0)[None]]                  # the constants, as slot ``num_features``
+        names = np.r_[names, m.num_features]
+        out.append((np.repeat(names, k), np.tile(np.arange(k), len(names)), sums.ravel()))
+    slot, label, value = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+    return slot, label, value
+
+
 def batch_sums(rows: DataFrame, model: Softmax, gradient: bool) -> pa.Table:
     """(slot, label, value) sums over ``rows`` (bag, truth). Slots below zero hold the batch's record: -1 its
     rows, hits and loss, -2 - truth the guesses of that truth."""
     shared = rows.sparkSession.sparkContext.broadcast(model)            # the model, bounded by its width
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        k = len(m.bias)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            slot, value, starts = entries(batch["bag"])
-            truth = batch["truth"].to_numpy()
-            p = m.forward(slot, value, starts)
-            guess = p.argmax(axis=1)
-            loss = -np.log(np.maximum(p[np.arange(len(p)), truth], 1e-300))
-            whole = lambda x: np.rint(x * SCALE).astype(np.int64)
-            cells, times = np.unique(truth.astype(np.int64) * k + guess, return_counts=True)
-            out = [(np.full(3, -1), np.arange(3), np.array([len(p), int((guess == truth).sum()), int(whole(loss).sum())])),
-                   (-2 - cells // k, cells % k, times)]
-            if gradient:
-                p[np.arange(len(p)), truth] -= 1
-                step = whole(p[np.repeat(np.arange(len(p)), np.diff(starts))] * value[:, None])
-                names, at = np.unique(slot, return_inverse=True)
-                sums = np.zeros((len(names) + 1, k), np.int64)
-                np.add.at(sums, at, step)
-                sums[-1] = whole(p).sum(axis=0)                             # the constants, as slot ``num_features``
-                names = np.r_[names, m.num_features]
-                out.append((np.repeat(names, k), np.tile(np.arange(k), len(names)), sums.ravel()))
-            a, b, c = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["slot", "label", "value"])
+            if batch.num_rows:
+                sums = part_sums(shared.value, batch["bag"], batch["truth"].to_numpy(), gradient)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums], ["slot", "label", "value"])
 
     part = rows.select("bag", "truth").mapInArrow(run, "slot long, label long, value long")
     return part.groupBy("slot", "label").agg(F.sum("value").alias("value")).toArrow()
@@ -123,6 +129,16 @@ class Meter:
         self.cells: dict[tuple[int, int], int] = {}
         self.began = time.monotonic()
 
+    def totals(self) -> list[list[int]]:
+        return [[self.n, self.hits, self.loss, self.batches], *([t, g, v] for (t, g), v in self.cells.items())]
+
+    def add_totals(self, totals: list[list[int]]) -> None:
+        for t in totals:
+            if len(t) == 4:
+                self.n, self.hits, self.loss, self.batches = self.n + t[0], self.hits + t[1], self.loss + t[2], self.batches + t[3]
+            else:
+                self.cells[t[0], t[1]] = self.cells.get((t[0], t[1]), 0) + t[2]
+
     def add(self, slot: np.ndarray, label: np.ndarray, value: np.ndarray) -> int:
         total = {int(a): int(v) for a, v in zip(label[slot == -1], value[slot == -1], strict=True)}
         self.n, self.hits, self.loss, self.batches = self.n + total.get(0, 0), self.hits + total.get(1, 0), self.loss + total.get(2, 0), self.batches + 1
@@ -137,6 +153,61 @@ class Meter:
                 time.monotonic() - self.began, [(t, g, v) for (t, g), v in sorted(self.cells.items())])
 
 
+def move_weights(model: Softmax, sums: tuple, n: int, rate: float) -> None:
+    """One step of the weights by the summed gradient of a batch of ``n`` rows."""
+    slot, label, value = sums
+    move = -rate / n * value / SCALE
+    mine = (slot >= 0) & (slot < model.num_features)
+    model.weights[np.searchsorted(model.slots, slot[mine]), label[mine]] += move[mine]
+    model.bias[label[slot == model.num_features]] += move[slot == model.num_features]
+
+
+def _by_batch(batches) -> Iterator[tuple[int, pa.Table]]:
+    """(batch_id, its rows) of rows that come in the order of ``batch_id``."""
+    held, at = [], None
+    for batch in batches:
+        ids = batch["batch_id"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+            if held and ids[a] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(ids[a])
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def walk_batches(state: DataFrame, rows: DataFrame, labels: list[str], num_features: int, rate) -> DataFrame:
+    """The steps of consecutive small batches in one task, which holds the model and one batch at a time. ``state``: slot, weights (the
+    constants last); ``rows``: batch_id, bag, truth; ``rate``: the rate of a batch. Returns the new state; in its rows of slot -1, ``totals`` of the batches' record."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        model, meter = None, Meter()
+        out = ["slot", "weights", "totals"]
+        for batch_id, part in _by_batch(batches):
+            if model is None:                                   # the state comes first
+                w = part["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(labels)).copy()
+                model = Softmax(labels, num_features, part["slot"].to_numpy()[:-1], w[:-1], w[-1])
+                continue
+            sums = part_sums(model, part["bag"].combine_chunks(), part["truth"].to_numpy(), True)
+            move_weights(model, sums, max(1, meter.add(*sums)), rate(batch_id))
+        if model is None:
+            return
+        found, all_weights = np.r_[model.slots, num_features].astype(np.int64), np.r_[model.weights, model.bias[None]]
+        for a in range(0, len(found), 10_000):
+            w = all_weights[a:a + 10_000]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32()), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(found[a:a + 10_000]), lists, pa.nulls(len(w), pa.list_(pa.list_(pa.int64())))], out)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.nulls(1, pa.list_(pa.float64())), pa.array([meter.totals()], pa.list_(pa.list_(pa.int64())))], out)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    first = state.select(F.lit(-1).cast("long").alias("batch_id"), "slot", "weights", none("array<int>").alias("bag"), none("int").alias("truth"))
+    then = rows.select("batch_id", F.lit(0).cast("long").alias("slot"), none("array<double>").alias("weights"), "bag", "truth")
+    both = first.unionByName(then).coalesce(1).sortWithinPartitions("batch_id", "slot")
+    return both.mapInArrow(run, "slot long, weights array<double>, totals array<array<long>>")
+
+
 def _write_state(spark: SparkSession, model: Softmax, path: str) -> None:
     table = pa.table({"slot": pa.array(np.r_[model.slots, model.num_features].astype(np.int64)),
                       "weights": pa.array([*model.weights.tolist(), model.bias.tolist()], pa.list_(pa.float64()))})
@@ -144,7 +215,11 @@ def _write_state(spark: SparkSession, model: Softmax, path: str) -> None:
 
 
 def _read_state(spark: SparkSession, labels: list[str], num_features: int, path: str) -> Softmax:
-    rows = spark.read.parquet(path).orderBy("slot").toArrow()
+    return _held(spark.read.parquet(path), labels, num_features)
+
+
+def _held(state: DataFrame, labels: list[str], num_features: int) -> Softmax:
+    rows = state.orderBy("slot").toArrow()                              # at most num_features + 1 rows
     w = np.array(rows["weights"].to_pylist(), np.float64).reshape(-1, len(labels))
     return Softmax(labels, num_features, rows["slot"].to_numpy()[:-1], w[:-1], w[-1])
 
@@ -172,6 +247,23 @@ def score(model: Softmax, df: DataFrame, text_col: str, keep: list[str]) -> Data
     return rows.select(*keep, "bag").mapInArrow(run, kind).select(*keep, "scores", guess.alias("guess"), F.element_at(names, guess + 1).alias("label_name"))
 
 
+def _walk_pass(spark: SparkSession, batched: DataFrame, model: Softmax, n_batches: int, per_walk: int, rate, meter: Meter) -> Softmax:
+    """One pass as a chain of walks over ``per_walk`` batches each. The state goes from walk to walk through the shared folder, and is
+    read back once; each walk reads its own folder of batches."""
+    path, begun = scratch_path(spark, "epoch-batches"), scratch_path(spark, "epoch-state")
+    n_walks = math.ceil(n_batches / per_walk)
+    laid = batched.select("bag", "truth", "batch_id", F.floor(F.col("batch_id") / per_walk).alias("walk"))
+    laid.repartition(max(1, n_walks), "walk").write.partitionBy("walk").parquet(path)
+    _write_state(spark, model, begun)
+    state = spark.read.parquet(begun)
+    for walk in range(n_walks):
+        rows = spark.read.schema("bag array<int>, truth int, batch_id long").parquet(f"{path}/walk={walk}")
+        moved = stage(walk_batches(state, rows, model.labels, model.num_features, rate), "epoch-walk")
+        meter.add_totals(moved.where("slot = -1").first()["totals"])
+        state = moved.where("slot >= 0").select("slot", "weights")
+    return _held(state, model.labels, model.num_features)
+
+
 @dataclass
 class EpochResult:
     model: Softmax
@@ -205,17 +297,16 @@ def train_epochs(rows: DataFrame, state_dir: str, epochs: int, batch_size: int,
     for epoch in range(done, min(epochs, stop_after if stop_after is not None else epochs)):
         batched = shuffle_batches(train, batch_size, 1, "_key", f"{seed}-{epoch}")
         n_batches = math.ceil(train.count() / batch_size)
-        laid = stage(batched.select("bag", "truth", "batch_id").repartition("batch_id", F.pmod("_key", F.lit(64))).sortWithinPartitions("batch_id"), "epoch-batches")
+        rate = lambda b, before=epoch * n_batches: lr * min(1.0, (before + b + 1) / warmup) if warmup else lr
         meter = Meter()
-        for b in range(n_batches):
-            got = batch_sums(laid.where(F.col("batch_id") == b), model, gradient=True)
-            slot, label, value = (got[c].to_numpy() for c in ("slot", "label", "value"))
-            n = max(1, meter.add(slot, label, value))
-            rate = lr * min(1.0, (epoch * n_batches + b + 1) / warmup) if warmup else lr
-            move = -rate / n * value / SCALE
-            mine = (slot >= 0) & (slot < num_features)
-            model.weights[np.searchsorted(model.slots, slot[mine]), label[mine]] += move[mine]
-            model.bias[label[slot == num_features]] += move[slot == num_features]
+        if batch_size <= WALK_ROWS:
+            model = _walk_pass(spark, batched, model, n_batches, max(1, WALK_ROWS // batch_size), rate, meter)
+        else:
+            laid = stage(batched.select("bag", "truth", "batch_id").repartition("batch_id", F.pmod("_key", F.lit(64))).sortWithinPartitions("batch_id"), "epoch-batches")
+            for b in range(n_batches):
+                got = batch_sums(laid.where(F.col("batch_id") == b), model, gradient=True)
+                sums = tuple(got[c].to_numpy() for c in ("slot", "label", "value"))
+                move_weights(model, sums, max(1, meter.add(*sums)), rate(b))
         records = [meter.record("train")]
         meter = Meter()
         got = batch_sums(judged, model, gradient=False)
