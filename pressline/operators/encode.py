@@ -40,6 +40,8 @@ SEPARATOR = "\n"
 HEAD_BYTES = 32 << 20
 HEAD_STEP = 50_000
 HEAD_TOKEN_BYTES = 256
+# Tokens that a task looks up at once: what it holds besides its Arrow batch doesn't follow the batch.
+SLICE_ITEMS = 500_000
 
 
 def tokenize(text: ColumnOrName) -> Column:
@@ -91,6 +93,17 @@ def stage_tokens(df: DataFrame, text_col: str, tokens_col: str = "_tokens") -> D
 _VOCAB_CACHE: dict[str, tuple[pa.Array, pa.Array]] = {}
 
 
+def _slices(batches, items_col: str, most: int = SLICE_ITEMS):
+    """The batches in slices of at most ``most`` items of an array column (a longer row is a slice of its own)."""
+    for batch in batches:
+        ends = batch[items_col].offsets.to_numpy()
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _lookup_batches(head_bc, key: str, tokens_col: str, keep: list[str], out_col: str, open_col: str | None):
     """``mapInArrow`` body: the columns ``keep`` and ``out_col`` = ids of ``tokens_col``. Tokens outside the broadcast list are
     NULL and listed in ``open_col`` with their positions; without that column they get the unknown id.
@@ -104,7 +117,7 @@ def _lookup_batches(head_bc, key: str, tokens_col: str, keep: list[str], out_col
             head = head_bc.value
             _VOCAB_CACHE.clear()      # a reused Python worker keeps one list
             _VOCAB_CACHE[key] = head
-        for batch in batches:
+        for batch in _slices(batches, tokens_col):
             col = batch[tokens_col]
             flat = col.flatten().cast(pa.string())
             codes = head[1].take(pc.index_in(flat, value_set=head[0]))

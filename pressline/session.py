@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows are long texts: a batch for Python ends at so many bytes, not only at so many rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # remove reliable-checkpoint files once their DataFrame is garbage collected
@@ -69,7 +71,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session (e.g. the driver's)."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set(k, BASE_CONF[k])
     try:
         checkpoint_root(spark)

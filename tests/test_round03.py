@@ -3,8 +3,10 @@
 import glob
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pressline.operators import encode as en
 from pressline.plans import epochs as ep
 from pressline.plans import queries_files as qf
 from pressline.plans import queries_ingest as qi
@@ -68,3 +70,39 @@ def test_small_batches_need_no_job_each(spark, tmp_path, monkeypatch):
 def test_stream_landing_follows_the_scan(spark, tmp_path):
     qi.land(documents(spark, 400), str(tmp_path / "landing"))
     assert len(glob.glob(f"{tmp_path}/landing/*.parquet")) == 4
+
+
+def test_lookup_slices_follow_tokens(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * 3, None, [], [2] * 9, [3], [4]]), pa.array(range(6))], ["t", "k"])
+    got = [b["k"].to_pylist() for b in en._slices([batch.slice(1), batch], "t", 4)]
+    assert [k for part in got for k in part] == [1, 2, 3, 4, 5, *range(6)]
+    assert all(sum(len(x or ()) for x in b["t"].to_pylist()) <= 4 or b.num_rows == 1 for b in en._slices([batch], "t", 4))
+
+
+def test_python_batches_end_at_bytes(spark):
+    from pressline.session import configure
+    configure(spark)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+    sizes = [r.n for r in spark.range(0, 100, 1, 1).select(F.expr("repeat('x', 1 << 20)").alias("t")).mapInArrow(run, "n long").collect()]
+    assert len(sizes) > 1 and max(sizes) < 40 << 20
+
+
+def test_licences_train_on_every_paragraph(spark):
+    from pressline.llm import licences as li
+    seen = []
+    real = li.LogisticRegression.fit
+
+    def fit(self, rows, *rest):
+        seen.append(rows.agg(F.sum("n_train")).first()[0])
+        return real(self, rows, *rest)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("The license of house "), "id", F.lit(" was renewed.")).alias("text"))
+    li.LogisticRegression.fit = fit
+    try:
+        out = li.scan_licences(docs)
+    finally:
+        li.LogisticRegression.fit = real
+    assert seen[0] > 4500                 # four of five distinct paragraphs, the others calibrate
+    assert out.count() == 6000
