@@ -23,6 +23,7 @@ from pressline.sources.corpora import read_labelled_dirs, read_manifest_files, r
 
 TOPICS = 4
 BLOCK = C.DEFAULT_BLOCK_SIZE
+FOLDER_FILES = 5_000                # files of a written folder, at most: one task lists a folder
 ARRAY_ROWS = 500                    # articles of a written listing, about: a cell with more of them is several listings
 
 
@@ -77,22 +78,24 @@ def q_topic_roots_contract(spark, sf_dir):
 
 
 def write_text_files(rows, root):
-    """(folder, text) as ROOT[/<folder>]/<file>, a file per row that ends with a line break; returns the file names.
+    """(folder, text) as ROOT/<part>[/<folder>]/<file>, a file per row that ends with a line break; returns the files' names below the root.
 
-    Tasks write their rows straight to the shared folder, without a commit that moves each file. Names follow task and row, so a task
-    that runs again writes the same files."""
+    Tasks write their rows straight to the shared folder, without a commit that moves each file. A part is a run of ``FOLDER_FILES`` rows
+    of one task. Names follow task and row, so a task that runs again writes the same files."""
     def run(batches):
         files, base = pafs.FileSystem.from_uri(root)
-        part, n, made = TaskContext.get().partitionId(), 0, set()
+        part, n, made = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             names = []
             for folder, text in zip(batch["folder"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                where = f"{base}/{folder}" if folder else base
-                if where not in made:
-                    files.create_dir(where, recursive=True)
-                    made.add(where)
-                names.append(f"part-{part:05d}-{n:09d}.txt")
-                with files.open_output_stream(f"{where}/{names[-1]}") as out:
+                if n % FOLDER_FILES == 0:
+                    made = set()
+                below = f"{part:05d}-{n // FOLDER_FILES:05d}" + (f"/{folder}" if folder else "")
+                if below not in made:
+                    files.create_dir(f"{base}/{below}", recursive=True)
+                    made.add(below)
+                names.append(f"{below}/part-{part:05d}-{n:09d}.txt")
+                with files.open_output_stream(f"{base}/{names[-1]}") as out:
                     out.write((text or "").encode() + b"\n")
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
@@ -101,7 +104,7 @@ def write_text_files(rows, root):
 
 
 def write_labelled_dirs(rows, path):
-    """(text, label) as ROOT/<label>/<file>, a file per row. Each file ends with a line break."""
+    """(text, label) as ROOT/<part>/<label>/<file>, a file per row. Each file ends with a line break."""
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
     write_text_files(rows.select(F.concat(F.lit("_label="), label).alias("folder"), "text"), path)
 
