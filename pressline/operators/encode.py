@@ -21,7 +21,7 @@ from pressline.functions import labels as lb
 from pressline.functions.text import HEADLINE_BODY_MARKERS, PY_WHITESPACE_CLASS, ColumnOrName, _col
 from pressline.operators.columns import with_columns_once
 from pressline.operators.ranges import ROWS_PER_RANGE, prefix_sums
-from pressline.plans.stage import stage
+from pressline.plans.stage import drop_stage, stage
 
 TOKEN_PATTERN = f"<[A-Z_]+/?>|[A-Za-z0-9]+|[^A-Za-z0-9{PY_WHITESPACE_CLASS}]"
 
@@ -316,6 +316,8 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     toks = toks.select(F.col(order_col), "_tokens")
     if not ids:
         return pack_arrays(toks, "_tokens", order_col, block_size, "tokens", rows_per_range, keep_tail)
-    toks = stage(toks, "doc-tokens")
+    toks = stage(toks, "doc-tokens", "zstd")
     found = lookup_ids(toks, "_tokens", build_vocabulary(toks, None, tokens_col="_tokens"), "_ids", keep_tokens=False)
-    return pack_arrays(found, "_ids", order_col, block_size, "input_ids", rows_per_range, keep_tail)
+    blocks = pack_arrays(found, "_ids", order_col, block_size, "input_ids", rows_per_range, keep_tail)
+    drop_stage(toks)                                          # the blocks read their staged ids
+    return blocks

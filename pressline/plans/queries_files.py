@@ -16,7 +16,7 @@ from pressline.plans.classify import sentiment_classifier, topic_classifier
 from pressline.plans.queries_classify import TOPIC_MAX_WORDS, _contract, _shared
 from pressline.plans.queries_encode import _vocab_sql
 from pressline.plans.queries_text import _with_articles
-from pressline.plans.stage import scratch_path, stage
+from pressline.plans.stage import drop_stage, scratch_path, stage
 from pressline.plans.training_set import sentiment_training_set, topic_training_set
 from pressline.sources.articles import flatten, load_articles, load_table, read_listing_layout
 from pressline.sources.corpora import read_labelled_dirs, read_manifest_files, read_topic_csv
@@ -103,6 +103,20 @@ def write_text_files(rows, root):
     return stage(rows.select("folder", "text").mapInArrow(run, "name string"), "written-files")
 
 
+def drop_text_files(names, root):
+    """Deletes the files that :func:`write_text_files` wrote below ``root`` (``names``: what it returned), a part at a time, in tasks."""
+    def run(batches):
+        files, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for part in batch["part"].to_pylist():
+                if files.get_file_info(f"{base}/{part}").type == pafs.FileType.Directory:      # else this task ran before
+                    files.delete_dir(f"{base}/{part}")
+            yield batch
+
+    parts = names.select(F.substring_index("name", "/", 1).alias("part")).distinct()
+    parts.repartition(names.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "part string").count()
+
+
 def write_labelled_dirs(rows, path):
     """(text, label) as ROOT/<part>/<label>/<file>, a file per row. Each file ends with a line break."""
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
@@ -160,8 +174,10 @@ def q_manifest_blocks(spark, sf_dir):
     files, manifest = scratch_path(spark, "code-files"), scratch_path(spark, "manifest-list")
     names = write_text_files(load_table(spark, sf_dir, "documents").select(F.lit("").alias("folder"), "text"), files)
     names.select(F.explode(F.array(F.col("name"), F.lit(""))).alias("name")).write.text(manifest)
-    texts = stage(read_manifest_files(spark, manifest, files).select(F.md5("text").alias("key"), "text"), "manifest-texts")
+    texts = stage(read_manifest_files(spark, manifest, files).select(F.md5("text").alias("key"), "text"), "manifest-texts", "zstd")
+    drop_text_files(names, files)            # a file per text takes whole blocks of disk: nearly three times the tables' size
     blocks = en.pack_blocks(texts, "text", "key", BLOCK, ids=True)
+    drop_stage(texts)
     return blocks.select("block_id", F.size("input_ids").alias("n_tokens"), F.sha2(F.array_join("input_ids", " "), 256).alias("ids_sha256"))
 
 

@@ -31,13 +31,26 @@ def scratch_path(spark, name: str) -> str:
     return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``codec``: the files' compression, if another than the session's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_stage(staged: DataFrame) -> None:
+    """Delete one table that :func:`stage` returned, once every step that reads it has been written itself."""
+    spark = staged.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in staged.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        if path.getParent().getName() != STAGE_DIR:
+            raise ValueError(f"{path} isn't a staged table")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark) -> bool:
     """Delete every staged table of this checkpoint folder (through the Hadoop
     file system of the shared folder). Call it after the results that read

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressline.plans import queries_files as qf
+from pressline.plans.stage import drop_stage, scratch_path, stage
 from pressline.sources import corpora as co
 from pressline.sources import files as fl
 
@@ -110,3 +111,20 @@ def test_written_folders_are_bounded(spark, tmp_path, monkeypatch):
     files = glob.glob(f"{root}/**/*.txt", recursive=True)
     assert sorted(os.path.relpath(f, root) for f in files) == names and len(names) == 45
     assert max(collections.Counter(map(os.path.dirname, files)).values()) == 10
+
+
+def test_a_dropped_stage_is_gone_and_others_stay(spark):
+    one, two = stage(spark.range(5), "drop-one"), stage(spark.range(5), "drop-two", "zstd")
+    drop_stage(one)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in one.inputFiles()) and two.count() == 5
+    with pytest.raises(ValueError, match="staged"):
+        drop_stage(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+
+
+def test_manifest_blocks_leave_no_texts_behind(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(qf, "scratch_path", lambda s, name: made.append(scratch_path(s, name)) or made[-1])
+    df = qf.q_manifest_blocks(spark, "/root/testdata/sf0.001")
+    folder = next(p for p in made if "/code-files-" in p).removeprefix("file:")
+    assert os.path.isdir(folder) and not glob.glob(f"{folder}/**/*.txt", recursive=True)
+    assert df.count() == df.agg(F.max("block_id") + 1).first()[0] > 0
