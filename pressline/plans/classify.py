@@ -24,6 +24,7 @@ from pressline import constants as C
 from pressline.functions import labels as lb
 from pressline.functions import text as tx
 from pressline.operators import metrics as M
+from pressline.operators.encode import FAST_TOKEN_PATTERN
 from pressline.operators.layout import extract_any_layout
 from pressline.operators.sampling import split_exact
 from pressline.plans.stage import stage
@@ -32,12 +33,6 @@ from pressline.sources import runs
 
 NUM_FEATURES = 1 << 18
 
-# The matches of ``encode.TOKEN_PATTERN``, in a form that takes Java's matcher about a third of the
-# time: the alternatives begin with different characters, so their order is free, and ASCII words,
-# marks and blanks are settled by one table lookup before the class with all blanks of Unicode.
-FAST_TOKEN_PATTERN = (r"\p{Alnum}++|<[A-Z_]++/?>|\p{Punct}|(?![\x09-\x0D\x1C-\x20])"
-                      f"[^A-Za-z0-9{tx.PY_WHITESPACE_CLASS}]")
-
 
 def classifier_pipeline(text_col: str = "training_content", label_col: str = "label",
                         max_iter: int = 10, reg_param: float = 0.0,

@@ -41,13 +41,19 @@ def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
 
 
 def drop_stage(staged: DataFrame) -> None:
-    """Delete one table that :func:`stage` returned, once every step that reads it has been written itself."""
+    """Delete the tables of :func:`stage` that a DataFrame reads, once every step that reads them has been written itself.
+    All of what it reads must be staged."""
     spark = staged.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in staged.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # noqa: BLE001 - Spark Connect: no driver-side context, the tables stay
+        return
+    folders = {file.rpartition("/")[0] for file in staged.inputFiles()}
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in sorted(folders)]
+    for path in paths:
         if path.getParent().getName() != STAGE_DIR:
             raise ValueError(f"{path} isn't a staged table")
+    for path in paths:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
